@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, url_filter
+from . import bpe, line_dedup, sharding, url_filter
 from .common import table, whole
 from .sql import ORACLES
 
@@ -19,12 +20,20 @@ SITE_RULES = (
     url_filter.Rule.site("block", "net/fr/"),
 )
 
+TOKENIZER = bpe.Tokenizer(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
 
 def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.hilbert_shards(table(spark, sf_dir, "documents"), n_shards=24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = TOKENIZER.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), decoded="decoded")
+    sha = lambda c: F.sha2(F.col(c), 256)
+    return docs.select("doc_id", bpe.n_tokens().alias("n_tokens"), sha("ids").alias("ids_sha256"), sha("decoded").alias("decoded_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(whole("text").cast("binary"), 256).alias("kept_sha256"))
@@ -36,6 +45,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_byte_bpe": op2_byte_bpe,
     "op8_line_dedup": op8_line_dedup,
     "op10_url_filter": op10_url_filter,
 }
