@@ -51,7 +51,7 @@ MEASURES = (
     Measure("capitals", "n_upper", "n_letters", 0.04),
     Measure("bangs", "n_bangs", "n_words", 0.05),
     Measure("dup_lines", "n_dup_lines", "n_lines", 0.1),
-    Measure("word_length", "word_chars", "n_words", 0.4, both_sides=True),
+    Measure("word_length", "word_chars", "n_words", 0.8, both_sides=True),
 )
 
 
