@@ -33,4 +33,22 @@ SELECT page_id, host, path, rule, coalesce(v, CASE WHEN regexp_matches(host, 'ca
 FROM parts LEFT JOIN hits USING (page_id)
 """
 
-ORACLES = {"op8_line_dedup": OP8, "op10_url_filter": OP10}
+OP5 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, s, array_to_string(ws[s : s + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS s FROM w WHERE len(ws) >= 20)
+), late AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS n FROM starts) WHERE n > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + d AS p FROM late, (SELECT unnest(range(20)) AS d)
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w
+), kept AS (
+  SELECT doc_id, count(*) AS kept, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op5_substring_dedup": OP5, "op8_line_dedup": OP8, "op10_url_filter": OP10}
