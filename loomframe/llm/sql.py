@@ -51,4 +51,24 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(kept, 0))::BIGINT
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op5_substring_dedup": OP5, "op8_line_dedup": OP8, "op10_url_filter": OP10}
+OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[s : s + 4], ' ') AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS s FROM w WHERE len(ws) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_have FROM shingles a JOIN shingles b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE both_have * 9 >= 4 * (a.n + b.n)
+), reach(x, y) AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT doc_id, least(doc_id, (SELECT min(y) FROM reach r WHERE r.x = doc_id)) AS class_id,
+       (SELECT count(*) FROM links l WHERE l.x = doc_id)::BIGINT AS n_links
+FROM documents
+"""
+
+ORACLES = {"op7_ngram_jaccard_join": OP7, "op5_substring_dedup": OP5, "op8_line_dedup": OP8, "op10_url_filter": OP10}
