@@ -67,6 +67,21 @@ def super_kmers(hashes: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np
     return first, np.diff(np.append(first, len(least))), least[first]
 
 
+def _columns(rows: list[tuple[int, int, int]]) -> bytes:
+    """Heads column by column, as differences where they ascend: small once compressed."""
+    doc, start, size = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    return b"".join((np.diff(doc, prepend=0).astype("<i8").tobytes(), np.diff(start, prepend=0).astype("<i4").tobytes(), size.astype("<i4").tobytes()))
+
+
+def _rows(raw: bytes) -> np.ndarray:
+    n = len(raw) // HEAD.itemsize
+    out = np.zeros(n, HEAD)
+    out["doc"] = np.cumsum(np.frombuffer(raw, "<i8", n))
+    out["start"] = np.cumsum(np.frombuffer(raw, "<i4", n, 8 * n))
+    out["size"] = np.frombuffer(raw, "<i4", n, 12 * n)
+    return out
+
+
 class _Packer:
     """Collects super-k-mers; gives them out as one compressed blob for each bucket."""
 
@@ -111,14 +126,11 @@ class _Packer:
             by.setdefault(b, []).append((doc, f, run))
         pack = zstandard.ZstdCompressor(level=1).compress
         for b, runs in by.items():
-            heads = np.zeros(len(runs), HEAD)
-            heads["doc"], heads["start"], heads["size"] = zip(*((d, f, len(r)) for d, f, r in runs), strict=True)
-            yield b, heads.tobytes(), pack(b"\n".join(r for _, _, r in runs))
+            yield b, pack(_columns([(d, f, len(r)) for d, f, r in runs])), pack(b"\n".join(r for _, _, r in runs))
         if self.marks:  # already decided: they pass through some bucket
-            marks = np.zeros(len(self.marks), HEAD)
-            marks["doc"], marks["start"], marks["size"] = zip(*self.marks, strict=True)
-            for i in range(0, len(marks), 4096):
-                yield int(xxhash.xxh32_intdigest(marks[i : i + 1].tobytes())) % self.n_buckets, marks[i : i + 4096].tobytes(), b""
+            for i in range(0, len(self.marks), 4096):
+                raw = _columns(self.marks[i : i + 4096])
+                yield xxhash.xxh32_intdigest(raw) % self.n_buckets, pack(raw), b""
         self._reset()
 
 
@@ -210,7 +222,7 @@ def find_repeats(docs: DataFrame, id_col: Column, text_col: str = "text", window
         unpack = zstandard.ZstdDecompressor().decompress
         heads, runs, found = [], [], []
         for h, w in zip(table["heads"].to_pylist(), table["words"].to_pylist(), strict=True):
-            part = np.frombuffer(h, HEAD)
+            part = _rows(unpack(h))
             if w:
                 heads.append(part)
                 runs += unpack(w).split(b"\n")
