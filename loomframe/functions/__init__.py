@@ -1 +1 @@
-
+"""Column builders: colours, rules, text, hashing."""

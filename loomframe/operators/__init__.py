@@ -1 +1 @@
-
+"""DataFrame operators: joins, sampling, metrics, outfits, masks."""

@@ -1 +1 @@
-
+"""Readers, writers and paged web sources."""

@@ -1 +1 @@
-
+"""Keyed state: wear and care, circuit breakers, ingestion."""
