@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import dims
 
@@ -55,7 +56,7 @@ def strip_tags(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t or "").strip())
 
@@ -64,7 +65,7 @@ def clean(text: Column) -> Column:
     return unescape(strip_tags(text))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity over digits and lower-case letters; two empty texts are alike."""
     keep = re.compile(r"[^0-9a-z]")
@@ -74,7 +75,8 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def fenced_json(text: Column) -> Column:
     """The JSON inside a fenced block, or the text itself; null if it doesn't parse."""
-    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(text), "^`+|`+$", "")), "^json", ""))
+    bare = F.regexp_replace(text, r"^[\s`]+|[\s`]+$", "")
+    bare = F.regexp_replace(bare, r"^json\s*", "")
     return F.when(F.try_parse_json(bare).isNotNull(), bare)
 
 
