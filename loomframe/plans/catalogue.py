@@ -178,7 +178,7 @@ def _at(values: list[str], index: Column) -> Column:
 
 
 def _wardrobe(spark: SparkSession, at: str) -> DataFrame:
-    """Parts as items of wardrobes of 200 part keys each; the context of a wardrobe is its number."""
+    """Parts as items of wardrobes of 100 part keys each; the context of a wardrobe is its number."""
     k = F.col("p_partkey")
     season = F.when(k % 3 == 0, F.array(F.lit("여름"))).when(k % 3 == 1, F.array(F.lit("봄"), F.lit("가을"))).otherwise(F.array(F.lit("겨울"), F.lit("가을")))
     parts = t(spark, at, "part").where("p_size <= 12").withColumn("slot", rules.lookup(F.col("p_type"), _SLOTS)).where("slot is not null")
@@ -193,7 +193,7 @@ def _wardrobe(spark: SparkSession, at: str) -> DataFrame:
         F.when(k % 6 == 0, F.lit(None)).otherwise(k % 6).cast("int").alias("days_since_worn"),
     )
     usable = rules.wearable(F.lit(True), season, item["formality"], F.lit(12.0), F.lit(3))
-    return parts.where(usable).select((k % 40).cast("int").alias("context"), "slot", item.alias("item"))
+    return parts.where(usable).select(F.floor(k / 100).cast("int").alias("context"), "slot", item.alias("item"))
 
 
 @query
@@ -209,7 +209,7 @@ def _scored(spark: SparkSession, at: str) -> DataFrame:
 @query
 def weighted_outfit_score(spark: SparkSession, at: str) -> DataFrame:
     parts = ("color", "silhouette", "style", "formality", "freshness", "score")
-    return _scored(spark, at).select("context", F.array_join(F.col("ids").cast("array<string>"), "-").alias("ids"), *(r(F.col(p)).alias(p) for p in parts))
+    return _scored(spark, at).select("context", F.array_join(F.col("ids").cast("array<string>"), "-").alias("ids"), *(r(F.col(p), 6).alias(p) for p in parts))
 
 
 @query

@@ -77,7 +77,7 @@ _HUES = _lab_cte(f"(VALUES {_values([(n, *rgb) for n, rgb in dims.COLORS.items()
 
 _WARDROBE = f"""
 items AS (
-  SELECT p_partkey AS id, (p_partkey % 40)::INT AS context,
+  SELECT p_partkey AS id, (p_partkey // 100)::INT AS context,
     CASE p_type WHEN 'ECONOMY' THEN 'top' WHEN 'SMALL' THEN 'top' WHEN 'PROMO' THEN 'bottom' WHEN 'MEDIUM' THEN 'bottom' WHEN 'LARGE' THEN 'outer' WHEN 'STANDARD' THEN 'shoes' END AS slot,
     {_list(_PALETTE)}[p_partkey % 7 + 1] AS color, p_partkey % 5 = 0 AS patterned, ['슬림', '레귤러', '세미오버', '오버'][p_partkey % 4 + 1] AS fit, (p_partkey % 4)::INT AS volume,
     (p_partkey % 5 + 1)::INT AS formality, [[]::VARCHAR[], ['a'], ['a', 'b'], ['b', 'c']][p_partkey % 4 + 1] AS tags, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 6 END AS days
@@ -151,8 +151,8 @@ ORACLES: dict[str, str] = {
           CASE WHEN t >= 2 AND b >= 2 THEN 0.6::DOUBLE WHEN t = 0 AND b = 0 THEN 0.85 WHEN abs(t - b) >= 2 THEN 1.0 ELSE 0.9 END AS silhouette,
           0.7::DOUBLE * CASE WHEN tagged < 2 THEN 0.7::DOUBLE ELSE 0.4::DOUBLE + 0.6::DOUBLE * j END + 0.3::DOUBLE * wanted / k AS style, greatest(0, 1 - abs(level - 3) / 4) AS formality
         FROM parts p LEFT JOIN accent a USING (context, name) LEFT JOIN pairs USING (context, name))
-      SELECT context, name AS ids, round(color, 4) AS color, round(silhouette, 4) AS silhouette, round(style, 4) AS style, round(formality, 4) AS formality, round(freshness, 4) AS freshness,
-        round(0.25::DOUBLE * color + 0.15::DOUBLE * silhouette + 0.15::DOUBLE * style + 0.15::DOUBLE * formality + 0.15::DOUBLE * freshness + 0.15::DOUBLE, 4) AS score FROM scores""",
+      SELECT context, name AS ids, round(color, 6) AS color, round(silhouette, 6) AS silhouette, round(style, 6) AS style, round(formality, 6) AS formality, round(freshness, 6) AS freshness,
+        round(0.25::DOUBLE * color + 0.15::DOUBLE * silhouette + 0.15::DOUBLE * style + 0.15::DOUBLE * formality + 0.15::DOUBLE * freshness + 0.15::DOUBLE, 6) AS score FROM scores""",
     "best_size": f"""
       WITH chart(ord, size, half) AS (VALUES (0, 'S', 47.0), (1, 'M', 51.0), (2, 'L', 55.0), (3, 'XL', 59.0)),
       tried AS (SELECT p_partkey, ord, size, half * 2 - 80 - p_size AS ease FROM part, chart),
