@@ -26,7 +26,7 @@ def t(spark: SparkSession, at: str, name: str) -> DataFrame:
 
 
 def r(c: Column, digits: int = 4) -> Column:
-    return F.round(c.cast("double"), digits)
+    return F.round(c.cast("double"), digits) + F.lit(0.0)  # no negative zero
 
 
 # --- filters and reasons ------------------------------------------------------------------------------

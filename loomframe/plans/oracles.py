@@ -201,7 +201,7 @@ ORACLES: dict[str, str] = {
     "group_and_overall": """
       SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS mean_quantity, round(avg(nullif(l_discount, 0)), 4) AS mean_discount, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), ())""",
     "median_by_bin_nan": """
-      SELECT bin, round(median(CASE WHEN vec_id % 5 <> 0 THEN x END), 3) AS median, count(*) AS n FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, unnest([label::VARCHAR, 'all']) AS bin FROM embeddings) GROUP BY 1""",
+      SELECT bin, round(median(CASE WHEN vec_id % 5 <> 0 THEN x END), 3) + 0.0::DOUBLE AS median, count(*) AS n FROM (SELECT vec_id, embedding[1]::DOUBLE AS x, unnest([label::VARCHAR, 'all']) AS bin FROM embeddings) GROUP BY 1""",
     "nearest_rank_p95": """
       SELECT event_type, len(v) AS n, list_sort(v)[round_even(0.95 * (len(v) - 1), 0)::INT + 1] AS p95 FROM (SELECT event_type, list(value) FILTER (WHERE value IS NOT NULL) AS v FROM events GROUP BY 1)""",
     "field_accuracy": """
