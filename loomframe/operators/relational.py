@@ -100,3 +100,41 @@ def unique_or_fail(df: DataFrame, key: str) -> DataFrame:
     """df, which fails when it is read if a key occurs twice."""
     w = Window.partitionBy(key)
     return df.withColumn("_n", F.count(F.lit(1)).over(w)).where(F.assert_true(F.col("_n") == 1, F.concat(F.lit("a key occurs twice: "), F.col(key).cast("string"))).isNull()).drop("_n")
+
+
+def capped_selection(candidates: DataFrame, name: str, group: str, position: str, groups: Sequence[str], per: int) -> DataFrame:
+    """(name, group): names in hash order take their first candidate of a group that is not full; per names a group.
+
+    A round looks only at the first ``per`` names of each open group, up to the one that fills a group first; so
+    there are as many rounds as groups at most, and never more than per x groups rows on the driver.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.select(F.col(name), F.col(group), F.col(position), F.concat(F.sha1(F.col(name).cast("string").cast("binary")), F.lit("|"), F.col(name).cast("string")).alias("_key"))
+    need, taken, after = dict.fromkeys(groups, per), [], ""
+    while need:
+        first = rows.where(F.col(group).isin(*need) & (F.col("_key") > after)).groupBy(name, "_key").agg(F.min_by(group, position).alias(group))
+        w = Window.partitionBy(group).orderBy("_key")
+        ranked = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per).collect()
+        full = {g: r["_key"] for g, n in need.items() for r in ranked if r[group] == g and r["_n"] == n}
+        upto = min(full.values()) if full else None
+        for r in ranked:
+            if upto is None or r["_key"] <= upto:
+                taken.append((r[name], r[group]))
+                need[r[group]] -= 1
+        if upto is None:
+            break
+        after = upto
+        need = {g: n for g, n in need.items() if n > 0}
+    kind = candidates.schema[name].dataType.simpleString()
+    return spark.createDataFrame(taken, f"{name} {kind}, {group} string")
+
+
+def weighted_sample(df: DataFrame, source: str, name: Column, weights: dict[str, float], n: int) -> DataFrame:
+    """n rows without replacement: sources by weight (1 if not given), rows of a source alike. Deterministic by the hash of the name."""
+    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_size"))
+    weight = F.lit(1.0)
+    for s, w in weights.items():
+        weight = F.when(F.col(source) == s, F.lit(float(w))).otherwise(weight)
+    u = (hashing.head32(name) + 1) / F.lit(4294967297.0)
+    key = -F.log(u) * F.col("_size") / weight
+    return df.join(sizes, source).withColumn("_key", key).orderBy("_key", name).limit(n).select(*df.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import color, dims, hashing, rules, text
-from ..operators import metrics, outfits, relational
+from ..operators import metrics, outfits, palette, relational
 from ..streaming import breaker, care
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -538,3 +538,41 @@ def rle_area_and_iou(spark: SparkSession, at: str) -> DataFrame:
     area = F.aggregate(F.filter(F.transform("a", lambda s, i: F.struct(s["q"].alias("q"), i.alias("i"))), lambda s: s["i"] % 2 == 1), F.lit(0).cast("long"), lambda s, x: s + x["q"])
     total = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["q"])
     return runs.select("l_orderkey", area.alias("area"), total.alias("total"), r(area / F.greatest(total, F.lit(1)).cast("double")).alias("share"))
+
+
+@query
+def capped_selection(spark: SparkSession, at: str) -> DataFrame:
+    """Orders in hash order take their first line item of a group that is not full; 25 orders a group."""
+    lines = t(spark, at, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("grp"), "l_linenumber", "l_quantity").where("l_quantity > 30")
+    return relational.capped_selection(lines, "l_orderkey", "grp", "l_linenumber", ["AF", "RF", "NO", "NF"], 25)
+
+
+@query
+def weighted_source_sample(spark: SparkSession, at: str) -> DataFrame:
+    docs = t(spark, at, "documents").select("doc_id", "source")
+    return relational.weighted_sample(docs, "source", F.col("doc_id"), {"src1": 3.0, "src2": 0.5}, 100)
+
+
+@query
+def mean_of_ten_steps(spark: SparkSession, at: str) -> DataFrame:
+    steps = t(spark, at, "events").where("value is not null").select(F.ceil((F.col("event_id") + 1) / 10).cast("long").alias("block"), "value")
+    return steps.groupBy("block").agg(r(F.avg("value"), 3).alias("loss"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def attribute_names(spark: SparkSession, at: str) -> DataFrame:
+    """Per supplier the names of its parts' types, gathered by brand as a map, here as sorted text."""
+    vocab = t(spark, at, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sup"), "p_type")
+    pairs = t(spark, at, "lineitem").where("l_quantity = 50").select("l_suppkey", "l_partkey").join(vocab, "l_partkey").select("l_suppkey", "sup", "p_type").distinct()
+    names = pairs.groupBy("l_suppkey", "sup").agg(F.array_join(F.array_sort(F.collect_list("p_type")), ",").alias("names"))
+    return names.select("l_suppkey", F.col("sup").alias("supercategory"), "names")
+
+
+@query
+def pixel_palettes(spark: SparkSession, at: str) -> DataFrame:
+    """Embeddings as 21 pixels of a label's image: main colours of each."""
+    values = t(spark, at, "embeddings").select("label", F.slice("embedding", 1, 63).alias("e"))
+    px = values.select("label", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.slice("e", i * 3 + 1, F.lit(3)))).alias("p"))
+    scale = lambda i: F.floor(F.least(F.greatest((F.get("p", F.lit(i)).cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
+    found = palette.palettes(px.select("label", scale(0).alias("r"), scale(1).alias("g"), scale(2).alias("b")), "label")
+    return found.select("label", "primary", F.array_join("secondary", ",").alias("secondary"), F.size("shares").alias("n_colors"))

@@ -272,4 +272,10 @@ ORACLES: dict[str, str] = {
       WITH x AS (SELECT l_orderkey, l_quantity::BIGINT AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity::BIGINT) - 1 AS i FROM lineitem),
       y AS (SELECT l_orderkey, coalesce(sum(q) FILTER (WHERE i % 2 = 1), 0)::BIGINT AS area, sum(q)::BIGINT AS total FROM x GROUP BY 1)
       SELECT *, round(area::DOUBLE / greatest(total, 1), 4) AS share FROM y""",
+    "weighted_source_sample": f"""
+      SELECT doc_id, source FROM documents JOIN (SELECT source, count(*) AS size FROM documents GROUP BY 1) USING (source)
+      ORDER BY -ln(({_HASH.format('doc_id')} + 1) / 4294967297.0::DOUBLE) * size / CASE source WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, doc_id LIMIT 100""",
+    "mean_of_ten_steps": "SELECT ceil((event_id + 1) / 10.0)::BIGINT AS block, round(avg(value), 3) AS loss, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
+    "attribute_names": """
+      SELECT l_suppkey, p_brand AS supercategory, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 GROUP BY 1, 2""",
 }
