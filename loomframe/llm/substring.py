@@ -32,17 +32,43 @@ from .common import parts, whole
 
 FLUSH_BYTES = 6_000_000  # text that a task packs at once: its local duplicates are found within that
 BUCKET_BYTES = 4_000_000  # text whose super-k-mers share a bucket
-VOCABULARY = 400_000  # words whose hashes a worker keeps
+HASH_BYTES = 1 << 20
 _MIX = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > VOCABULARY:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_BASE, _UNBASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_hashes(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each word of a text whose words are joined by one space.
+
+    A word's hash is a difference of prefix sums of byte x base^place, moved back to
+    place 0 by the base's inverse: no word becomes an object. Sums start anew every HASH_BYTES.
+    """
+    raw = np.frombuffer(packed, np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    begins, ends = np.concatenate([[0], gaps + 1]), np.append(gaps, len(raw))
+    out = np.empty(len(begins), np.uint64)
+    at = 0
+    while at < len(begins):
+        stop = max(at + 1, int(np.searchsorted(ends, begins[at] + HASH_BYTES)))
+        low, high = int(begins[at]), int(ends[stop - 1])
+        if len(_powers[0]) < high - low:
+            for k, base in enumerate((_BASE, _UNBASE)):
+                steps = np.full(max(high - low, HASH_BYTES), base)
+                steps[0] = 1
+                _powers[k] = np.cumprod(steps)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * _powers[0][: high - low], out=sums[1:])
+        first = begins[at:stop] - low
+        h = (sums[ends[at:stop] - low] - sums[first]) * _powers[1][first]
+        h ^= h >> np.uint64(32)
+        h *= _MIX[-2]
+        out[at:stop] = h ^ (h >> np.uint64(29))
+        at = stop
+    return begins, ends, out
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +113,6 @@ class _Packer:
 
     def __init__(self, window: int, m: int, n_buckets: int):
         self.window, self.m, self.n_buckets = window, m, n_buckets
-        self.hashes = _Hashes()
         self._reset()
 
     def _reset(self) -> None:
@@ -100,13 +125,11 @@ class _Packer:
         self.held += len(text)
         if len(words) < self.window:
             return
-        hashes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = ends - np.fromiter(map(len, words), np.int64, len(words)) - 1
         packed = b" ".join(words)
+        begins, ends, hashes = word_hashes(packed)
         first, count, least = super_kmers(hashes, self.window, self.m)
         buckets = (least % np.uint64(self.n_buckets)).tolist()
-        lefts, rights = begins[first].tolist(), (ends[first + count + self.window - 2] - 1).tolist()
+        lefts, rights = begins[first].tolist(), ends[first + count + self.window - 2].tolist()
         earliest, width = self.earliest, self.window - 1
         for f, c, b, left, right in zip(first.tolist(), count.tolist(), buckets, lefts, rights, strict=True):
             run = packed[left:right]
@@ -136,15 +159,15 @@ class _Packer:
 
 def repeated_windows(heads: np.ndarray, runs: list[bytes], window: int) -> list[tuple[int, int, int]]:
     """(doc, first word, words) of the windows that are not the earliest of their kind, adjoining ones merged."""
-    words = b" ".join(runs).split(b" ")
+    packed = b" ".join(runs)
+    begins, word_ends, hashes = word_hashes(packed)
     sizes = np.fromiter((r.count(b" ") + 1 for r in runs), np.int64, len(runs))
-    hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    n = len(words) - window + 1
+    n = len(begins) - window + 1
     if n < 1:
         return []
     ends = np.cumsum(sizes)
     run_of = np.repeat(np.arange(len(runs)), sizes)
-    at = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+    at = np.arange(len(begins)) - np.repeat(ends - sizes, sizes)
     valid = np.flatnonzero(at[:n] + window <= sizes[run_of[:n]])
     code = np.zeros(n, np.uint64)
     for k in range(window):
@@ -163,10 +186,10 @@ def repeated_windows(heads: np.ndarray, runs: list[bytes], window: int) -> list[
     cuts = np.flatnonzero(~same[groups])
     for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(groups)], strict=True):
         members = groups[lo:hi]
-        leaders: dict[tuple, tuple[int, int]] = {}  # one, unless hashes collide
+        leaders: dict[bytes, tuple[int, int]] = {}  # one, unless hashes collide
         for i in members.tolist():
             p = int(valid[i])
-            leader = leaders.setdefault(tuple(words[p : p + window]), (int(doc[i]), int(start[i])))
+            leader = leaders.setdefault(packed[begins[p] : word_ends[p + window - 1]], (int(doc[i]), int(start[i])))
             if leader != (int(doc[i]), int(start[i])):
                 late.append(i)
     if not late:
