@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import color, dims, hashing, rules, text
+from ..functions import color, dims, hashing, records, rules, text
 from ..operators import metrics, outfits, palette, relational
 from ..streaming import breaker, care
 
@@ -576,3 +576,43 @@ def pixel_palettes(spark: SparkSession, at: str) -> DataFrame:
     scale = lambda i: F.floor(F.least(F.greatest((F.get("p", F.lit(i)).cast("double") + 1) / 2, F.lit(0.0)), F.lit(1.0)) * 255).cast("int")
     found = palette.palettes(px.select("label", scale(0).alias("r"), scale(1).alias("g"), scale(2).alias("b")), "label")
     return found.select("label", "primary", F.array_join("secondary", ",").alias("secondary"), F.size("shares").alias("n_colors"))
+
+
+@query
+def score_predicates(spark: SparkSession, at: str) -> DataFrame:
+    """Right item and faithful, from a map of scores that lacks what was not measured."""
+    q, tax = F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")
+    pairs = F.array(
+        F.struct(F.lit("fg_frac").alias("k"), (q / 50).alias("v")),
+        F.struct(F.lit("outer_frac").alias("k"), F.col("l_discount").cast("double").alias("v")),
+        F.struct(F.lit("palette_dist").alias("k"), F.when(F.col("l_linenumber") < 4, q / 4).alias("v")),
+        F.struct(F.lit("extra_color").alias("k"), F.when(F.col("l_linenumber") != 2, q / 5).alias("v")),
+        F.struct(F.lit("target_chroma").alias("k"), (tax * 200).alias("v")),
+        F.struct(F.lit("chroma_ratio").alias("k"), (q / 20).alias("v")),
+    )
+    scores = F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
+    rows = t(spark, at, "lineitem").select("l_returnflag", scores.alias("s"), (q - 5).alias("margin"), (tax / 5).alias("marker"))
+    right, good = records.right_item(F.col("s"), F.col("margin")), records.faithful(F.col("s"), F.col("margin"), F.col("marker"))
+    return rows.groupBy("l_returnflag").agg(F.count_if(right).alias("right_item"), F.count_if(good).alias("faithful"), F.count_if(records.passes_all(F.col("s"), ["fg_frac", "palette_dist"], {"fg_frac": 0.5})).alias("passing"))
+
+
+@query
+def fallback_label_join(spark: SparkSession, at: str) -> DataFrame:
+    """Orders as paths priority/number; labels of every third by whole path or by number alone, the first on ties."""
+    number = F.col("o_orderkey") % 500
+    paths = t(spark, at, "orders").select("o_orderkey", F.concat_ws("/", F.col("o_orderpriority"), number.cast("string")).alias("src"))
+    labels = t(spark, at, "orders").where("o_orderkey % 3 = 0").groupBy(F.concat_ws("/", F.col("o_orderpriority"), number.cast("string")).alias("key")).agg(F.min("o_orderkey").alias("pos"))
+    found = records.join_by_path_or_name(paths, labels.withColumn("v", F.col("pos")), "src", "key", "pos")
+    return found.select("o_orderkey", "label_key", "v")
+
+
+@query
+def cross_cycle(spark: SparkSession, at: str) -> DataFrame:
+    """Nations crossed with regions, gone round for 500 rows."""
+    combos = t(spark, at, "nation").select("n_name").join(F.broadcast(t(spark, at, "region").select("r_name")))
+    return records.cycled(combos, ["n_name", "r_name"], 500)
+
+
+@query
+def warmup_timing(spark: SparkSession, at: str) -> DataFrame:
+    return records.timing_summary(t(spark, at, "events").select("event_type", "event_id", "value"), "event_type", "event_id", "value", 20)

@@ -278,4 +278,22 @@ ORACLES: dict[str, str] = {
     "mean_of_ten_steps": "SELECT ceil((event_id + 1) / 10.0)::BIGINT AS block, round(avg(value), 3) AS loss, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
     "attribute_names": """
       SELECT l_suppkey, p_brand AS supercategory, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 GROUP BY 1, 2""",
+    "score_predicates": """
+      WITH x AS (SELECT l_returnflag, l_quantity::DOUBLE / 50 AS fg, l_discount::DOUBLE AS outer_frac, CASE WHEN l_linenumber < 4 THEN l_quantity::DOUBLE / 4 END AS pal, CASE WHEN l_linenumber <> 2 THEN l_quantity::DOUBLE / 5 END AS extra,
+        l_tax::DOUBLE * 200 AS chroma, l_quantity::DOUBLE / 20 AS ratio, l_quantity::DOUBLE - 5 AS margin, l_tax::DOUBLE / 5 AS marker FROM lineitem),
+      y AS (SELECT *, margin > 0 AND fg >= 0.02 AND outer_frac <= 0.03 AS r FROM x)
+      SELECT l_returnflag, count_if(r)::BIGINT AS right_item, count_if(r AND coalesce(pal, 99) <= 10 AND coalesce(extra, 99) <= 10 AND (chroma <= 8 OR ratio BETWEEN 0.5 AND 2.0) AND marker <= 0.01)::BIGINT AS faithful,
+        count_if(fg > 0.5 AND coalesce(pal, 0) > 0)::BIGINT AS passing FROM y GROUP BY 1""",
+    "fallback_label_join": """
+      WITH p AS (SELECT o_orderkey, o_orderpriority || '/' || (o_orderkey % 500) AS src, (o_orderkey % 500)::VARCHAR AS name FROM orders),
+      l AS (SELECT o_orderpriority || '/' || (o_orderkey % 500) AS key, (o_orderkey % 500)::VARCHAR AS name, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),
+      n AS (SELECT name, arg_min(key, pos) AS key, min(pos) AS pos FROM l GROUP BY 1)
+      SELECT o_orderkey, coalesce(l.key, n.key, p.name) AS label_key, coalesce(l.pos, n.pos) AS v FROM p LEFT JOIN l ON l.key = p.src LEFT JOIN n ON n.name = p.name""",
+    "cross_cycle": """
+      WITH c AS (SELECT n_name, r_name, row_number() OVER (ORDER BY n_name, r_name) - 1 AS place FROM nation, region)
+      SELECT id, n_name, r_name FROM (SELECT unnest(range(500)) AS id) JOIN c ON c.place = id % (SELECT count(*) FROM c)""",
+    "warmup_timing": """
+      WITH x AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+      y AS (SELECT event_type, count(*) AS n, list_sort(list(value)) AS v, median(value) AS p50, avg(value) AS mean FROM x WHERE rn > 20 OR n <= 20 GROUP BY 1)
+      SELECT event_type, n, round(p50, 3) AS p50, round(v[round_even(0.95 * (n - 1), 0)::INT + 1], 3) AS p95, round(mean, 3) AS mean FROM y""",
 }
