@@ -147,7 +147,7 @@ class _Packer:
         by: dict[int, list] = {}
         for run, (doc, f, _, b) in self.earliest.items():
             by.setdefault(b, []).append((doc, f, run))
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b, runs in by.items():
             yield b, pack(_columns([(d, f, len(r)) for d, f, r in runs])), pack(b"\n".join(r for _, _, r in runs))
         if self.marks:  # already decided: they pass through some bucket
@@ -217,7 +217,7 @@ def _words_kept(text: str, spans: list | None) -> tuple[list[bytes], int]:
     return [words[i] for i in keep], len(words)
 
 
-def find_repeats(docs: DataFrame, id_col: Column, text_col: str = "text", window: int = 20, m: int = 6) -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: Column, text_col: str = "text", window: int = 20, m: int = 4) -> DataFrame:
     """(doc, spans): the parts of each document, in words, that repeat an earlier passage."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
@@ -261,7 +261,7 @@ def find_repeats(docs: DataFrame, id_col: Column, text_col: str = "text", window
     return marks.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, m: int = 6) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, m: int = 4) -> DataFrame:
     """docs with text_col replaced by the kept words joined by one space; n_words and n_removed (long) added.
 
     A window that also starts earlier (smaller id, or the same document, earlier)
