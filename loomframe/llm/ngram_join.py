@@ -32,7 +32,7 @@ from .components import components
 
 BANDS, ROWS, STEP = 21, 3, 9
 HASHES = BANDS * ROWS
-BLOCK = 512
+BLOCK = 256
 VOCABULARY = 400_000
 COLUMNS = 8192  # shingles of a block that are multiplied at once
 
