@@ -15,7 +15,6 @@ never looked at. Every document is scored.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
