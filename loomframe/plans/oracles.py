@@ -27,11 +27,6 @@ def _lin(v: str) -> str:
     return f"(CASE WHEN {v} / 255.0::DOUBLE <= 0.04045 THEN {v} / 255.0::DOUBLE / 12.92 ELSE pow(({v} / 255.0::DOUBLE + 0.055) / 1.055, 2.4) END)"
 
 
-def _lab(r: str, g: str, b: str) -> str:
-    """A struct {l, a, b} by macros that _COLOR defines."""
-    return f"lab_of({_lin(r)}, {_lin(g)}, {_lin(b)})"
-
-
 def _knee(x: str) -> str:
     return f"(CASE WHEN {x} > pow(6.0::DOUBLE / 29, 3) THEN cbrt({x}) ELSE {x} / (3 * pow(6.0::DOUBLE / 29, 2)) + 4.0::DOUBLE / 29 END)"
 

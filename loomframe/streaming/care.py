@@ -10,7 +10,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.dims import CLEAN, NEEDS_WASH, WASHING, WORN
 
