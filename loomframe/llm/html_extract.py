@@ -1,9 +1,10 @@
 """Main text of web pages by deducing each host's template.
 
 A page is a sequence of tokens: an element's place (its path of tags with class
-and id) or a text together with its place. For each host the pages' occurrence
-counts of a token form a vector; it is kept as a mergeable fingerprint (an XOR of
-hashes of page and count, with the number of pages and the total), so vectors are
+and id) or a text together with its place. Pages of a host with the same main text
+(before any template) are one body, so that copies of an article are no template. For each
+host the bodies' occurrence counts of a token form a vector; it is kept as a mergeable fingerprint (an XOR of
+hashes of body and count, with the number of bodies and the total), so vectors are
 compared without being gathered. Tokens of a host with the same vector are an
 equivalence class. A class is valid if it is large and frequent enough; classes
 nest, as a token's place contains the places around it. The valid classes are the
@@ -12,7 +13,8 @@ are its slots.
 
 The slots are then told apart by the elements of the template they are in: those in
 navigation, headers, footers, asides, forms, adverts, notices and comments are
-left, the rest is the main text; where a page has an article, only slots inside it.
+left, the rest is the main text; where a page has an article, only slots inside it, and
+if the template would take all of these, it takes none.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -178,33 +181,51 @@ def _code(path: str, text: str | None = None) -> int:
     return xxhash.xxh64_intdigest(raw.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def templates(pages: DataFrame, id_col: str, html_col: str, share: float, least_pages: int) -> DataFrame:
-    """(host, tokens): the tokens of the valid classes of each host with least_pages pages or more.
+def _slots(page: Page) -> list[tuple[str, str, bool, bool]]:
+    """The blocks that may be main text, whatever the template."""
+    slots = [b for b in page.blocks if not b[2]]
+    return [b for b in slots if b[3]] if any(b[3] for b in page.blocks) else slots
 
-    A token is in the template if it is on ``share`` of the host's pages and some other
+
+def templates(pages: DataFrame, html_col: str, share: float, least_pages: int) -> DataFrame:
+    """(host, tokens): the tokens of the valid classes of each host with least_pages bodies or more.
+
+    A token is in the template if it is on ``share`` of the host's bodies and some other
     token has its vector. So the tokens of a host are not more than an average page has, over share.
     """
-    rows = pages.select(F.col("_host"), F.xxhash64(F.col(id_col)).alias("_page"), whole(html_col).cast("string").alias("_html"))
+    rows = pages.select(F.col("_host"), whole(html_col).cast("string").alias("_html"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}  # the sums of a batch's pages: a hot host sends few rows
-            for host, page_id, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            least: dict[tuple[str, int], bytes] = {}
+            for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page, counts = tokenise(source), {}
                 for p in page.paths:
                     counts[_code(p)] = counts.get(_code(p), 0) + 1
                 for p, t, _, _ in page.blocks:
                     counts[_code(p, t)] = counts.get(_code(p, t), 0) + 1
                 counts[0] = 1  # the page itself
-                for token, n in counts.items():
+                body = xxhash.xxh64_intdigest(np.array([_code(b[0], b[1]) for b in _slots(page)], "<i8").tobytes()) - (1 << 63)
+                packed = np.array(sorted(counts.items()), "<i8").tobytes()
+                least[host, body] = min(least.get((host, body), packed), packed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in least], pa.string()), pa.array([k[1] for k in least], pa.int64()), pa.array(list(least.values()), pa.binary())], names=["host", "body", "counts"]
+            )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple[str, int], list[int]] = {}  # the sums of a batch's bodies: a hot host sends few rows
+            for host, body, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for token, n in np.frombuffer(packed, "<i8").reshape(-1, 2).tolist():
                     s = sums.setdefault((host, token), [0, 0, 0])
                     s[0] += 1
                     s[1] += n
-                    s[2] ^= xxhash.xxh64_intdigest(b"%d %d" % (page_id, n)) - (1 << 63)
+                    s[2] ^= xxhash.xxh64_intdigest(b"%d %d" % (body, n)) - (1 << 63)
             columns = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(3))]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "token", "n", "total", "vector"])
 
-    tokens = rows.mapInArrow(count, "host string, token long, n long, total long, vector long")
+    bodies = rows.mapInArrow(pack, "host string, body long, counts binary").groupBy("host", "body").agg(F.min("counts").alias("counts"))
+    tokens = bodies.mapInArrow(count, "host string, token long, n long, total long, vector long")
     tokens = cut(tokens.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector")).where("n > 1"))
     hosts = tokens.where("token = 0").where(F.col("n") >= least_pages).select("host", F.col("n").alias("pages"))
     frequent = tokens.where("token <> 0").join(hosts, "host").where(F.col("n") >= share * F.col("pages"))
@@ -214,9 +235,10 @@ def templates(pages: DataFrame, id_col: str, html_col: str, share: float, least_
 
 def main_text(source: str, template: frozenset[int] | set[int]) -> str:
     page = tokenise(source)
-    slots = [b for b in page.blocks if not b[2] and _code(b[0], b[1]) not in template]
-    if any(b[3] for b in page.blocks):
-        slots = [b for b in slots if b[3]]
+    found = _slots(page)
+    slots = [b for b in found if _code(b[0], b[1]) not in template]
+    if not slots and any(b[3] for b in found):
+        slots = found
     return "\n".join(b[1] for b in slots)
 
 
@@ -227,12 +249,12 @@ def extract(
 
     Blocks are joined by one line feed; white space inside a block is one space.
     Null html counts as empty; pages with a null URL are one host. Hosts with
-    fewer than least_pages pages have no template. Repeated rows are extracted alike.
+    fewer than least_pages pages of different main text have no template. Repeated rows are extracted alike.
     Columns named like those added are replaced. An empty table gives an empty table.
     """
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "_host", "_of", "_tokens")]
     source = pages.select(*names, F.col(html_col), host_of(whole(url_col)).alias("_host"))
-    found = cut(templates(source, id_col, html_col, share, least_pages)).select(F.col("host").alias("_of"), F.col("tokens").alias("_tokens"))
+    found = cut(templates(source, html_col, share, least_pages)).select(F.col("host").alias("_of"), F.col("tokens").alias("_tokens"))
     joined = source.join(found, F.col("_host") == F.col("_of"), "left").select(*names, whole(html_col).cast("string").alias("_html"), "_host", "_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

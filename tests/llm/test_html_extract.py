@@ -1,4 +1,4 @@
-from loomframe.llm.html_extract import extract, main_text, tokenise
+from loomframe.llm.html_extract import _code, extract, main_text, tokenise
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">a</a><li>b</ul></nav><!-- <p>no</p> --><div class="ad">Buy</div><div id="cookie-notice">ok?</div>
@@ -32,3 +32,20 @@ def test_template_of_a_host(spark):
     assert got[101]["text"] == "Fixed line of the site\nText of page 1\nand 1 more\nAlways here"
     assert got[200]["text"] == got[201]["text"] == "" and got[202]["n_chars"] > 500_000
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    """Hosts of copies: all of one article, nearly all of one, and near copies whose surroundings differ."""
+    page = "<body><div><span>Fixed line</span></div>{0}<footer>page {1}</footer></body>"
+    article = "<article><h1>Head</h1><p>One text</p><p>and more</p></article>"
+    other = "<article><h1>Head {0}</h1><p>Text {0}</p></article>"
+    rows = [(i, f"http://one.org/{i}", page.format(article, i)) for i in range(40)]
+    rows += [(100 + i, f"http://most.org/{i}", page.format(article if i < 95 else other.format(i), i)) for i in range(100)]
+    rows += [(300 + i, f"http://div.org/{i}", page.format(article.replace("article", "div"), "")) for i in range(40)]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Head\nOne text\nand more" for i in [*range(40), *range(100, 195)])
+    assert all(got[100 + i] == f"Head {i}\nText {i}" for i in range(95, 100))
+    assert all("Head\nOne text\nand more" in got[300 + i] for i in range(40))
+    kept = tokenise(page.format(article, 1))
+    everything = {_code(p, t) for p, t, _, _ in kept.blocks}
+    assert main_text(page.format(article, 1), everything) == "Head\nOne text\nand more"
