@@ -485,9 +485,9 @@ def jaccard_sets(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def text_ratio(spark: SparkSession, at: str) -> DataFrame:
-    turns = t(spark, at, "conversations").select("conv_id", "turn", F.substring(F.col("text"), 1, 200).alias("head"))
-    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("head").alias("next"))
-    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", r(text.text_ratio(F.col("head"), F.col("next"))).alias("ratio"))
+    turns = t(spark, at, "conversations").select("conv_id", "turn", "text")
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select("conv_id", "turn", r(text.text_ratio(F.col("text"), F.col("next"))).alias("ratio"))
 
 
 # --- planning and state -------------------------------------------------------------------------------
