@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary one is set once.
+    Where the session names none, a folder of the warehouse, which executors reach as well.
     """
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="loomframe-")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -41,6 +41,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """df as a table in the shared folder: like cut(), but later plans know how large it is, and broadcast it only if it is small."""
+    spark = df.sparkSession
+    path = scratch_path(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """Column names like these that clash with none that is taken."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,20 +1,23 @@
 """Main text of web pages by deducing each host's template.
 
-A page is a sequence of tokens: an element's place (its path of tags with class
-and id) or a text together with its place. Pages of a host with the same main text
-(before any template) are one body, so that copies of an article are no template. For each
-host the bodies' occurrence counts of a token form a vector; it is kept as a mergeable fingerprint (an XOR of
-hashes of body and count, with the number of bodies and the total), so vectors are
-compared without being gathered. Tokens of a host with the same vector are an
-equivalence class. A class is valid if it is large and frequent enough; classes
-nest, as a token's place contains the places around it. The valid classes are the
-host's template: their texts are constants, and what a page holds between them
-are its slots.
-
-The slots are then told apart by the elements of the template they are in: those in
-navigation, headers, footers, asides, forms, adverts, notices and comments are
-left, the rest is the main text; where a page has an article, only slots inside it, and
-if the template would take all of these, it takes none.
+A page is a sequence of tokens: an element at its spot (tags with class and id, and
+which of its like among its siblings, from the root down) or a text at its spot. So
+a token is on a page once at most, and its occurrence vector says on which pages.
+
+1. Pages of a host with the same blocks are one body, so that repeated rows and copies
+   add nothing. Vectors are kept as mergeable fingerprints (sums of keyed hashes of the
+   bodies), so they are compared without being gathered. Tokens with one vector are an
+   equivalence class; it is valid if it has two tokens or more and ``share`` of the bodies.
+2. A second look at the bodies keeps of each class the tokens that have the same place in its
+   order wherever they are; it also sums, for each template element, the words of the slots inside it.
+   Classes nest by place: a token's spot holds the spots around it.
+3. The template of a host is then small: its constants (texts of valid classes), its
+   menus (elements of which most words are links), and its main element, the deepest
+   of several blocks that holds half of what the slots hold; a body counts the same, long or short.
+4. A page's text is what its slots inside the main element hold. Tags that are never
+   main text, and names of classes that say so, go as well; <article> and <main> count
+   as main elements too. Constants inside these stay: near copies of an article are no
+   template. Hosts with too few bodies rest on tags and names alone.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, whole
+from .common import fresh, stored, whole
 from .url_filter import host_of
 
 #: Elements that hold no main text.
@@ -63,22 +66,51 @@ _CLOSES = {
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=/\"'<>]+)")
 _WORDS = re.compile(r"[A-Za-z]+")
+_ALL = (1 << 64) - 1
+HEADINGS = frozenset(("h1", "h2"))
+SALTS = 32  # a host's pages meet its template in so many tasks
 
 
 @dataclass
 class _Element:
     name: str
-    path: str
+    code: int
+    index: int
     outside: bool
     article: bool
+    link: bool
+    heading: bool
+    children: dict[str, int] = field(default_factory=dict)
+
+
+@dataclass(frozen=True)
+class Block:
+    text: str
+    element: int  # index into the page's elements
+    outside: bool
+    article: bool
+    linked: int  # words inside links
+    heading: bool
 
 
 @dataclass
 class Page:
-    """What tokenising a page gives: its blocks as (path, text, outside, in an article), and the paths of its elements."""
+    """What tokenising a page gives: its blocks, and the code and parent of each element in page order (the root is 0)."""
+
+    blocks: list[Block] = field(default_factory=list)
+    codes: list[int] = field(default_factory=lambda: [0])
+    parents: list[int] = field(default_factory=lambda: [-1])
+
+    def within(self, codes: frozenset[int]) -> list[bool]:
+        """For each element whether it or one around it has one of the codes."""
+        out: list[bool] = []
+        for code, parent in zip(self.codes, self.parents, strict=True):
+            out.append(code in codes or (parent >= 0 and out[parent]))
+        return out
 
-    blocks: list[tuple[str, str, bool, bool]] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+
+def _code(text: str, place: int) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), place & _ALL) - (1 << 63)
 
 
 def _mark(name: str, raw: str) -> tuple[str, bool]:
@@ -101,8 +133,9 @@ def _mark(name: str, raw: str) -> tuple[str, bool]:
 
 
 def tokenise(source: str) -> Page:
-    page, stack = Page(), [_Element("", "", False, False)]
+    page, stack = Page(), [_Element("", 0, 0, False, False, False, False)]
     held: list[str] = []
+    linked: list[str] = []
 
     def flush() -> None:
         if held:
@@ -110,7 +143,14 @@ def tokenise(source: str) -> Page:
             held.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append((top.path, text, top.outside, top.article))
+                links = len(html.unescape(" ".join(linked)).split()) if linked else 0
+                page.blocks.append(Block(text, top.index, top.outside, top.article, links, top.heading))
+            linked.clear()
+
+    def hold(raw: str) -> None:
+        held.append(raw)
+        if stack[-1].link:
+            linked.append(raw)
 
     def close(index: int) -> None:
         if any(e.name in BLOCK or e.outside != stack[index - 1].outside for e in stack[index:]):
@@ -124,7 +164,7 @@ def tokenise(source: str) -> Page:
         name = m[2]
         if name is None:
             if not m[0].startswith(("<!", "<?")):
-                held.append(m[0])
+                hold(m[0])
             continue
         name = name.lower()
         if m[1]:
@@ -155,11 +195,14 @@ def tokenise(source: str) -> Page:
         top = stack[-1]
         if outside and not top.outside:
             flush()
-        path = f"{top.path}/{label}"
-        page.paths.append(path)
+        place = top.children[label] = top.children.get(label, 0) + 1
+        page.codes.append(_code(f"{place} {label}", top.code))
+        page.parents.append(top.index)
         if name in VOID or m[3].endswith("/"):
             continue
-        element = _Element(name, path, top.outside or outside, top.article or name in ("article", "main"))
+        element = _Element(
+            name, page.codes[-1], len(page.codes) - 1, top.outside or outside, top.article or name in ("article", "main"), top.link or name == "a", top.heading or name in HEADINGS
+        )
         if name in RAW:
             close_at = re.compile(rf"</{name}", re.IGNORECASE).search(source, at)
             inner = source[at : close_at.start() if close_at else end]
@@ -176,70 +219,169 @@ def tokenise(source: str) -> Page:
     return page
 
 
-def _code(path: str, text: str | None = None) -> int:
-    raw = path if text is None else f"{path}\0{text}"
-    return xxhash.xxh64_intdigest(raw.encode("utf-8", "surrogatepass")) - (1 << 63)
+# --- the template of a host ---------------------------------------------------------------------------
 
+ELEMENT = np.dtype([("code", "<i8"), ("parent", "<i4")])
+BLOCKS = np.dtype([("code", "<i8"), ("element", "<i4"), ("words", "<i4"), ("linked", "<i4")])
 
-def _slots(page: Page) -> list[tuple[str, str, bool, bool]]:
-    """The blocks that may be main text, whatever the template."""
-    slots = [b for b in page.blocks if not b[2]]
-    return [b for b in slots if b[3]] if any(b[3] for b in page.blocks) else slots
 
+def pack_page(page: Page) -> tuple[int, bytes, bytes]:
+    """Fingerprint of the blocks that may be main text, and the page's tokens in numbers."""
+    elements = np.array(list(zip(page.codes[1:], page.parents[1:], strict=True)), ELEMENT)
+    blocks = np.array(
+        [(_code(b.text, page.codes[b.element]), b.element, len(b.text.split()), b.linked) for b in page.blocks if not b.outside], BLOCKS
+    )
+    inside = any(b.article for b in page.blocks)
+    body = "\n".join(b.text for b in page.blocks if not b.outside and (b.article or not inside))
+    return _code(body, 0), elements.tobytes(), blocks.tobytes()
 
-def templates(pages: DataFrame, html_col: str, share: float, least_pages: int) -> DataFrame:
-    """(host, tokens): the tokens of the valid classes of each host with least_pages bodies or more.
 
-    A token is in the template if it is on ``share`` of the host's bodies and some other
-    token has its vector. So the tokens of a host are not more than an average page has, over share.
-    """
-    rows = pages.select(F.col("_host"), whole(html_col).cast("string").alias("_html"))
+def _bodies(pages: DataFrame) -> DataFrame:
+    """(host, body, elements, blocks): one row for each distinct body of a host."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least: dict[tuple[str, int], bytes] = {}
-            for host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                page, counts = tokenise(source), {}
-                for p in page.paths:
-                    counts[_code(p)] = counts.get(_code(p), 0) + 1
-                for p, t, _, _ in page.blocks:
-                    counts[_code(p, t)] = counts.get(_code(p, t), 0) + 1
-                counts[0] = 1  # the page itself
-                body = xxhash.xxh64_intdigest(np.array([_code(b[0], b[1]) for b in _slots(page)], "<i8").tobytes()) - (1 << 63)
-                packed = np.array(sorted(counts.items()), "<i8").tobytes()
-                least[host, body] = min(least.get((host, body), packed), packed)
+            least: dict[tuple[str, int], tuple[bytes, bytes]] = {}
+            for host, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                body, *rest = pack_page(tokenise(source.as_py()))
+                least[host, body] = min(least.get((host, body), tuple(rest)), tuple(rest))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in least], pa.string()), pa.array([k[1] for k in least], pa.int64()), pa.array(list(least.values()), pa.binary())], names=["host", "body", "counts"]
+                [pa.array([k[0] for k in least], pa.string()), pa.array([k[1] for k in least], pa.int64()), *(pa.array([v[i] for v in least.values()], pa.binary()) for i in (0, 1))],
+                names=["host", "body", "elements", "blocks"],
             )
 
+    packed = pages.mapInArrow(pack, "host string, body long, elements binary, blocks binary")
+    return packed.groupBy("host", "body").agg(F.min(F.struct("elements", "blocks")).alias("page")).select("host", "body", "page.elements", "page.blocks")
+
+
+def classes_of(bodies: DataFrame, share: float, least_pages: int) -> DataFrame:
+    """(host, token, class): the tokens on ``share`` of a host's bodies whose vector another token has too."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}  # the sums of a batch's bodies: a hot host sends few rows
-            for host, body, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for token, n in np.frombuffer(packed, "<i8").reshape(-1, 2).tolist():
+            sums: dict[tuple[str, int], list[int]] = {}  # a batch's bodies at once: a hot host sends few rows
+            for host, body, elements, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lot = xxhash.xxh3_128_intdigest(body.to_bytes(8, "little", signed=True))
+                one, two = lot & 0xFFFFFFFF, lot >> 96
+                found = {*np.frombuffer(elements, ELEMENT)["code"].tolist(), *np.frombuffer(blocks, BLOCKS)["code"].tolist(), 0}
+                for token in found:  # 0: the page itself
                     s = sums.setdefault((host, token), [0, 0, 0])
                     s[0] += 1
-                    s[1] += n
-                    s[2] ^= xxhash.xxh64_intdigest(b"%d %d" % (body, n)) - (1 << 63)
-            columns = [[k[0] for k in sums], [k[1] for k in sums], *([v[i] for v in sums.values()] for i in range(3))]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["host", "token", "n", "total", "vector"])
-
-    bodies = rows.mapInArrow(pack, "host string, body long, counts binary").groupBy("host", "body").agg(F.min("counts").alias("counts"))
-    tokens = bodies.mapInArrow(count, "host string, token long, n long, total long, vector long")
-    tokens = cut(tokens.groupBy("host", "token").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector")).where("n > 1"))
-    hosts = tokens.where("token = 0").where(F.col("n") >= least_pages).select("host", F.col("n").alias("pages"))
+                    s[1] += one
+                    s[2] += two
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(3))],
+                names=["host", "token", "n", "one", "two"],
+            )
+
+    tokens = bodies.mapInArrow(count, "host string, token long, n long, one long, two long").groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in ("n", "one", "two")))
+    tokens = stored(tokens.where(F.col("n") >= least_pages), "tokens")  # a token of fewer bodies is in no template
+    hosts = tokens.where("token = 0").select("host", F.col("n").alias("pages"))
     frequent = tokens.where("token <> 0").join(hosts, "host").where(F.col("n") >= share * F.col("pages"))
-    classes = frequent.groupBy("host", "n", "total", "vector").agg(F.collect_list("token").alias("class")).where(F.size("class") >= 2)
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("class")).alias("tokens"))
+    found = frequent.groupBy("host", "n", "one", "two").agg(F.collect_list("token").alias("tokens")).where(F.size("tokens") >= 2)
+    return found.select("host", F.array_min("tokens").alias("class"), F.explode("tokens").alias("token"))
+
+
+#: part: of the body's words outside links, in millionths.
+INSIDE = ("depth", "bodies", "words", "linked", "blocks", "part")
+
+
+def look_at(elements: bytes, blocks: bytes, class_of: dict[int, int]) -> dict[int, tuple[int, ...]]:
+    """On one body, for each token of a class: its rank in the class's order, and what the slots inside it hold (INSIDE, zeros if nothing). 0 is the body."""
+    rows, texts = np.frombuffer(elements, ELEMENT), np.frombuffer(blocks, BLOCKS)
+    codes, parents = [0, *rows["code"].tolist()], [-1, *rows["parent"].tolist()]
+    depth, sums = [0] * len(codes), [[0, 0, 0] for _ in codes]
+    for i in range(1, len(codes)):
+        depth[i] = depth[parents[i]] + 1
+    constants = []
+    for code, element, words, linked in texts.tolist():
+        if code in class_of:  # a constant, not a slot
+            constants.append((element, code))
+        else:
+            sums[element][0] += words
+            sums[element][1] += linked
+            sums[element][2] += 1
+    for i in range(len(codes) - 1, 0, -1):  # an element comes after those around it
+        for k in range(3):
+            sums[parents[i]][k] += sums[i][k]
+    plain = sums[0][0] - sums[0][1]
+    out = {0: (0, 0, 1, *sums[0], 1_000_000 if plain else 0)}
+    met: dict[int, int] = {}
+    ordered = sorted([*((i, c, True) for i, c in enumerate(codes) if c in class_of), *((i, c, False) for i, c in constants)], key=lambda x: (x[0], not x[2]))
+    for i, c, is_element in ordered:
+        rank = met[class_of[c]] = met.get(class_of[c], 0) + 1
+        filled = is_element and sums[i][0] > 0
+        part = 1_000_000 * (sums[i][0] - sums[i][1]) // plain if plain and is_element else 0
+        out[c] = (rank, depth[i], 1, *sums[i], part) if filled else (rank, depth[i], 0, 0, 0, 0, 0)
+    return out
+
+
+def templates(pages: DataFrame, share: float, least_pages: int) -> DataFrame:
+    """(host, constants, menus, main) of each host of pages (host, html) with least_pages bodies or more.
+
+    A host has no more template tokens than an average body has tokens, over share.
+    """
+    bodies = stored(_bodies(pages), "bodies")
+    valid = classes_of(bodies, share, least_pages)
+    known = stored(valid.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens")), "classes")
+    salted = known.select(F.col("host").alias("_of"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "tokens")
+    met = bodies.join(salted, (F.col("host") == F.col("_of")) & (F.pmod("body", F.lit(SALTS)) == F.col("_salt"))).select("host", "elements", "blocks", "tokens")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes: dict[str, dict[int, int]] = {}
+        for batch in batches:
+            sums: dict[tuple, list[int]] = {}
+            for i, host in enumerate(batch.column(0).to_pylist()):
+                if host not in classes:
+                    if len(classes) > 1000:
+                        classes.clear()
+                    classes[host] = {x["token"]: x["class"] for x in batch.column(3)[i].as_py()}
+                for code, (rank, depth, *values) in look_at(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), classes[host]).items():
+                    s = sums.setdefault((host, code), [rank, rank, depth, *[0] * len(values)])
+                    s[0], s[1] = min(s[0], rank), max(s[1], rank)
+                    for at, v in enumerate(values, 3):
+                        s[at] += v
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *(pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(2 + len(INSIDE)))],
+                names=["host", "code", "low", "high", *INSIDE],
+            )
+
+    seen = met.mapInArrow(look, "host string, code long, low long, high long, " + ", ".join(f"{c} long" for c in INSIDE))
+    seen = stored(seen.groupBy("host", "code").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("depth").alias("depth"), *(F.sum(c).alias(c) for c in INSIDE[1:])), "seen")
+    whole_page = seen.where("code = 0").select("host", F.col("part").alias("all_parts"))
+    judged = seen.where("code <> 0 and low = high").join(whole_page, "host")
+    token = F.col("code")
+    is_main = (2 * F.col("part") >= F.col("all_parts")) & (F.col("part") > 0) & (F.col("blocks") > F.col("bodies"))
+    return judged.groupBy("host").agg(
+        F.collect_list(F.when(F.col("bodies") == 0, token)).alias("constants"),
+        F.collect_list(F.when(2 * F.col("linked") > F.col("words"), token)).alias("menus"),
+        F.max(F.when(is_main, F.struct("depth", "part", "code")))["code"].alias("main"),
+    )
+
+
+@dataclass(frozen=True)
+class Template:
+    constants: frozenset[int]
+    menus: frozenset[int]
+    main: int | None
 
 
-def main_text(source: str, template: frozenset[int] | set[int]) -> str:
+def main_text(source: str, template: Template | None = None) -> str:
     page = tokenise(source)
-    found = _slots(page)
-    slots = [b for b in found if _code(b[0], b[1]) not in template]
-    if not slots and any(b[3] for b in found):
-        slots = found
-    return "\n".join(b[1] for b in slots)
+    blocks = [b for b in page.blocks if not b.outside]
+    if template is None:
+        in_article = any(b.article for b in page.blocks)
+        return "\n".join(b.text for b in blocks if b.article or not in_article)
+    in_menu, in_main = page.within(template.menus), page.within(frozenset() if template.main is None else frozenset((template.main,)))
+    is_main = lambda b: b.article or in_main[b.element]
+    slots = [b for b in blocks if not in_menu[b.element]]
+    found = [b for b in slots if is_main(b)]
+    rest = [b for b in slots if not is_main(b) and _code(b.text, page.codes[b.element]) not in template.constants]
+    if not found:
+        return "\n".join(b.text for b in rest if not any(x.article for x in page.blocks))
+    if not any(b.article or b.heading for b in found):  # a headline before the main element is the text's own
+        found = [*[b for b in rest if b.heading][:1], *found]
+    return "\n".join(b.text for b in found)
 
 
 def extract(
@@ -249,24 +391,29 @@ def extract(
 
     Blocks are joined by one line feed; white space inside a block is one space.
     Null html counts as empty; pages with a null URL are one host. Hosts with
-    fewer than least_pages pages of different main text have no template. Repeated rows are extracted alike.
-    Columns named like those added are replaced. An empty table gives an empty table.
+    fewer than least_pages pages of different main text have no template. Repeated rows
+    are extracted alike and change no template. Columns named text and n_chars are
+    replaced, all others are kept whatever they are called. An empty table gives an empty table.
     """
-    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "_host", "_of", "_tokens")]
-    source = pages.select(*names, F.col(html_col), host_of(whole(url_col)).alias("_host"))
-    found = cut(templates(source, html_col, share, least_pages)).select(F.col("host").alias("_of"), F.col("tokens").alias("_tokens"))
-    joined = source.join(found, F.col("_host") == F.col("_of"), "left").select(*names, whole(html_col).cast("string").alias("_html"), "_host", "_tokens")
+    names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
+    host, of, salt, found_in, source_in = fresh(pages.columns, "host", "of", "salt", "template", "html")
+    url, raw = host_of(whole(url_col)), whole(html_col).cast("string")
+    found = stored(templates(pages.select(url.alias("host"), raw.alias("html")), share, least_pages), "templates")
+    sent = found.select(F.col("host").alias(of), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.struct("constants", "menus", "main").alias(found_in))
+    rows = pages.select(*names, raw.alias(source_in), url.alias(host))
+    joined = rows.join(sent, (F.col(host) == F.col(of)) & (F.pmod(F.xxhash64(source_in), F.lit(SALTS)) == F.col(salt)), "left").select(*names, source_in, host, found_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, frozenset[int]] = {}
+        known: dict[str, Template | None] = {}
         for batch in batches:
             k, texts = len(names), []
-            for source, host, tokens in zip(*(batch.column(i) for i in range(k, k + 3)), strict=True):
+            for source, host, template in zip(*(batch.column(i) for i in range(k, k + 3)), strict=True):
                 at = host.as_py()
                 if at not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[at] = frozenset(tokens.as_py() or ())
+                    t = template.as_py()
+                    known[at] = t and Template(frozenset(t["constants"]), frozenset(t["menus"]), t["main"])
                 texts.append(main_text(source.as_py(), known[at]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:k], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*names, "text", "n_chars"])
 

@@ -1,4 +1,8 @@
-from loomframe.llm.html_extract import _code, extract, main_text, tokenise
+import random
+
+from pyspark.sql import functions as F
+
+from loomframe.llm.html_extract import Template, _bodies, _code, classes_of, extract, main_text, templates, tokenise
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/a">a</a><li>b</ul></nav><!-- <p>no</p> --><div class="ad">Buy</div><div id="cookie-notice">ok?</div>
@@ -8,18 +12,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 def test_article():
     body = "<article><h1>Head&nbsp;line</h1><p><b>One\n  two<br><p>Tom &amp; <i>Je</i>rry &#233; &lt;b&gt;</p><div class='promo box'>no</div><ul><li>x<li>y</ul>tail</article>"
     want = "Head line\nOne two\nTom & Jerry é <b>\nx\ny\ntail"
-    assert main_text(PAGE.format(body), frozenset()) == want
-    assert main_text(PAGE.format(body).replace("article", "div"), frozenset()) == want
+    assert main_text(PAGE.format(body)) == want
+    assert main_text(PAGE.format(body).replace("article", "div")) == want
 
 
 def test_broken_markup():
-    assert main_text("", frozenset()) == ""
-    assert main_text("a < b <p", frozenset()) == "a < b <p"
-    assert main_text("<p class='x>open</p>", frozenset()).endswith("open")
-    assert main_text("<article><p>a</div></span><p>b", frozenset()) == "a\nb"
-    assert main_text("<script>x", frozenset()) == ""
-    assert tokenise("<p>" * 3000 + "z").blocks[-1][1] == "z"
-    assert main_text('<p a="' * 2000, frozenset()) != ""
+    assert main_text("") == ""
+    assert main_text("a < b <p") == "a < b <p"
+    assert main_text("<p class='x>open</p>").endswith("open")
+    assert main_text("<article><p>a</div></span><p>b") == "a\nb"
+    assert main_text("<script>x") == ""
+    assert tokenise("<p>" * 3000 + "z").blocks[-1].text == "z"
+    assert main_text('<p a="' * 2000) != ""
 
 
 def test_template_of_a_host(spark):
@@ -47,5 +51,77 @@ def test_copies_of_an_article_are_no_template(spark):
     assert all(got[100 + i] == f"Head {i}\nText {i}" for i in range(95, 100))
     assert all("Head\nOne text\nand more" in got[300 + i] for i in range(40))
     kept = tokenise(page.format(article, 1))
-    everything = {_code(p, t) for p, t, _, _ in kept.blocks}
+    everything = Template(frozenset(_code(b.text, kept.codes[b.element]) for b in kept.blocks), frozenset(), None)
     assert main_text(page.format(article, 1), everything) == "Head\nOne text\nand more"
+
+
+PLAIN = "<body><div><ul>{links}</ul></div><div>{ad}</div><div><h1>{head}</h1>{body}</div><div>&copy; the site, {ad}</div></body>"
+
+
+def plain_pages(rng, hosts=3, pages=15):
+    """Pages whose surroundings sit in div elements without a name, and the text of each."""
+    words = lambda n: " ".join(rng.choice("stone river cold light under walking".split()) + rng.choice(["", "s", "er"]) for _ in range(n))
+    rows, want = [], {}
+    for i in range(hosts * pages):
+        parts = [words(rng.randint(3, 60)) for _ in range(rng.randint(2, 6))]
+        page = PLAIN.format(links="".join(f"<li><a href=x>{words(1)}</a></li>" for _ in range(4)), ad=words(6), head=f"Head {i}", body="".join(f"<p>{x}</p>" for x in parts))
+        rows.append((i, f"https://h{i % hosts}.org/{i}", page))
+        want[i] = "\n".join([f"Head {i}", *parts])
+    return rows, want
+
+
+def test_the_template_finds_the_text_where_no_name_tells(spark):
+    rows, want = plain_pages(random.Random(3))
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(frame).collect()} == want
+    twice = {}
+    for r in extract(frame.unionAll(frame)).collect():  # repeated rows change no template
+        twice.setdefault(r["page_id"], []).append(r["text"])
+    assert twice == {k: [v, v] for k, v in want.items()}
+
+
+def test_classes_against_brute_force(spark):
+    """Vectors gathered whole, in plain Python, give the same classes as their fingerprints."""
+    rng = random.Random(9)
+    rows, _ = plain_pages(rng, hosts=2, pages=20)
+    rows += [(100 + i, "https://h0.org/x", f"<body><div><i>{rng.choice('ab')}</i><b>{rng.choice('cd')}</b></div><p>own {i}</p></body>") for i in range(12)]
+    rows += rows[:7]
+    bodies: dict[str, dict[str, set]] = {}
+    for _, url, source in rows:
+        page = tokenise(source)
+        found = {*page.codes[1:], *(_code(b.text, page.codes[b.element]) for b in page.blocks)}
+        bodies.setdefault(url.split("/")[2], {})["\n".join(b.text for b in page.blocks)] = found
+    want = set()
+    for host, pages in bodies.items():
+        vectors: dict[tuple, list] = {}
+        for token in set().union(*pages.values()):
+            vectors.setdefault(tuple(token in found for found in pages.values()), []).append(token)
+        want |= {(host, tuple(sorted(tokens))) for v, tokens in vectors.items() if len(tokens) > 1 and sum(v) >= 0.5 * len(v) and sum(v) >= 5}
+    frame = spark.createDataFrame([(u.split("/")[2], h) for _, u, h in rows], "host string, html string")
+    got: dict[tuple, list] = {}
+    for r in classes_of(_bodies(frame), 0.5, 5).collect():
+        got.setdefault((r["host"], r["class"]), []).append(r["token"])
+    assert {(host, tuple(sorted(tokens))) for (host, _), tokens in got.items()} == want
+
+
+def test_tokens_in_changing_order_leave_their_class(spark):
+    """Two labelled parts that swap their places share a vector and are left out; the rest of the template stays."""
+    one, two = "<section id=a>left of it</section>", "<section id=b>right of it</section>"
+    rows = [("h", f"<body><div><b>Fixed</b></div>{one + two if i % 2 else two + one}<p>own {i} and more of it</p></body>") for i in range(10)]
+    found = templates(spark.createDataFrame(rows, "host string, html string"), 0.9, 8).first()
+    page = tokenise(rows[0][1])
+    texts = {_code(b.text, page.codes[b.element]): b.text for b in page.blocks}
+    assert {texts[c] for c in found["constants"] if c in texts} == {"Fixed"}
+    steady = [("h", r[1].replace(two + one, one + two)) for r in rows]
+    found = templates(spark.createDataFrame(steady, "host string, html string"), 0.9, 8).first()
+    assert {texts[c] for c in found["constants"] if c in texts} == {"Fixed", "left of it", "right of it"}
+
+
+def test_columns_of_any_name_stay(spark):
+    rows, want = plain_pages(random.Random(4), hosts=1)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    names = ["_host", "host", "_of", "_salt", "_template", "_html", "main"]
+    frame = frame.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    got = extract(frame)
+    assert got.columns == ["page_id", "url", *names, "text", "n_chars"]
+    assert all(r["text"] == want[r["page_id"]] and [r[n] for n in names] == list(range(7)) for r in got.collect())
