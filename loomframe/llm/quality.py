@@ -3,14 +3,22 @@
 One pass measures every document. For each language and source a mergeable
 quantile sketch (KLL) of each measure is built, partially in every task and then
 merged, and sketches of sources merge into those of languages and of the whole.
-A threshold is a fence: the median, give or take ``width`` times the distance to
-the quantile on its clean side, with a floor for measures that hardly vary. A
-group too small for a sketch of its own takes its language's, then the whole
-corpus's. The fences are joined to the measures and decide.
-
-As faults of a kind push a measure to one side only, the distance is taken on the
-other side: a group of which nearly half is junk still has the fence of its
-clean half.
+What is read from a group's sketches is drawn towards its language's by ``prior``
+documents' weight, and that towards the whole corpus's: a group has a say in
+proportion to its size, and no size is a border.
+
+A limit is the median and ``width`` times the distance to the quantile on its clean
+side. As faults of a kind push a measure to one side only, the distance is taken on
+the other side: a group of which nearly half is junk still has the limit of its
+clean half. Nor is it held to be less than the scatter that chance alone gives a text
+of median length. Where most documents have none of what is counted, these quantiles are
+zero and the sketch's rank of zero tells the rate: with rate r a text of median
+length has none with probability exp(-r x length).
+
+A limit is a ratio; what a document may have is a count. So it fails where its count
+is beyond chance at the limit (Bernstein's bound, ``z`` deviations), which leaves
+short texts alone where a few characters make a high ratio. No cutoff is fixed. The
+limits are joined to the measures and decide.
 """
 
 from __future__ import annotations
@@ -23,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, whole
+from .common import SPACE, cut, stored, whole
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+SALTS = 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _UPPER, _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs")
@@ -34,12 +43,11 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 @dataclass(frozen=True)
 class Measure:
-    """A ratio of two counts, the least spread it is held to have, and whether low values fail too."""
+    """A ratio of two counts, and whether low values fail too."""
 
     name: str
     over: str
     under: str
-    floor: float
     both_sides: bool = False
 
     def column(self) -> Column:
@@ -47,12 +55,15 @@ class Measure:
 
 
 MEASURES = (
-    Measure("symbols", "n_symbols", "word_chars", 0.01),
-    Measure("capitals", "n_upper", "n_letters", 0.04),
-    Measure("bangs", "n_bangs", "n_words", 0.05),
-    Measure("dup_lines", "n_dup_lines", "n_lines", 0.1),
-    Measure("word_length", "word_chars", "n_words", 0.8, both_sides=True),
+    Measure("symbols", "n_symbols", "word_chars"),
+    Measure("capitals", "n_upper", "n_letters"),
+    Measure("bangs", "n_bangs", "n_words"),
+    Measure("dup_lines", "n_dup_lines", "n_lines"),
+    Measure("word_length", "word_chars", "n_words", both_sides=True),
 )
+UNDER = tuple(dict.fromkeys(m.under for m in MEASURES))
+#: What is read from the sketches of a measure: three quantiles, the share of zeros, the median of what it is divided by.
+READ = ("below", "median", "above", "zeros", "length")
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -110,51 +121,66 @@ def measure(docs: DataFrame, keys: dict[str, Column], text_col: str = "text") ->
     return rows.mapInArrow(run, fields)
 
 
-def fences(measured: DataFrame, width: float, clean_quantile: float, k: int) -> DataFrame:
-    """For each (lang, source), each (lang, null) and (null, null): n and an array of low and high of each measure.
+def readings(measured: DataFrame, clean_quantile: float, k: int) -> DataFrame:
+    """For each (lang, source), each (lang, null) and (null, null): n and ``r``, an array of READ of each measure.
 
     The sketches are merged bottom up: no rows are read twice.
     """
-    own = measured.groupBy("_lang", "_source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(m.column(), F.lit(k)).alias(m.name) for m in MEASURES)
-    )
-    own = cut(own)  # a sketch draws lots: taken once, so that every use sees the same
-    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(m.name).alias(m.name) for m in MEASURES)]
+    sketched = {m.name: m.column() for m in MEASURES} | {f"by_{c}": F.col(c).cast("double") for c in UNDER}
+    own = measured.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, F.lit(k)).alias(name) for name, c in sketched.items()))
+    own = stored(own, "sketches")  # a sketch draws lots: taken once, so that every use sees the same
+    merge = [F.sum("n").alias("n"), *(F.kll_merge_agg_double(name).alias(name) for name in sketched)]
     by_lang = own.groupBy("_lang").agg(*merge).withColumn("_source", F.lit(None).cast("string"))
     overall = by_lang.groupBy().agg(*merge).where("n > 0").withColumns({"_lang": F.lit(None).cast("string"), "_source": F.lit(None).cast("string")})
-    sketches = own.unionByName(by_lang).unionByName(overall)
-    at = F.array(F.lit(clean_quantile), F.lit(0.5), F.lit(1 - clean_quantile))
-    limits = []
+    read = []
     for m in MEASURES:
-        q = F.kll_sketch_get_quantile_double(m.name, at)
-        below = F.greatest(q[1] - q[0], F.lit(m.floor))
-        above = F.greatest(q[2] - q[1], F.lit(m.floor))
-        high = q[1] + width * (below if not m.both_sides else F.least(below, above))
-        low = q[1] - width * F.least(below, above) if m.both_sides else F.lit(float("-inf"))
-        limits += [low.alias(f"low_{m.name}"), high.alias(f"high_{m.name}")]
-    return cut(sketches.select("_lang", "_source", "n", F.struct(*limits).alias("limits")))
-
-
-def judge(measured: DataFrame, width: float = 6.0, clean_quantile: float = 0.1, least_rows: int = 200, k: int = 200) -> DataFrame:
+        read += [F.kll_sketch_get_quantile_double(m.name, F.lit(q)) for q in (clean_quantile, 0.5, 1 - clean_quantile)]
+        read += [F.kll_sketch_get_rank_double(m.name, F.lit(0.0)), F.kll_sketch_get_quantile_double(f"by_{m.under}", F.lit(0.5))]
+    return stored(own.unionByName(by_lang).unionByName(overall).select("_lang", "_source", "n", F.array(*read).alias("r")), "readings")
+
+
+def limits(measured: DataFrame, width: float, clean_quantile: float, k: int, prior: float) -> DataFrame:
+    """(lang, source, n, limits): low and high of each measure, for each group of measured."""
+    found = readings(measured, clean_quantile, k)
+    drawn = lambda n, own, parent: F.zip_with(own, parent, lambda a, b: (n * a + prior * b) / (n + prior))
+    overall = found.where(F.col("_lang").isNull()).select(F.col("r").alias("_all"))  # one row at most
+    by_lang = found.where(F.col("_source").isNull() & F.col("_lang").isNotNull()).crossJoin(F.broadcast(overall))
+    by_lang = by_lang.select(F.col("_lang").alias("_of"), drawn(F.col("n"), F.col("r"), F.col("_all")).alias("_by_lang"))
+    own = found.where(F.col("_source").isNotNull()).join(by_lang, F.col("_lang") == F.col("_of"))
+    own = own.select("_lang", "_source", "n", drawn(F.col("n"), F.col("r"), F.col("_by_lang")).alias("r"))
+    out = []
+    for i, m in enumerate(MEASURES):
+        below, median, above, zeros, length = (F.get("r", F.lit(len(READ) * i + j)) for j in range(len(READ)))
+        if m.both_sides:
+            spread = width * F.greatest(F.least(median - below, above - median), median / (2 * F.sqrt(F.greatest(length, F.lit(1.0)))))
+            out += [(median - spread).alias(f"low_{m.name}"), (median + spread).alias(f"high_{m.name}")]
+        else:
+            rate = -F.log(F.greatest(zeros, F.lit(0.5))) / F.greatest(length, F.lit(1.0))
+            out += [F.lit(0.0).alias(f"low_{m.name}"), (median + width * (F.greatest(median - below, F.sqrt(median / F.greatest(length, F.lit(1.0)))) + rate)).alias(f"high_{m.name}")]
+    return stored(own.select("_lang", "_source", "n", F.struct(*out).alias("limits")), "limits")
+
+
+def judge(measured: DataFrame, width: float = 6.0, clean_quantile: float = 0.1, z: float = 5.0, k: int = 200, prior: float = 100.0) -> DataFrame:
     """measured with base_failed, kept, and the names of the rules failed.
 
     The fixed base comes first (under 10 words, or over a fifth of the words in
-    repeated windows); the fences are of documents that pass it.
+    repeated windows); the limits are of documents that pass it.
     """
     measured = measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    limits = fences(measured.where(~F.col("base_failed")), width, clean_quantile, k)
-    own = limits.where(F.col("_source").isNotNull() & (F.col("n") >= least_rows)).select(F.col("_lang").alias("_l1"), F.col("_source").alias("_s1"), F.col("limits").alias("_own"))
-    by_lang = limits.where(F.col("_source").isNull() & F.col("_lang").isNotNull() & (F.col("n") >= least_rows)).select(F.col("_lang").alias("_l2"), F.col("limits").alias("_of_lang"))
-    overall = limits.where(F.col("_lang").isNull()).select(F.col("limits").alias("_all"))  # one row at most
-    joined = (
-        measured.join(own, (F.col("_lang") == F.col("_l1")) & (F.col("_source") == F.col("_s1")), "left")
-        .join(by_lang, F.col("_lang") == F.col("_l2"), "left")
-        .join(F.broadcast(overall), F.lit(True), "left")
-    )
-    limit = F.coalesce("_own", "_of_lang", "_all")
-    rules = [F.when((m.column() < limit[f"low_{m.name}"]) | (m.column() > limit[f"high_{m.name}"]), F.lit(m.name)) for m in MEASURES]
-    failed = F.array_compact(F.array(*rules))
-    return joined.withColumn("failed", failed).select(
+    found = limits(measured.where(~F.col("base_failed")), width, clean_quantile, k, prior)
+    salted = found.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("limits").alias("_limits"))
+    salt = F.pmod(F.xxhash64(*COUNTS), F.lit(SALTS))  # a hot group meets its limits in so many tasks
+    joined = measured.join(salted, (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")) & (salt == F.col("_salt")), "left")
+    rules = []
+    for m in MEASURES:
+        low, high, under = F.col("_limits")[f"low_{m.name}"], F.col("_limits")[f"high_{m.name}"], F.col(m.under).cast("double")
+        if m.both_sides:  # a mean of n lengths, which scatter by about their own mean's half
+            chance = z * m.column() / (2 * F.sqrt(F.greatest(under, F.lit(1.0))))
+            fails = (m.column() < low - chance) | (m.column() > high + chance)
+        else:
+            fails = F.col(m.over) > high * under + z * F.sqrt(high * under) + z * z / 3
+        rules.append(F.when(fails, F.lit(m.name)))
+    return joined.withColumn("failed", F.array_compact(F.array(*rules))).select(
         *measured.columns, (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed"
     )
 
@@ -175,7 +201,12 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **pa
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of docs that pass, columns unchanged; rows are told apart by id and text."""
+    """The rows of docs that pass, columns unchanged, whatever they are called; rows are told apart by id and text.
+
+    Null text, empty text and texts under 10 words fail the base and go; null ids,
+    languages and sources are values like others; repeated rows stay or go together.
+    An empty table gives an empty table.
+    """
     keys = _keys(docs, id_col) | {"_hash": F.xxhash64(whole(text_col))}
     good = judge(cut(measure(docs, keys, text_col)), **params).where("kept").select("_id", "_hash")
     return docs.join(good, docs[id_col].eqNullSafe(good["_id"]) & (F.xxhash64(whole(docs[text_col])) == good["_hash"]), "left_semi")

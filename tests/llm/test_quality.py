@@ -1,8 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
-from loomframe.llm.quality import assess, keep_good, measure_text
+import numpy as np
+
+from loomframe.llm.quality import COUNTS, MEASURES, _keys, assess, keep_good, limits, measure, measure_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -56,3 +59,71 @@ def test_nulls_repeats_long_and_empty(spark):
     assert sorted(map(str, got)) == sorted(map(str, [(1, True, False), (1, True, False), (None, True, False), (2, False, True), (3, False, True), (4, True, False)]))
     assert keep_good(docs).count() == 4
     assert assess(docs.limit(0)).collect() == [] and keep_good(docs.limit(0)).collect() == []
+
+
+def mixed(rng):
+    """Groups that differ in every measure, junk in some of them; ids of the junk."""
+    rows, bad = [], set()
+    for i in range(1200):
+        g = i % 6
+        text = clean(rng) if g < 3 else " ".join(clean(rng) for _ in range(3))
+        if g == 1:  # titles are usual here
+            text = " ".join(w.capitalize() if rng.random() < 0.5 else w for w in text.split(" "))
+        if g == 2:  # and symbols here
+            text = " ".join(w + "#" if rng.random() < 0.1 else w for w in text.split(" "))
+        if g == 4:
+            text = text.replace("walking", "walkingunderneath").replace(" of ", " whereof ")
+        if i % 20 == 7:
+            bad.add(i)
+            text = [re.sub(" ", "*** ", text), text.upper(), text.replace(" ", "! ")][i // 20 % 3]
+        rows.append((i, text, "en" if g % 2 else "de", f"s{g}", "clash"))
+    return rows, bad
+
+
+def test_decisions_against_brute_force_with_exact_quantiles(spark):
+    """Sketches wide enough to be exact; every step again in numpy."""
+    rng = random.Random(7)
+    rows, bad = mixed(rng)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r for r in assess(docs, k=4096).collect()}
+    counts = {r[0]: dict(zip(COUNTS, measure_text(r[1]), strict=True)) for r in rows}
+    passing = [r for r in rows if not got[r[0]]["base_failed"]]
+    ratio = lambda i, m: counts[i][m.over] / counts[i][m.under] if counts[i][m.under] else 0.0
+
+    def read(ids, m):
+        v, u = sorted(ratio(i, m) for i in ids), sorted(counts[i][m.under] for i in ids)
+        at = lambda x, q: x[max(0, math.ceil(q * len(x)) - 1)]
+        return np.array([at(v, 0.1), at(v, 0.5), at(v, 0.9), sum(x == 0 for x in v) / len(v), at(u, 0.5)])
+
+    draw = lambda n, own, parent: (n * own + 100 * parent) / (n + 100)
+    failed: dict[int, list] = {r[0]: [] for r in rows}
+    for m in MEASURES:
+        whole = read([r[0] for r in passing], m)
+        for lang in ("en", "de"):
+            of_lang = [r[0] for r in passing if r[2] == lang]
+            by_lang = draw(len(of_lang), read(of_lang, m), whole)
+            for source in {r[3] for r in passing if r[2] == lang}:
+                ids = [r[0] for r in passing if (r[2], r[3]) == (lang, source)]
+                below, median, above, zeros, length = draw(len(ids), read(ids, m), by_lang)
+                for i in ids:
+                    x, n = ratio(i, m), counts[i][m.under]
+                    if m.both_sides:
+                        wide = 6 * max(min(median - below, above - median), median / (2 * math.sqrt(max(length, 1)))) + 5 * x / (2 * math.sqrt(n))
+                        fails = x < median - wide or x > median + wide
+                    else:
+                        high = median + 6 * (max(median - below, math.sqrt(median / max(length, 1))) - math.log(max(zeros, 0.5)) / max(length, 1))
+                        fails = counts[i][m.over] > high * n + 5 * math.sqrt(high * n) + 25 / 3
+                    if fails:
+                        failed[i].append(m.name)
+    assert {i: got[i]["failed"] for i in got if not got[i]["base_failed"]} == {r[0]: failed[r[0]] for r in passing}
+    caught = {i for i, r in got.items() if not r["kept"]}
+    assert caught == bad
+
+
+def test_limits_differ_by_group(spark):
+    rows, _ = mixed(random.Random(8))
+    measured = measure(spark.createDataFrame(rows, SCHEMA), _keys(spark.createDataFrame(rows, SCHEMA), "doc_id"))
+    found = limits(measured.where("n_words >= 10"), 6.0, 0.1, 200, 100.0).collect()
+    assert len(found) == 6
+    for name in ("symbols", "capitals", "word_length"):
+        assert len({round(r["limits"][f"high_{name}"], 6) for r in found}) == 6
