@@ -2,13 +2,14 @@
 
 1. A text becomes the set of its n-word shingles (64-bit hashes) and a MinHash
    signature. Texts with the same set are one node, with a weight.
-2. Banding finds nodes that may be near; nodes that share a band key are tied to
-   the smallest of them (a star, not all pairs), and connected ones are a family.
-   With 21 bands of 3 a pair at the threshold of 0.8 is missed in 3 of 10^7 cases.
+2. Banding finds nodes that may be near: with 21 bands of 3 a pair at the threshold of
+   0.8 is missed in 3 of 10^7 cases. The signatures of a band key's nodes meet, sorted, and are
+   compared STEP values at a time; a pair is dropped once the posterior probability
+   (uniform prior) that its similarity reaches the threshold falls below ``tolerance``. What is
+   left ties its nodes, as a tree for each key and never as pairs; a key of more
+   than CROWD nodes ties them all. Connected nodes are a family: those that no pair could link are apart.
 3. A family's texts meet in one task, or in blocks against blocks if there are more than
-   BLOCK. There the MinHash values of two nodes are compared STEP at a time, and
-   a pair is dropped once the posterior probability (uniform prior) that its
-   similarity reaches the threshold falls below ``tolerance``. What is left is
+   BLOCK. There pairs are pruned likewise, and what is left is
    verified on the exact sets: pair by pair, or for dense blocks as a product of
    incidence matrices. A task returns a row for each node: the weight of its links and the
    root of its piece, never the pairs.
@@ -24,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, whole
+from .common import cut, fresh, stored, whole
 from .components import components
 
 BANDS, ROWS, STEP = 21, 3, 9
 HASHES = BANDS * ROWS
 BLOCK = 256
+CROWD = 256  # nodes of a band key that are compared in one task
 VOCABULARY = 400_000
 COLUMNS = 8192  # shingles of a block that are multiplied at once
 
@@ -84,11 +87,26 @@ def least_matches(threshold: float, tolerance: float) -> tuple[tuple[int, int],
     return tuple((n, next(m for m in range(n + 1) if posterior(m, n, threshold) >= tolerance)) for n in range(STEP, HASHES + 1, STEP))
 
 
+def _pruned(sig_a: np.ndarray, sig_b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float, tolerance: float, done: int = 0, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j) that are left when their values beyond the first ``done``, of which ``count`` agree, are compared STEP at a time."""
+    count = np.zeros(len(i), np.int32) if count is None else count
+    for hi, need in least_matches(threshold, tolerance):
+        if hi <= done or not len(i):
+            continue
+        step = np.empty(len(i), np.int32)
+        for at in range(0, len(i), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            step[s] = (sig_a[i[s], hi - STEP : hi] == sig_b[j[s], hi - STEP : hi]).sum(axis=1)
+        count = count + step
+        go = count >= need
+        i, j, count = i[go], j[go], count[go]
+    return i, j
+
+
 def linked_pairs(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list, sets_b: list, same: bool, threshold: tuple[int, int], tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the pairs whose Jaccard similarity is at least p/q. same: a block with itself, each pair once."""
     p, q = threshold
-    steps = least_matches(p / q, tolerance)
-    first, need = steps[0]
+    first, need = least_matches(p / q, tolerance)[0]
     agree = np.zeros((len(sig_a), len(sig_b)), np.int16)
     for k in range(first):
         agree += sig_a[:, k, None] == sig_b[None, :, k]
@@ -96,17 +114,7 @@ def linked_pairs(sig_a: np.ndarray, sig_b: np.ndarray, sets_a: list, sets_b: lis
     if same:
         live = np.triu(live, 1)
     i, j = np.nonzero(live)
-    count = agree[i, j].astype(np.int32)
-    for (lo, _), (hi, need) in zip(steps, steps[1:], strict=False):
-        if not len(i):
-            break
-        step = np.empty(len(i), np.int32)
-        for at in range(0, len(i), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            step[s] = (sig_a[i[s], lo:hi] == sig_b[j[s], lo:hi]).sum(axis=1)
-        count += step
-        go = count >= need
-        i, j, count = i[go], j[go], count[go]
+    i, j = _pruned(sig_a, sig_b, i, j, p / q, tolerance, first, agree[i, j].astype(np.int32))
     if not len(i):
         return i, j
     sizes_a, sizes_b = np.array([len(s) for s in sets_a]), np.array([len(s) for s in sets_b])
@@ -156,36 +164,85 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
 
 
 def _sketch(rows: DataFrame, n: int) -> DataFrame:
-    """(id, set1, set2, sig) of each row with a word; a set is named by 128 bits."""
+    """(id, hash, set1, set2, sig) of each row with a word; a set is named by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_of = _Hashes()
         for batch in batches:
-            ids, s1, s2, sigs = [], [], [], []
-            for i, text in zip(batch.column(0), batch.column(1), strict=True):
+            at, s1, s2, sigs = [], [], [], []
+            for k, text in enumerate(batch.column(2)):
                 shingles = shingle_set(text.as_py(), n, words_of)
                 if not len(shingles):
                     continue
                 digest = xxhash.xxh3_128_digest(shingles.tobytes())
-                ids.append(i.as_py())
+                at.append(k)
                 s1.append(int.from_bytes(digest[:8], "little", signed=True))
                 s2.append(int.from_bytes(digest[8:], "little", signed=True))
                 sigs.append(signature(shingles).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "set1", "set2", "sig"])
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(kept), batch.column(1).take(kept), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sigs, pa.binary())], names=["id", "hash", "set1", "set2", "sig"]
+            )
+
+    return rows.mapInArrow(run, "id long, hash long, set1 long, set2 long, sig binary")
+
+
+def key_trees(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, threshold: float, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Ties among the nodes of each key (equal keys adjoin): a tree over those that unpruned pairs connect."""
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    left = np.repeat(np.append(begins[1:], len(keys)), np.diff(np.append(begins, len(keys)))) - np.arange(len(keys)) - 1  # members after each
+    found_i, found_j = [], []
+    for d in range(1, int(left.max()) + 1 if len(left) else 1):
+        i = np.flatnonzero(left >= d)
+        i, j = _pruned(sigs, sigs, i, i + d, threshold, tolerance)
+        found_i.append(i)
+        found_j.append(j)
+    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
+    root = np.array(_roots(len(keys), i, j), np.int64)
+    tied = np.flatnonzero(root != np.arange(len(keys)))
+    return nodes[root[tied]], nodes[tied]
+
+
+def _ties(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(a, b): edges that connect every two nodes that may be near."""
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
+    bands = nodes.select("node", F.explode(band).alias("key"))
+    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    met = cut(bands.join(shared, "key"))
+    crowds = met.where((F.col("n") > CROWD) & (F.col("node") != F.col("head"))).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    few = met.where(F.col("n") <= CROWD).select("key", "node").join(nodes.select("node", "sig"), "node")
+    few = few.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig")
 
-    return rows.mapInArrow(run, "id long, set1 long, set2 long, sig binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None  # the last key's nodes may go on in the next batch
+
+        def out(table: pa.Table) -> pa.RecordBatch:
+            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(len(table), HASHES)
+            a, b = key_trees(table["key"].to_numpy(), table["node"].to_numpy(), sigs, threshold, tolerance)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = table["key"].to_numpy()
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            held = table.slice(last)
+            if last:
+                yield out(table.slice(0, last))
+        if held is not None and len(held):
+            yield out(held)
+
+    return crowds.unionAll(few.mapInArrow(run, "a long, b long")).distinct()
 
 
 def _compare(n: int, threshold: tuple[int, int], tolerance: float):
     def run(table: pa.Table) -> pa.Table:
         words_of = _Hashes()
         nodes: dict[int, tuple] = {}
-        columns = [table[c].to_pylist() for c in ("node", "set1", "weight", "sig", "part", "text")]
+        columns = [table[c].to_pylist() for c in ("node", "weight", "sig", "part", "text")]
         left, right = table["left"][0].as_py(), table["right"][0].as_py()
-        for node, set1, weight, sig, part, text in zip(*columns, strict=True):
-            shingles = shingle_set(text, n, words_of)
-            if int.from_bytes(xxhash.xxh3_128_digest(shingles.tobytes())[:8], "little", signed=True) == set1:  # rows that share an id
-                nodes[node] = (weight, np.frombuffer(sig, "<u4"), shingles, part)
+        for node, weight, sig, part, text in zip(*columns, strict=True):
+            if node not in nodes:  # rows that are wholly alike
+                nodes[node] = (weight, np.frombuffer(sig, "<u4"), shingle_set(text, n, words_of), part)
         names = sorted(nodes)
         weight = np.array([nodes[x][0] for x in names], np.int64)
         sides = [[k for k, x in enumerate(names) if nodes[x][3] == side] for side in (left, right)]
@@ -205,44 +262,64 @@ def _compare(n: int, threshold: tuple[int, int], tolerance: float):
     return run
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
-    """(id, class_id, n_links): class_id is the smallest id of the class, n_links the number of other documents within the threshold.
+LOW = -(1 << 63)
 
-    Words are runs without white space, unchanged. A text of fewer than n words is
-    one shingle; a null, empty or blank text has none, no links, and is its own
-    class. A null id counts as smaller than any other; rows that share an id are
-    one document as far as classes go, and each counts as a link of its copies.
-    Further columns of docs are not read. An empty table gives no rows.
-    """
-    low = -(1 << 63)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("id"), whole(text_col).cast("string").alias("text"))
+
+def _row_id(docs: DataFrame, id_col: str) -> Column:
+    return F.coalesce(docs[id_col].cast("long"), F.lit(LOW))
+
+
+def _row_hash(docs: DataFrame, text_col: str) -> Column:
+    return F.xxhash64(whole(docs[text_col]))
+
+
+def _settled(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: tuple[int, int], tolerance: float) -> DataFrame:
+    """(id, hash, first, links): for each id and text with a word the smallest (id, hash) of its class, and the number of its links."""
+    rows = docs.select(_row_id(docs, id_col).alias("id"), _row_hash(docs, text_col).alias("hash"), whole(docs[text_col]).cast("string").alias("text"))
     sketch = cut(_sketch(rows, n))
-    nodes = cut(sketch.groupBy("set1", "set2").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("weight"), F.min("sig").alias("sig")))
-    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * (4 * ROWS) + 1, F.lit(4 * ROWS))))
-    bands = nodes.select("node", F.explode(band).alias("key"))
-    stars = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head")
-    families = components(bands.join(stars, "key").select(F.col("head").alias("a"), F.col("node").alias("b")))
+    nodes = sketch.groupBy("set1", "set2").agg(F.min(F.struct("id", "hash")).alias("own"), F.count(F.lit(1)).alias("weight"), F.min("sig").alias("sig"))
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbered once, for good
+    families = components(_ties(nodes, threshold[0] / threshold[1], tolerance))
     sizes = families.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = families.join(sizes, "label").withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = families.join(sizes, "label").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    members = members.join(nodes.select("node", "own.id", "own.hash", "weight", "sig"), "node")
     units = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("part", o).alias("left"), F.greatest("part", o).alias("right")))
-    texts = rows.join(members.select(F.col("node").alias("id"), "label", "part", "blocks"), "id")
-    texts = texts.withColumnRenamed("id", "node").join(nodes.select("node", "set1", "weight", "sig"), "node")
-    dealt = texts.select("*", F.explode(units).alias("u")).select("label", "u.left", "u.right", "node", "set1", "weight", "sig", "part", "text")
+    texts = rows.join(members.select("id", "hash", "node", "weight", "sig", "label", "part", "blocks"), ["id", "hash"])
+    dealt = texts.select("*", F.explode(units).alias("u")).select("label", "u.left", "u.right", "node", "weight", "sig", "part", "text")
     found = cut(dealt.groupBy("label", "left", "right").applyInArrow(_compare(n, threshold, tolerance), "node long, root long, links long"))
-    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    classes = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    settled = nodes.join(classes, "node", "left").join(links, "node", "left").select(
-        "set1", "set2", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n")
-    )
-    own = sketch.select("id", "set1", "set2").join(settled, ["set1", "set2"]).groupBy("id").agg(F.min("class").alias("class_id"), F.max("n").alias("n_links"))
-    all_ids = docs.select(F.col(id_col), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("_id"))
-    out = all_ids.join(own, F.col("_id") == F.col("id"), "left")
-    label = F.coalesce(F.col("class_id"), F.col("_id"))
-    return out.select(id_col, F.when(label == low, None).otherwise(label).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-
-
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The documents with the smallest id of their class; columns unchanged."""
-    first = near_classes(docs, id_col, text_col, **params).where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_kept"))
-    return docs.join(first, docs[id_col].eqNullSafe(first["_kept"]), "left_semi")
+    linked = nodes.select("node", "set1", "set2", "own", "weight").join(classes, "node", "left").join(links, "node", "left")
+    linked = linked.select("set1", "set2", "own", F.coalesce("label", "node").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    firsts = linked.groupBy("class").agg(F.min("own").alias("first"))
+    return sketch.select("id", "hash", "set1", "set2").join(linked.join(firsts, "class").select("set1", "set2", "first", "links"), ["set1", "set2"]).select("id", "hash", "first", "links").distinct()
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
+    """(id, class_id, n_links), a row for each row of docs: class_id is the smallest id of the class, n_links the number of other documents within the threshold.
+
+    Words are runs without white space, unchanged. A text of fewer than n words is
+    one shingle; a null, empty or blank text has none, no links, and is its own
+    class. A null id counts as smaller than any other; rows are told apart by id and text, so
+    rows that share an id and no text may be of two classes, and copies count as links each.
+    Further columns of docs are not read. An empty table gives no rows.
+    """
+    settled = _settled(docs, id_col, text_col, n, threshold, tolerance)
+    rows = docs.select(F.col(id_col), _row_id(docs, id_col).alias("_id"), _row_hash(docs, text_col).alias("_hash"))
+    out = rows.join(settled, (F.col("_id") == F.col("id")) & (F.col("_hash") == F.col("hash")), "left")
+    label = F.coalesce(F.col("first.id"), F.col("_id"))
+    return out.select(rows[id_col], F.when(label == LOW, None).otherwise(label).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (4, 5), tolerance: float = 1e-6) -> DataFrame:
+    """One row of each class: that of the smallest id, null first, then of the smallest text hash; columns unchanged, whatever they are called.
+
+    Of rows that agree in id and text one stays, whichever it is. Texts without a
+    word are no copies of each other, but of rows with the same id. An empty table gives an empty table.
+    """
+    gone = _settled(docs, id_col, text_col, n, threshold, tolerance).where((F.col("id") != F.col("first.id")) | (F.col("hash") != F.col("first.hash")))
+    row_id, row_hash, number = fresh(docs.columns, "id", "hash", "number")
+    gone = gone.select(F.col("id").alias(row_id), F.col("hash").alias(row_hash))
+    kept = docs.withColumns({row_id: _row_id(docs, id_col), row_hash: _row_hash(docs, text_col)}).join(gone, [row_id, row_hash], "left_anti")
+    one = Window.partitionBy(row_id, row_hash).orderBy(F.lit(0))
+    return kept.withColumn(number, F.row_number().over(one)).where(F.col(number) == 1).select(*docs.columns)

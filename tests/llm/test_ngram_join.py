@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomframe.llm import ngram_join
 from loomframe.llm.ngram_join import keep_one_of_each, near_classes, posterior
@@ -43,8 +44,9 @@ def test_against_brute_force_in_one_block_and_many(spark, monkeypatch):
     docs = corpus(random.Random(6))
     frame = spark.createDataFrame([(*d, "x", "y", "z") for d in docs], "doc_id long, text string, id string, node string, label string").repartition(4)
     want = brute(docs)
-    for block in (512, 7):
+    for block, crowd in ((512, 256), (7, 256), (7, 3)):
         monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "CROWD", crowd)
         assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_classes(frame).collect()} == want
     kept = keep_one_of_each(frame)
     assert kept.columns == frame.columns
@@ -66,5 +68,30 @@ def test_null_id_repeated_row_and_empty_table(spark):
     text = " ".join(f"t{i}" for i in range(25))
     rows = [(None, text), (1, text), (1, text), (2, "alone here"), (None, None)]
     got = sorted(((r["doc_id"] or -1, r["class_id"] or -1, r["n_links"]) for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
-    assert got == [(-1, -1, 2), (-1, -1, 2), (1, -1, 2), (1, -1, 2), (2, 2, 0)]
+    assert got == [(-1, -1, 0), (-1, -1, 2), (1, -1, 2), (1, -1, 2), (2, 2, 0)]
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_one_row_of_each_class_stays(spark):
+    text = " ".join(f"t{i}" for i in range(25))
+    near = text.replace("t24", "other")
+    rows = [(None, text, 1), (None, near, 2), (1, text, 3), (1, text, 3), (2, near, 4), (3, "alone here", 5), (3, "alone here", 5), (3, "else", 6), (4, None, 7), (5, "", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int").withColumns({"_hash": F.lit(1), "hash": F.lit(2)})
+    kept = keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert len([x for x in got if x[0] is None]) == 1  # copies under a null id are copies too
+    assert sorted((i, t or "") for i, t in got if i is not None) == [(3, "alone here"), (3, "else"), (4, ""), (5, "")]
+    assert keep_one_of_each(docs.limit(0)).collect() == []
+
+
+def test_a_key_ties_only_what_may_be_near():
+    """Two groups of near copies and a stranger under one key: two trees, and the stranger alone."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 32, (3, ngram_join.HASHES), dtype=np.uint32)
+    sigs = np.concatenate([np.repeat(base[:1], 4, 0), np.repeat(base[1:2], 3, 0), base[2:]])
+    sigs[1, :5] = 0
+    a, b = ngram_join.key_trees(np.array([7] * 8), np.arange(10, 18), sigs, 0.8, 1e-6)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(10, 11), (10, 12), (10, 13), (14, 15), (14, 16)]
+    a, b = ngram_join.key_trees(np.array([1, 1, 2, 3]), np.arange(4), np.repeat(base[:1], 4, 0), 0.8, 1e-6)
+    assert (a.tolist(), b.tolist()) == ([0], [1])
