@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, parts, scratch_path, whole
+from .common import SPACE, fresh, parts, scratch_path, stored, whole
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 KEY = ["h1", "h2"]
@@ -32,6 +32,11 @@ def line_key(line: Column) -> Column:
     return F.when(ascii_only, F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class RunStore:
     """Disjoint runs of (h1, h2, owner), in levels."""
 
@@ -75,8 +80,14 @@ class RunStore:
 
     def _drop(self, name: str, path: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(self.spark, path)
+
+    def close(self) -> None:
+        """Take the runs out of the catalog, and their files away."""
+        for level in self.levels:
+            for name, path in level:
+                self._drop(name, path)
+        self.levels = [[]]
 
     def all(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.runs())
@@ -89,14 +100,17 @@ def dedup_lines(
     min_chars: int = 10,
     n_batches: int = 3,
     fanout: int = 3,
+    lines_col: str = "n_lines",
+    dropped_col: str = "n_dropped",
 ) -> DataFrame:
-    """docs with text_col replaced by the kept lines, and n_lines and n_dropped (long) added.
+    """docs with text_col replaced by the kept lines, and lines_col and dropped_col (long) added.
 
     A key of min_chars code points or more stays only in the smallest id that
     holds it (there with all its lines). Null or empty text is one empty line. A
     null id counts as smaller than any other, rows that share an id as one
     document. Keys are compared by 128 bits of hash. Columns of ``docs`` named
-    like those added are replaced. An empty table gives an empty table.
+    lines_col or dropped_col are replaced, all others stay, whatever they are called. The runs
+    and lines that the work wrote are gone when it returns; the marks it reads stay. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     low = -(1 << 63)
@@ -119,16 +133,19 @@ def dedup_lines(
         store.add(occurrences.where(F.col("batch") == b).groupBy(*KEY).agg(F.min("id").alias("owner")))
     owned = store.all().withColumnRenamed("owner", "id")
     dropped = occurrences.select("id", "row", "pos", *KEY).join(owned.hint("merge"), ["id", *KEY], "left_anti")
-    dropped = dropped.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("pos").alias("_gone"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "_id", "_row", "_gone", "_lines")]
-    joined = docs.select(*names).join(dropped, (row_id == F.col("_id")) & (row_hash == F.col("_row")), "left")
-    gone = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
-    positions = F.sequence(F.lit(0), F.size("_lines") - 1)
+    own_id, own_row, marked, own_lines = fresh(docs.columns, "id", "row", "gone", "lines")
+    dropped = stored(dropped.groupBy(F.col("id").alias(own_id), F.col("row").alias(own_row)).agg(F.collect_set("pos").alias(marked)), "dropped")
+    store.close()
+    delete(spark, occurrences_at)
+    names = [c for c in docs.columns if c not in (lines_col, dropped_col)]
+    joined = docs.select(*names).join(dropped, (row_id == F.col(own_id)) & (row_hash == F.col(own_row)), "left")
+    gone = F.coalesce(F.col(marked), F.array().cast("array<int>"))
+    positions = F.sequence(F.lit(0), F.size(own_lines) - 1)
     kept = F.when(F.size(gone) == 0, whole(text_col)).otherwise(
-        F.array_join(F.transform(F.array_except(positions, gone), lambda p: F.get(F.col("_lines"), p)), "\n")
+        F.array_join(F.transform(F.array_except(positions, gone), lambda p: F.get(F.col(own_lines), p)), "\n")
     )
-    return joined.withColumn("_lines", lines).select(
+    return joined.withColumn(own_lines, lines).select(
         *(kept.alias(c) if c == text_col else F.col(c) for c in names),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
+        F.size(own_lines).cast("long").alias(lines_col),
+        F.size(gone).cast("long").alias(dropped_col),
     )

@@ -19,10 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, whole
-
-#: A category with more distinct values than this is quantised by hash, and no dictionary of it is broadcast.
-MAX_DICTIONARY = 65_536
+from .common import cut, fresh, whole
 
 
 def _rotations(n: int) -> tuple[list[int], list[int]]:
@@ -71,21 +68,40 @@ def hilbert_index(dims: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step)["h"]
 
 
-def _with_category_code(df: DataFrame, col: str, out: str, bits: int) -> DataFrame:
-    """Equi-depth code of a string column in alphabetical order; null counts as ''.
+def _placed(rows: DataFrame, order: Sequence[str], weight: Column) -> DataFrame:
+    """rows in ``order``, with the sum of the weights before each (_before) and of all (_all).
 
-    The dictionary is broadcast only after its size is checked; beyond
-    MAX_DICTIONARY values the code is a hash.
+    One range exchange; what lies between partitions is a row for each of them.
     """
+    # the range exchange samples anew each time it runs, so its result is fixed by a checkpoint before counting
+    placed = cut(rows.withColumn("_w", weight.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.sum("_w").alias("_n"))
+    parts_in_order = Window.orderBy("_part")
+    offsets = sizes.select(
+        F.col("_part").alias("_p"),
+        F.coalesce(F.sum("_n").over(parts_in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"),
+        F.sum("_n").over(parts_in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
+    )
+    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    met = placed.join(F.broadcast(offsets), F.col("_part") == F.col("_p"))
+    return met.withColumn("_before", F.col("_earlier") + F.coalesce(F.sum("_w").over(within), F.lit(0))).drop("_w", "_part", "_p", "_earlier")
+
+
+def category_cuts(df: DataFrame, col: str, bits: int) -> list[tuple[str, int]]:
+    """(first value, code) of the equi-depth classes of a string column in alphabetical order, 2^bits at most; null counts as ''."""
+    counts = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("")).alias("v")).count()
+    code = F.expr(f"_before * {1 << bits} div _all").cast("int")
+    found = _placed(counts, ["v"], F.col("count")).groupBy(code.alias("code")).agg(F.min("v").alias("v")).collect()
+    return sorted((r["v"], r["code"]) for r in found)
+
+
+def category_code(col: str, cuts: list[tuple[str, int]]) -> Column:
+    """The code of the last class that begins at or before the value."""
     value = F.coalesce(F.col(col).cast("string"), F.lit(""))
-    counts = cut(df.groupBy(value.alias("_v")).count())
-    if counts.count() > MAX_DICTIONARY:
-        return df.withColumn(out, F.pmod(F.xxhash64(value), F.lit(1 << bits)).cast("int"))
-    order = Window.orderBy("_v")
-    before = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    all_rows = F.sum("count").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    codes = counts.select("_v", F.floor(F.coalesce(before, F.lit(0)) * (1 << bits) / all_rows).cast("int").alias(out))
-    return df.join(F.broadcast(codes), value == F.col("_v")).drop("_v")
+    if not cuts:
+        return F.lit(0)
+    classes = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(c).alias("c")) for v, c in cuts))
+    return F.element_at(F.filter(classes, lambda x: x["v"] <= value), -1)["c"]
 
 
 def _runs(rows: DataFrame, order: Sequence[str], n_shards: int) -> DataFrame:
@@ -136,10 +152,9 @@ def hilbert_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *(F.col(c).alias(f"_c{i}") for i, c in enumerate(categories)),
     )
-    names = []
-    for i in range(len(categories)):
-        rows = _with_category_code(rows, f"_c{i}", f"_q{i}", bits)  # counting reads this one column
-        names.append(f"_q{i}")
+    names = [f"_q{i}" for i in range(len(categories))]
+    for i, c in enumerate(categories):
+        rows = rows.withColumn(names[i], category_code(f"_c{i}", category_cuts(docs, c, bits)))  # counting reads this one column
     # a size doubles over eight steps: 2^32 bytes are the last code of 8 bits
     by_size = F.least(F.floor(F.log2(F.col("size")) * (1 << bits) / 32), F.lit(top)).cast("int")
     by_id = F.coalesce(F.floor((F.col("_id") - F.lit(low)).cast("double") * (1 << bits) / F.lit(float(span))), F.lit(0))
@@ -149,7 +164,19 @@ def hilbert_shards(
     return _runs(indexed, ["hilbert", "text_crc32", "_id"], n_shards).withColumnRenamed("_id", id_col)
 
 
-def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write docs as a folder for each shard, rows in slot order within each file."""
-    joined = docs.join(shards.select(id_col, "shard", "slot"), id_col)
-    joined.repartition("shard", F.floor(F.col("slot") / 100_000)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, shards: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 100_000) -> None:
+    """Write docs as a folder for each shard, rows in slot order within each file.
+
+    ``shards`` is what hilbert_shards returned for docs. Every row is written once: rows meet by id
+    (null equals null), size and CRC of the text, and rows that agree in all three by their number,
+    so that repeated rows take each of their slots. A column of docs named shard or slot is replaced.
+    """
+    text, names = whole(F.col(text_col)), [c for c in docs.columns if c not in ("shard", "slot")]
+    size, crc, number = fresh([*docs.columns, "shard", "slot"], "size", "crc", "number")
+    keyed = docs.select(*names).withColumns({size: (F.octet_length(text) + 8).cast("long"), crc: F.crc32(text.cast("binary"))})
+    keyed = keyed.withColumn(number, F.row_number().over(Window.partitionBy(id_col, size, crc).orderBy(F.lit(0))))
+    dealt = shards.select(F.col(id_col).alias("id"), F.col("size").alias("s"), F.col("text_crc32").alias("c"), "shard", "slot")
+    dealt = dealt.withColumn("k", F.row_number().over(Window.partitionBy("id", "s", "c").orderBy("shard", "slot")))
+    on = keyed[id_col].eqNullSafe(dealt["id"]) & (keyed[size] == dealt["s"]) & (keyed[crc] == dealt["c"]) & (keyed[number] == dealt["k"])
+    joined = keyed.join(dealt, on).select(*(keyed[c] for c in names), "shard", "slot")
+    joined.repartition("shard", F.floor(F.col("slot") / rows_a_file)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

@@ -11,6 +11,8 @@ Before anything travels, a task keeps only the earliest of its equal super-k-mer
 the others are repeats whatever else there is, and are marked at once. So a
 passage in a third of all documents reaches its bucket once from each task. The
 number of buckets follows the size of the input, so a bucket is about BUCKET_BYTES.
+A minimiser so frequent that it would fill a bucket alone is found in a sample, and its
+windows go by their least other gram as well: this changes the way, and not what is found.
 
 The marks (document, start, length) meet the documents again by id, and the text
 is cut there.
@@ -28,11 +30,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, whole
+from .common import fresh, parts, stored, whole
 
 FLUSH_BYTES = 6_000_000  # text that a task packs at once: its local duplicates are found within that
 BUCKET_BYTES = 4_000_000  # text whose super-k-mers share a bucket
 HASH_BYTES = 1 << 20
+SAMPLE_SHARE, SAMPLE_DOCS = 32, 200_000  # one document in so many, and no more than about so many, is looked at for frequent minimisers
+LEAST_SEEN, LEAST_SHARE = 20, 1e-5  # windows of a frequent minimiser in the sample; its share, so that the list stays short
 _MIX = [np.uint64(int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") | 1) for i in range(64)]
 HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<i4")])
 
@@ -81,14 +85,23 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def super_kmers(hashes: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each super-k-mer of a document."""
+def super_kmers(hashes: np.ndarray, window: int, m: int, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows and minimiser of each super-k-mer of a document.
+
+    Windows whose minimiser is among the sorted ``frequent`` ones are told apart by the least of their other grams too.
+    """
     grams = len(hashes) - m + 1
     mixed = sum(hashes[k : k + grams] * _MIX[k] for k in range(m))
     mixed ^= mixed >> np.uint64(29)
     mixed *= _MIX[-1]
     mixed ^= mixed >> np.uint64(32)
     least = _sliding_min(mixed, window - m + 1)
+    if frequent is not None and len(frequent):
+        hot = frequent[np.minimum(np.searchsorted(frequent, least), len(frequent) - 1)] == least
+        if hot.any():
+            often = frequent[np.minimum(np.searchsorted(frequent, mixed), len(frequent) - 1)] == mixed
+            other = _sliding_min(np.where(often, np.iinfo(np.uint64).max, mixed), window - m + 1)
+            least = np.where(hot, (least ^ (other >> np.uint64(1))) * _MIX[-3], least)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     return first, np.diff(np.append(first, len(least))), least[first]
 
@@ -111,8 +124,8 @@ def _rows(raw: bytes) -> np.ndarray:
 class _Packer:
     """Collects super-k-mers; gives them out as one compressed blob for each bucket."""
 
-    def __init__(self, window: int, m: int, n_buckets: int):
-        self.window, self.m, self.n_buckets = window, m, n_buckets
+    def __init__(self, window: int, m: int, n_buckets: int, frequent: np.ndarray | None = None):
+        self.window, self.m, self.n_buckets, self.frequent = window, m, n_buckets, frequent
         self._reset()
 
     def _reset(self) -> None:
@@ -127,7 +140,7 @@ class _Packer:
             return
         packed = b" ".join(words)
         begins, ends, hashes = word_hashes(packed)
-        first, count, least = super_kmers(hashes, self.window, self.m)
+        first, count, least = super_kmers(hashes, self.window, self.m, self.frequent)
         buckets = (least % np.uint64(self.n_buckets)).tolist()
         lefts, rights = begins[first].tolist(), ends[first + count + self.window - 2].tolist()
         earliest, width = self.earliest, self.window - 1
@@ -217,15 +230,37 @@ def _words_kept(text: str, spans: list | None) -> tuple[list[bytes], int]:
     return [words[i] for i in keep], len(words)
 
 
+def frequent_minimisers(rows: DataFrame, window: int, m: int, n_docs: int, total: int) -> np.ndarray:
+    """Minimisers (sorted) that a sample holds to have more windows than half a bucket: LEAST_SHARE bounds their number."""
+    one_in = max(SAMPLE_SHARE, -(-n_docs // SAMPLE_DOCS))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[int, int] = {}
+            for text in batch.column(0):
+                words = text.as_py().encode().split()
+                if len(words) >= window:
+                    _, n, least = super_kmers(word_hashes(b" ".join(words))[2], window, m)
+                    for k, c in zip(least.view(np.int64).tolist(), n.tolist(), strict=True):
+                        sums[k] = sums.get(k, 0) + c
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64()), pa.array(sums.values(), pa.int64())], names=["least", "n"])
+
+    seen = stored(rows.where(F.pmod(F.xxhash64("doc", "text"), F.lit(one_in)) == 0).select("text").mapInArrow(count, "least long, n long").groupBy("least").agg(F.sum("n").alias("n")), "minimisers")
+    all_windows = seen.agg(F.sum("n")).first()[0] or 0
+    least = max(LEAST_SEEN, all_windows * LEAST_SHARE, all_windows * BUCKET_BYTES / max(1, 2 * total))
+    return np.sort(np.array([r["least"] for r in seen.where(F.col("n") > least).collect()], np.int64).view(np.uint64))
+
+
 def find_repeats(docs: DataFrame, id_col: Column, text_col: str = "text", window: int = 20, m: int = 4) -> DataFrame:
     """(doc, spans): the parts of each document, in words, that repeat an earlier passage."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
+    total, n_docs = (x or 0 for x in docs.agg(F.sum(F.octet_length(whole(text_col))), F.count(F.lit(1))).first())
     n_buckets = max(2 * parts(spark), -(-total // BUCKET_BYTES))
     rows = docs.select(id_col.alias("doc"), whole(text_col).cast("string").alias("text"))
+    frequent = frequent_minimisers(rows, window, m, n_docs, total)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = _Packer(window, m, n_buckets)
+        packer = _Packer(window, m, n_buckets, frequent)
 
         def out() -> Iterator[pa.RecordBatch]:
             held = list(packer.flush())
@@ -268,15 +303,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     goes with all its words; windows are those of the input. Texts shorter than a
     window stay. Null text counts as empty; a null id as smaller than any other; rows
     that share an id share their marks and don't repeat each other. Columns named
-    like those added are replaced. An empty table gives an empty table.
+    n_words and n_removed are replaced, all others stay, whatever they are called. An empty table gives an empty table.
     """
     low = F.lit(-(1 << 63))
     key = F.coalesce(F.col(id_col).cast("long"), low)
     spans = find_repeats(docs, key, text_col, window, m)
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", "_spans", "_doc")]
-    joined = docs.select(*names).join(spans.select(F.col("doc").alias("_doc"), F.col("spans").alias("_spans")), key == F.col("_doc"), "left")
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed")]
+    doc, marks, text_of = fresh(docs.columns, "doc", "spans", "text")
+    joined = docs.select(*names).join(spans.select(F.col("doc").alias(doc), F.col("spans").alias(marks)), key == F.col(doc), "left")
     rest = [c for c in names if c != text_col]
-    rows = joined.select(*rest, whole(text_col).cast("string").alias("_text"), "_spans")
+    rows = joined.select(*rest, whole(text_col).cast("string").alias(text_of), marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import whole
+from .common import stored, whole
 
 #: Insults that any corpus in these languages may hold, and words of the second person.
 INSULTS = frozenset("idiot idiots stupid moron dumb loser trash scum pathetic worthless disgusting clown fool imbecile idiota imbécil estúpido basura dummkopf trottel abschaum crétin imbécile ordure".split())
@@ -120,8 +120,8 @@ def fold_of(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4, F.lit(0))
 
 
-def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 8.0, max_words: int = 5000) -> Lexicon:
-    """rows (text, y). Words and stems in at least ``least`` toxic texts and ``ratio`` times as often there as elsewhere; the strongest max_words."""
+def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 8.0) -> Lexicon:
+    """rows (text, y). Words and stems in at least ``least`` toxic texts and ``ratio`` times as often there as elsewhere: all of them, at most a word for each ``least`` words of the toxic rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, list[int]] = {}
@@ -149,7 +149,7 @@ def learn_lexicon(rows: DataFrame, least: int = 3, ratio: float = 8.0, max_words
         return Lexicon(frozenset(), frozenset())
     counted = rows.select("text", "y").mapInArrow(count, "item string, n0 long, n1 long").groupBy("item").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
-    best = counted.where(F.col("n1") >= least).withColumn("odds", odds).where(F.col("odds") >= math.log(ratio)).orderBy(F.desc(F.col("odds") * F.log1p("n1")), "item").limit(max_words)
+    best = counted.where(F.col("n1") >= least).withColumn("odds", odds).where(F.col("odds") >= math.log(ratio))
     items = [r["item"] for r in best.collect()]
     return Lexicon(frozenset(i for i in items if "\0" not in i), frozenset(i[:-1] for i in items if "\0" in i))
 
@@ -176,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         marked = marked.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * max_rows / n)))
     # max_rows bounds what is broadcast
     sample = docs.select(F.col(id_col), whole(text_col).cast("string").alias("text")).join(F.broadcast(marked), F.col(id_col) == F.col("_id")).withColumn("fold", fold_of("_id").cast("int"))
+    sample = stored(sample.select("_id", "text", "y", "fold"), "labelled")  # read three times: bounded by max_rows
     lexicon = learn_lexicon(sample.where(F.col("fold") != calibrate))
     rows = _featurise(sample, lexicon, ["_id", "y", "fold"]).orderBy("_id").collect()
     x = np.array([r["x"] for r in rows]).reshape(len(rows), len(FEATURES))

@@ -37,7 +37,7 @@ class Rule:
         return cls(host_path, f"*.{host_path}**", verdict)
 
 
-#: Hosts and paths that a crawl of prose does without, by words in the host.
+#: Hosts that a crawl of prose does without: what the registered query uses.
 JUNK_GLOBS = tuple(
     Rule(f"junk:{g}", g, "block")
     for g in (
@@ -46,6 +46,41 @@ JUNK_GLOBS = tuple(
     )
 )
 
+#: What a crawl of prose does without unless its own table of rules says otherwise (rules_of): words in a host, services by
+#: their first label, folders of machinery and accounts, and endings of files that hold no page. A glob meets ``.host/path``.
+JUNK_HOST_WORDS = ("casino", "poker", "gambl", "betting", "free-bets", "jackpot", "porn", "xxx", "adult-x", "escort", "cheap-pills", "viagra", "pharmacy-online", "payday-loan", "spam-farm", "ads-track", "adserver", "warez", "torrent")
+JUNK_SERVICES = ("ad", "ads", "adclick", "track", "tracker", "tracking", "pixel", "beacon", "click", "redirect", "cdn", "static", "img", "mail", "webmail", "login", "auth", "sso")
+JUNK_FOLDERS = ("cgi-bin", "wp-admin", "wp-login*", "wp-json", "xmlrpc*", "login*", "signin*", "signup*", "register*", "logout*", "account", "cart", "checkout", "search", "tag", "tags", "feed", "rss", "print", "calendar")
+JUNK_ENDINGS = ("jpg", "jpeg", "png", "gif", "svg", "ico", "css", "js", "json", "xml", "zip", "gz", "exe", "mp3", "mp4", "avi", "woff?", "ttf")
+
+
+def _junk() -> Iterator[str]:
+    for word in JUNK_HOST_WORDS:
+        yield f".*{word}*"
+        yield f".*{word}*/**"
+    for name in JUNK_SERVICES:
+        yield f".{name}.*"
+        yield f".{name}.*/**"
+    for name in JUNK_FOLDERS:
+        yield f".*/{name}"
+        yield f".*/{name}/**"
+        yield f".*/**/{name}/**"
+    for ending in JUNK_ENDINGS:
+        yield f".*/**.{ending}"
+
+
+#: A wider list than JUNK_GLOBS, to be given as glob_rules.
+STOCK_GLOBS = tuple(Rule(f"junk:{g}", g, "block") for g in _junk())
+
+
+def rules_of(table: DataFrame, glob_col: str = "glob", verdict_col: str = "verdict") -> tuple[Rule, ...]:
+    """Glob rules from a table (glob, verdict), in the order of the globs; rows without a glob are left out, a null verdict blocks.
+
+    The rules are a list that each task holds, some hundred bits a rule: thousands, not millions.
+    """
+    rows = table.where(F.col(glob_col).isNotNull()).select(glob_col, F.coalesce(verdict_col, F.lit("block"))).distinct().orderBy(glob_col).collect()
+    return tuple(Rule(g, g, v) for g, v in rows)
+
 
 class ShiftAnd:
     """The packed automaton of a list of globs."""

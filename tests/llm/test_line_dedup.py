@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from loomframe.llm.line_dedup import dedup_lines
 
 SCHEMA = "doc_id long, text string, n_lines string, id string, batch string"
@@ -32,3 +34,12 @@ def test_null_id_repeated_row_and_empty_table(spark):
     got = sorted((r["doc_id"] or -1, r["text"], r["n_dropped"]) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, "a line of some length", 0), (1, "", 1), (1, "", 1), (2, "only in this document", 0)]
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_nothing_is_left_behind_and_columns_of_any_name_stay(spark):
+    before = {x.name for x in spark.catalog.listTables()}
+    rows = [(1, "a line of some length\nown line number one", 5, 6), (2, "a line of some length\nown line number two", 5, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _id int, n_dropped int").withColumns({"_row": F.lit(1), "_gone": F.lit(2), "_lines": F.lit(3)})
+    got = dedup_lines(frame, dropped_col="gone")
+    assert {x.name for x in spark.catalog.listTables()} == before
+    assert [(r["doc_id"], r["text"], r["_id"], r["n_dropped"], r["_lines"], r["gone"]) for r in got.orderBy("doc_id").collect()] == [(1, rows[0][1], 5, 6, 3, 0), (2, "own line number two", 5, 6, 3, 1)]

@@ -45,3 +45,30 @@ def test_null_id_repeated_row_and_empty_table(spark):
     got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 2, 0), (1, 25, 0), (1, 25, 0), (2, 25, 25)]
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_a_frequent_minimiser_changes_the_way_and_not_the_result(spark, monkeypatch):
+    """One gram in every window of many texts: its windows go to many buckets, and the same words are removed."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    docs = [(i, " ".join(w for _ in range(30) for w in ("often", "seen", "words", "here", rng.choice(words), rng.choice(words)))) for i in range(60)]
+    docs += [(100 + i, docs[i][1] + " and more") for i in range(10)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    plain = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.remove_repeats(frame).collect()}
+    seen = []
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 2_000)
+    monkeypatch.setattr(substring, "SAMPLE_SHARE", 1)
+    own = substring.frequent_minimisers
+    monkeypatch.setattr(substring, "frequent_minimisers", lambda *a: seen.append(own(*a)) or seen[-1])
+    assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in substring.remove_repeats(frame).collect()} == plain
+    assert len(seen[0]) > 0 and sum(n for _, n in plain.values()) > 0
+    hashes = substring.word_hashes(docs[0][1].encode())[2]
+    assert len(set(substring.super_kmers(hashes, 20, 4, seen[0])[2].tolist())) > len(set(substring.super_kmers(hashes, 20, 4)[2].tolist()))
+
+
+def test_columns_of_any_name_stay(spark):
+    text = " ".join(f"t{i}" for i in range(30))
+    frame = spark.createDataFrame([(1, text, 7, 8), (2, text, 7, 8)], "doc_id long, text string, _spans int, _doc int")
+    got = substring.remove_repeats(frame)
+    assert got.columns == [*frame.columns, "n_words", "n_removed"]
+    assert sorted((r["doc_id"], r["_spans"], r["_doc"], r["n_removed"]) for r in got.collect()) == [(1, 7, 8, 0), (2, 7, 8, 30)]

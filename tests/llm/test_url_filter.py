@@ -2,7 +2,7 @@ import random
 import re
 
 from loomframe.llm.queries import SITE_RULES
-from loomframe.llm.url_filter import ShiftAnd, filter_urls
+from loomframe.llm.url_filter import STOCK_GLOBS, ShiftAnd, filter_urls, rules_of
 
 
 def as_regex(glob):
@@ -49,3 +49,17 @@ def test_rules(spark):
     assert (got[99]["host"], got[99]["path"], got[99]["rule"], got[99]["verdict"]) == ("", "", None, "allow")
     assert got[None]["rule"] == "com/"
     assert filter_urls(spark.createDataFrame([], "page_id long, url string"), SITE_RULES).collect() == []
+
+
+def test_rules_from_a_table_and_the_stock_list(spark):
+    table = spark.createDataFrame([("*.org/**/old/**", "block"), ("*.org/**", "allow"), (None, "block"), ("*.de/?", None), ("*.de/?", None)], "glob string, verdict string")
+    rules = rules_of(table)
+    assert [(r.glob, r.verdict) for r in rules] == [("*.de/?", "block"), ("*.org/**", "allow"), ("*.org/**/old/**", "block")]
+    want = {
+        "http://a.de/x": ("block", "allow"), "http://a.de/xy": ("allow", "allow"), "http://poker-4u.net/a": ("allow", "block"), "http://shop.net/cart/7": ("allow", "block"),
+        "http://shop.net/a/b/search": ("allow", "block"), "http://news.net/a/photo.jpg": ("allow", "block"), "http://cdn.news.net/x": ("allow", "block"), "http://news.net/cartoons/research": ("allow", "allow"), "http://a.org/old/": ("allow", "allow"),
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = [{r["page_id"]: r["verdict"] for r in filter_urls(frame, (), g).collect()} for g in (rules, STOCK_GLOBS)]
+    for i, (own, stock) in enumerate(want.values()):
+        assert (got[0][i], got[1][i]) == (own, stock), list(want)[i]
