@@ -10,7 +10,13 @@ columns of documents; the last adds the packed ids.
 4. benchmark decontamination: documents that hold a benchmark item go
 5. byte-level BPE: doc_id, lang, source, n_tokens, ids (packed little-endian unsigned 32-bit)
 
-An empty table passes through every stage.
+What may lie in documents, in every stage:
+* Null or empty text fails the first stage; null ids, languages and sources are values like others.
+* Repeated rows: the first stage treats them alike; of the rest one stays (line dedup counts rows of one id as one document,
+  the near-duplicate stage keeps one row of those that agree in id and text).
+* Ties go to the smallest id, a null id before all others, then to the smallest hash of the text.
+* Texts of any length are read whole. Further columns pass through the first four stages as they are, whatever they are called.
+* An empty table passes through every stage; an empty benchmark removes nothing.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomframe.llm import bpe, decontam, line_dedup, ngram_join, quality
-from loomframe.llm.common import scratch_path, table
+from loomframe.llm.common import fresh, scratch_path, table
 from loomframe.llm.queries import TOKENIZER
 
 
@@ -29,7 +35,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # a document that has lost lines and has no word left is the copy of others: it goes
-    kept = line_dedup.dedup_lines(docs).where((F.col("n_dropped") == 0) | F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    lines, dropped = fresh(docs.columns, "lines_before", "lines_dropped")
+    kept = line_dedup.dedup_lines(docs, lines_col=lines, dropped_col=dropped)
+    kept = kept.where((F.col(dropped) == 0) | F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t\\n\\x0B\\f\\r]"))
     return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
