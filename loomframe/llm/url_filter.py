@@ -64,6 +64,7 @@ def _junk() -> Iterator[str]:
     for name in JUNK_FOLDERS:
         yield f".*/{name}"
         yield f".*/{name}/**"
+        yield f".*/**/{name}"
         yield f".*/**/{name}/**"
     for ending in JUNK_ENDINGS:
         yield f".*/**.{ending}"
