@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,5 +89,10 @@ def nearest_color(df: DataFrame, key: str, lab: str) -> DataFrame:
     return found.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.name").alias("color"), F.col("_b._de").alias("delta_e"))
 
 
+def nearest_center(point: Column, centers: Sequence, distance: Callable[..., Column]) -> Column:
+    """The least distance of a point to a few centres, within the row."""
+    return F.array_min(F.array(*(distance(point, *c) for c in centers)))
+
+
 def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.printf(F.lit("#%02X%02X%02X"), *(F.bround(v.cast("double")).cast("int") for v in (r, g, b)))

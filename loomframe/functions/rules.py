@@ -142,6 +142,18 @@ def bottom_report(garment: Column, body: Column, stretch: Column | None = None)
     return F.struct(zones.alias("zones"), warnings.alias("warnings"), estimated.alias("estimated"))
 
 
+def fit_report(category: Column, garment: Column, body: Column, stretch: Column | None = None) -> Column:
+    """The report of a top, coat or dress, by category; another category fails. Bottoms have measures of their own: bottom_report."""
+    out = F.when(F.lit(False), F.lit(None))
+    for name in ("상의", "아우터", "원피스"):
+        out = out.when(category == name, top_report(garment, body, name, stretch))
+    return out.otherwise(F.raise_error(F.concat(F.lit("no fit rules for "), F.coalesce(category, F.lit("null")))))
+
+
+def needs_outer(temp: Column) -> Column:
+    return temp < 17
+
+
 def label_of(report: Column, name: str) -> Column:
     return F.get(F.filter(report["zones"], lambda z: z["zone"] == name), F.lit(0))["label"]
 

@@ -6,8 +6,9 @@ import os
 import duckdb
 import pytest
 
-from loomframe.plans.catalogue import QUERIES
-from loomframe.plans.oracles import ORACLES
+from loomframe.plans import catalogue, items, oracles
+
+QUERIES, ORACLES = {**catalogue.QUERIES, **items.QUERIES}, {**oracles.ORACLES, **items.ORACLES}
 
 AT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
