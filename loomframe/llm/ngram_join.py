@@ -7,12 +7,12 @@
    compared STEP values at a time; a pair is dropped once the posterior probability
    (uniform prior) that its similarity reaches the threshold falls below ``tolerance``. What is
    left ties its nodes, as a tree for each key and never as pairs; a key of more
-   than CROWD nodes ties them all. Connected nodes are a family: those that no pair could link are apart.
+   than CROWD nodes ties them all, through the heads of its parts. Connected nodes are a family: those that no pair could link are apart.
 3. A family's texts meet in one task, or in blocks against blocks if there are more than
    BLOCK. There pairs are pruned likewise, and what is left is
    verified on the exact sets: pair by pair, or for dense blocks as a product of
-   incidence matrices. A task returns a row for each node: the weight of its links and the
-   root of its piece, never the pairs.
+   incidence matrices. A task returns a row for each node: the weight of its links and a
+   node of its piece, never the pairs.
 4. Roots are joined to classes; copies take the class of their node.
 """
 
@@ -35,6 +35,7 @@ from .components import components
 BANDS, ROWS, STEP = 21, 3, 9
 HASHES = BANDS * ROWS
 BLOCK = 256
+FAN = 32
 CROWD = 256  # nodes of a band key that are compared in one task
 VOCABULARY = 400_000
 COLUMNS = 8192  # shingles of a block that are multiplied at once
@@ -163,6 +164,17 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+def _parents(roots: list[int]) -> list[int]:
+    """A tree of two levels for each root: members hang on every FAN-th, these on the root, so that no node has very many edges."""
+    seen: dict[int, list[int]] = {}
+    out = []
+    for i, r in enumerate(roots):
+        mine = seen.setdefault(r, [])
+        out.append(mine[len(mine) // FAN * FAN] if len(mine) % FAN else r)
+        mine.append(i)
+    return out
+
+
 def _sketch(rows: DataFrame, n: int) -> DataFrame:
     """(id, hash, set1, set2, sig) of each row with a word; a set is named by 128 bits."""
 
@@ -198,7 +210,7 @@ def key_trees(keys: np.ndarray, nodes: np.ndarray, sigs: np.ndarray, threshold:
         found_i.append(i)
         found_j.append(j)
     i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
-    root = np.array(_roots(len(keys), i, j), np.int64)
+    root = np.array(_parents(_roots(len(keys), i, j)), np.int64)
     tied = np.flatnonzero(root != np.arange(len(keys)))
     return nodes[root[tied]], nodes[tied]
 
@@ -209,7 +221,9 @@ def _ties(nodes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     bands = nodes.select("node", F.explode(band).alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
     met = cut(bands.join(shared, "key"))
-    crowds = met.where((F.col("n") > CROWD) & (F.col("node") != F.col("head"))).select(F.col("head").alias("a"), F.col("node").alias("b"))
+    crowd = met.where(F.col("n") > CROWD).withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.sqrt("n")).cast("long")))
+    heads = crowd.groupBy("key", "part").agg(F.min("node").alias("a"), F.min("head").alias("head"))
+    crowds = crowd.join(heads.select("key", "part", "a"), ["key", "part"]).select("a", F.col("node").alias("b")).unionAll(heads.select(F.col("head").alias("a"), F.col("a").alias("b"))).where("a <> b")
     few = met.where(F.col("n") <= CROWD).select("key", "node").join(nodes.select("node", "sig"), "node")
     few = few.repartition("key").sortWithinPartitions("key", "node").select("key", "node", "sig")
 
@@ -256,7 +270,7 @@ def _compare(n: int, threshold: tuple[int, int], tolerance: float):
             i, j = np.array(a)[i], np.array(b)[j]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            roots = _roots(len(names), i, j)
+            roots = _parents(_roots(len(names), i, j))
         return pa.table([pa.array(names, pa.int64()), pa.array([names[r] for r in roots], pa.int64()), pa.array(links, pa.int64())], names=["node", "root", "links"])
 
     return run
