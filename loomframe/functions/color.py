@@ -75,6 +75,46 @@ def with_delta_e(df: DataFrame, one: str, two: str, out: str, k_l: float = 1.0,
     return df.select(*names, out)
 
 
+def _let(steps: Sequence[Callable[[Column], dict[str, Column]]], start: dict[str, Column], out: Callable[[Column], Column]) -> Column:
+    """An expression in steps, each of which sees the values of those before; no value is computed twice."""
+
+    def follow(k: int, seen: Column, names: list[str]) -> Column:
+        if k == len(steps):
+            return out(seen)
+        new = steps[k](seen)
+        packed = F.struct(*(seen[n].alias(n) for n in names if n not in new), *(c.alias(n) for n, c in new.items()))
+        return F.get(F.transform(F.array(packed), lambda s: follow(k + 1, s, [*(n for n in names if n not in new), *new])), F.lit(0))
+
+    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in start.items()))), lambda s: follow(0, s, list(start))), F.lit(0))
+
+
+def delta_e(one: Column, two: Column, k_l: float = 1.0) -> Column:
+    """The CIEDE2000 difference of two Lab structs as one expression, to be used within arrays."""
+    seven, pi = D(25.0**7), F.radians
+    hue_of = lambda b, a: F.pmod(F.degrees(F.atan2(b, a)), D(360.0))
+    ratio = lambda c: F.sqrt(F.pow(c, D(7.0)) / (F.pow(c, D(7.0)) + seven))
+    steps = [
+        lambda s: {"c": (F.hypot(s["a1"], s["b1"]) + F.hypot(s["a2"], s["b2"])) / 2},
+        lambda s: {"g": 1 + D(0.5) * (1 - ratio(s["c"]))},
+        lambda s: {"a1": s["g"] * s["a1"], "a2": s["g"] * s["a2"]},
+        lambda s: {"c1": F.hypot(s["a1"], s["b1"]), "c2": F.hypot(s["a2"], s["b2"]), "h1": hue_of(s["b1"], s["a1"]), "h2": hue_of(s["b2"], s["a2"])},
+        lambda s: {"gap": s["h2"] - s["h1"], "sum": s["h1"] + s["h2"], "grey": s["c1"] * s["c2"] == 0, "cm": (s["c1"] + s["c2"]) / 2, "off": F.pow((s["l1"] + s["l2"]) / 2 - 50, D(2.0))},
+        lambda s: {
+            "dh": F.when(s["grey"], 0.0).when(F.abs(s["gap"]) <= 180, s["gap"]).when(s["gap"] > 0, s["gap"] - 360).otherwise(s["gap"] + 360),
+            "h": F.when(s["grey"], s["sum"]).when(F.abs(s["gap"]) <= 180, s["sum"] / 2).when(s["sum"] < 360, (s["sum"] + 360) / 2).otherwise((s["sum"] - 360) / 2),
+        },
+        lambda s: {"t": 1 - D(0.17) * F.cos(pi(s["h"] - 30)) + D(0.24) * F.cos(pi(2 * s["h"])) + D(0.32) * F.cos(pi(3 * s["h"] + 6)) - D(0.20) * F.cos(pi(4 * s["h"] - 63))},
+        lambda s: {
+            "x": (s["l2"] - s["l1"]) / (D(k_l) * (1 + D(0.015) * s["off"] / F.sqrt(20 + s["off"]))),
+            "y": (s["c2"] - s["c1"]) / (1 + D(0.045) * s["cm"]),
+            "z": 2 * F.sqrt(s["c1"] * s["c2"]) * F.sin(pi(s["dh"] / 2)) / (1 + D(0.015) * s["cm"] * s["t"]),
+            "turn": F.sin(pi(60 * F.exp(-F.pow((s["h"] - 275) / 25, D(2.0))))) * 2 * ratio(s["cm"]),
+        },
+    ]
+    start = {"l1": one["l"], "a1": one["a"], "b1": one["b"], "l2": two["l"], "a2": two["a"], "b2": two["b"]}
+    return _let(steps, start, lambda s: F.sqrt(F.greatest(D(0.0), s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] - s["turn"] * s["y"] * s["z"])))
+
+
 def reference_colors(spark) -> DataFrame:
     rows = [(i, n, *rgb) for i, (n, rgb) in enumerate(dims.COLORS.items())]
     df = spark.createDataFrame(rows, "ord int, name string, r int, g int, b int")
@@ -83,10 +123,10 @@ def reference_colors(spark) -> DataFrame:
 
 def nearest_color(df: DataFrame, key: str, lab: str) -> DataFrame:
     """(key, color, delta_e): the named colour nearest to a Lab struct; the earlier in the table on ties. The table is of fixed size."""
-    pairs = df.select(key, lab).join(F.broadcast(reference_colors(df.sparkSession)))
-    found = with_delta_e(pairs, lab, "ref", "_de")
-    best = F.min(F.struct(F.col("_de"), F.col("ord"), F.col("name")))
-    return found.groupBy(key).agg(best.alias("_b")).select(key, F.col("_b.name").alias("color"), F.col("_b._de").alias("delta_e"))
+    rows = [(i, n, *rgb) for i, (n, rgb) in enumerate(dims.COLORS.items())]
+    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), srgb_to_lab(F.lit(r), F.lit(g), F.lit(b)).alias("ref")) for i, n, r, g, b in rows))  # folded once
+    best = F.array_min(F.transform(table, lambda c: F.struct(delta_e(F.col(lab), c["ref"]).alias("de"), c["ord"].alias("ord"), c["name"].alias("name"))))
+    return df.select(key, best.alias("_b")).select(key, F.col("_b.name").alias("color"), F.col("_b.de").alias("delta_e"))
 
 
 def nearest_center(point: Column, centers: Sequence, distance: Callable[..., Column]) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Thresholds of a garment match, units of natural history and the like, least aspect by kind.
-OUTER_OK, COLOR_OK, EXTRA_OK, MARKER_OK = 0.03, 10.0, 10.0, 0.01
+# Thresholds of a garment match (outer share, colour, extra colour, marker), units of natural history and the like, least aspect by kind.
+OUTER_OK, COLOR_OK, EXTRA_OK, MARKER_OK = 0.2, 12.0, 15.0, 0.01
 EXCLUDED_UNITS = ("NMNH", "NASM", "NPM", "NZP", "SERC", "STRI")
 
 
@@ -134,11 +134,11 @@ def cycled(combinations: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 def timing_summary(df: DataFrame, group: str, order: str, seconds: str, warmup: int) -> DataFrame:
     """count, median, nearest-rank p95 and mean by group, without the first ``warmup`` rows of a group unless it has no others."""
-    from pyspark.sql.window import Window
-
-    from ..operators.metrics import nearest_rank
+    from ..operators.metrics import nearest_rank_by
+    from ..operators.relational import running_sums
 
-    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(group)))
-    kept = ranked.where((F.col("_n") > warmup) | (F.col("_all") <= warmup))
-    out = kept.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(seconds).alias("p50"), nearest_rank(F.collect_list(seconds), 0.95).alias("p95"), F.avg(seconds).alias("mean"))
+    ranked = running_sums(df.select(group, order, seconds), [group], [order], {"row": F.lit(1)})
+    kept = ranked.where((F.col("row_before") >= warmup) | (F.col("row_all") <= warmup)).select(group, seconds)
+    p95 = nearest_rank_by(kept, group, seconds, 0.95).select(F.col(group).alias("_g"), F.col(seconds).alias("p95"))
+    out = kept.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.median(seconds).alias("p50"), F.avg(seconds).alias("mean")).join(p95, F.col(group).eqNullSafe(F.col("_g")), "left")
     return out.select(group, "n", *(F.round(c, 3).alias(c) for c in ("p50", "p95", "mean")))

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .relational import running_sums
 
 
 def overlapping_groups(base: Column, flags: dict[str, Column]) -> Column:
@@ -26,21 +27,17 @@ def nearest_rank_by(df: DataFrame, group: str, value: str, q: float) -> DataFram
     Ranks are running sums over a group's distinct values.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_k"))
-    w = Window.partitionBy(group).orderBy(value)
-    upto = F.sum("_k").over(w)
-    total = F.sum("_k").over(Window.partitionBy(group))
-    ranked = counts.select(group, value, upto.alias("_upto"), total.alias("n"))
-    return ranked.where(F.col("_upto") > F.bround(F.lit(q) * (F.col("n") - 1))).groupBy(group).agg(F.min(value).alias(value), F.first("n").alias("n"))
+    ranked = running_sums(counts, [group], [value], {"k": F.col("_k")})
+    found = ranked.where(F.col("k_before") + F.col("_k") > F.bround(F.lit(q) * (F.col("k_all") - 1)))
+    return found.groupBy(group).agg(F.min(value).alias(value), F.first("k_all").alias("n"))
 
 
 def auroc(df: DataFrame, score: Column, positive: Column, group: Sequence[str] = ()) -> DataFrame:
     """P(positive > negative) + half P(tie), from average ranks: one row a distinct score, never pairs. Null without both kinds."""
     by = list(group)
     counts = df.where(score.isNotNull() & positive.isNotNull()).groupBy(*by, score.alias("_s")).agg(F.count_if(positive).alias("_p"), F.count_if(~positive).alias("_n"))
-    w = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    won = F.sum(F.col("_p") * (F.col("_below") + F.col("_n") / 2))
-    out = counts.withColumn("_below", below).groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), won.alias("_won"))
+    won = F.sum(F.col("_p") * (F.col("n_before") + F.col("_n") / 2))
+    out = running_sums(counts, by, ["_s"], {"n": F.col("_n")}).groupBy(*by).agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"), won.alias("_won"))
     return out.select(*by, "n_pos", "n_neg", F.try_divide("_won", F.col("n_pos").cast("double") * F.col("n_neg")).alias("auroc"))
 
 
@@ -84,6 +81,22 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return pairs.select(group, F.transform("_c", lambda s: s["_m"]).alias("centroid"))
 
 
+MAX_CATEGORIES = 20_000
+
+
+def margin_to_others(df: DataFrame, key: str, group: str, vector: str) -> DataFrame:
+    """(key, margin): cosine to the own group's centroid less the largest to another's; 1 where there is no other.
+
+    All centroids go to every row as one array, so groups are categories: more than MAX_CATEGORIES fail.
+    """
+    means = centroids(df, group, vector).agg(F.collect_list(F.struct(F.col(group).alias("g"), "centroid")).alias("_all"))
+    means = means.where(F.assert_true(F.size("_all") <= MAX_CATEGORIES, F.lit("too many groups for one array of centroids")).isNull())
+    near = F.transform("_all", lambda c: F.struct(c["g"].alias("g"), cosine(F.col(vector), c["centroid"]).alias("s")))
+    rows = df.select(key, group, vector).join(F.broadcast(means)).select(key, group, near.alias("_near"))  # one row, of a checked size
+    best = lambda own: F.array_max(F.transform(F.filter("_near", lambda c: (c["g"] == F.col(group)) if own else (c["g"] != F.col(group))), lambda c: c["s"]))
+    return rows.select(key, F.coalesce(best(True) - best(False), F.lit(1.0)).alias("margin"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

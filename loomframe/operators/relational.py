@@ -69,12 +69,7 @@ def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
     Ranks come from the counts of range partitions, so no task sees all rows.
     """
     spread = df.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
-    placed = spread.withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    placed = cut(spread.withColumn("_m", F.monotonically_increasing_id()))
     part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -82,6 +77,83 @@ def every_nth(df: DataFrame, order: str, n: int) -> DataFrame:
     return placed.join(F.broadcast(offsets), part == F.col("_p")).where((F.col("_before") + at) % n == 0).select(*df.columns)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share: spark.checkpoint.dir, or one of the warehouse where none is named."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints")
+    return df.checkpoint()
+
+
+def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: dict[str, Column]) -> DataFrame:
+    """df with, for each weight, its sum over the rows before in the order of the group (name_before) and over the whole group (name_all).
+
+    One range exchange by group and order, so that a large group is many partitions; between them goes a row
+    for each partition and group. ``order`` tells rows of a group apart.
+    """
+    marked = df.withColumns({f"_w_{n}": w for n, w in weights.items()}).repartitionByRange(*by, *order)
+    placed = cut(marked.withColumn("_part", F.spark_partition_id()))
+    sums = placed.groupBy("_part", *by).agg(*(F.sum(f"_w_{n}").alias(f"_s_{n}") for n in weights))
+    group = Window.partitionBy(*by)
+    earlier, everything = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1), group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = sums.select("_part", *by, *(F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in weights), *(F.sum(f"_s_{n}").over(everything).alias(f"{n}_all") for n in weights))
+    within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    renamed = offsets.select(F.col("_part").alias("_of_part"), *(F.col(c).alias(f"_g_{c}") for c in by), *(c for c in offsets.columns if c not in ("_part", *by)))
+    on = F.col("_part") == F.col("_of_part")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    met = placed.join(renamed, on)
+    return met.select(*df.columns, *((F.col(f"_o_{n}") + F.coalesce(F.sum(f"_w_{n}").over(within), F.lit(0))).alias(f"{n}_before") for n in weights), *(f"{n}_all" for n in weights))
+
+
+def top_by_pair_hash(left: DataFrame, right: DataFrame, on: str, left_key: str, right_key: str, n: int, block: int = 2000) -> DataFrame:
+    """(left_key, right_key, attempt): for each left row the first n right rows of its group by the SHA-1 of "left|right", ties by right_key.
+
+    The order is another one for each left row, so every pair of a group is hashed; but no pair leaves the task that hashes it: blocks
+    of a group's left rows meet blocks of its right rows, and each returns n rows a left one at most. Keys are whole numbers.
+    """
+    import hashlib
+    import heapq
+
+    import pyarrow as pa
+
+    def blocks(df: DataFrame, key: str, prefix: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.select(F.col(on).alias("g"), F.col(key).cast("long").alias("k")).where("g is not null").distinct()
+        sizes = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"{prefix}_n"))
+        return rows, sizes
+
+    l_rows, l_sizes = blocks(left, left_key, "l")
+    r_rows, r_sizes = blocks(right, right_key, "r")
+    sizes = l_sizes.join(r_sizes, "g")
+    deal = lambda rows, own, other: rows.join(sizes, "g").withColumn(own, F.pmod(F.xxhash64("k"), F.col(f"{own}_n")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}_n") - 1))).select("g", "l", "r", "k")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        donors, out = [(f"|{k}".encode(), k) for k in b["k"].to_pylist()], []
+        for k in a["k"].to_pylist():
+            head = hashlib.sha1(str(k).encode())
+
+            def hashed(donor: tuple[bytes, int], head=head) -> tuple[int, int]:
+                h = head.copy()
+                h.update(donor[0])
+                return int.from_bytes(h.digest()[:4], "big"), donor[1]
+
+            out += [(k, d, h) for h, d in heapq.nsmallest(n, map(hashed, donors))]
+        columns = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "h"])
+
+    found = deal(l_rows, "l", "r").groupBy("g", "l", "r").cogroup(deal(r_rows, "r", "l").groupBy("g", "l", "r")).applyInArrow(best, "a long, b long, h long")
+    w = Window.partitionBy("a").orderBy("h", "b")
+    return found.distinct().withColumn("attempt", F.row_number().over(w)).where(F.col("attempt") <= n).select(F.col("a").alias(left_key), F.col("b").alias(right_key), "attempt")
+
+
+def attribute_names(pairs: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """(key, attributes): a map from each supercategory to the sorted names of the key's attributes. pairs: key, id; vocab: id, supercategory, name. Unknown ids drop out."""
+    named = pairs.join(vocab, "id").select(key, "supercategory", "name").distinct()
+    by_kind = named.groupBy(key, "supercategory").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    return by_kind.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("supercategory", "names")))).alias("attributes"))
+
+
 def first_passing(pairs: DataFrame, group: str, candidate: str, order: Column, passes: Column, tries: int) -> DataFrame:
     """For each group the first candidate in ``order`` that passes, among its first ``tries``."""
     ranked = pairs.withColumn("attempt", F.row_number().over(Window.partitionBy(group).orderBy(order, candidate))).where(F.col("attempt") <= tries)
@@ -90,10 +162,15 @@ def first_passing(pairs: DataFrame, group: str, candidate: str, order: Column, p
 
 def plan_jobs(photos: DataFrame, products: DataFrame, key: str, item: str, per_photo: int) -> DataFrame:
     """The first products of a photo's categories by the hash of key and item. photos: key, cats; products: item, cat."""
-    wanted = photos.select(key, F.explode("cats").alias("cat")).distinct()
-    h = hashing.unit(F.concat_ws("|", F.col(key).cast("string"), F.col(item).cast("string")))
-    w = Window.partitionBy(key).orderBy(h, item)
-    return wanted.join(products, "cat").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_photo)
+    wanted = photos.select(F.col(key).alias("_key"), F.explode("cats").alias("cat")).distinct()
+    found = top_by_pair_hash(wanted, products, "cat", "_key", item, per_photo).select(F.col("_key").alias(key), item, F.col("attempt").alias("rank"))
+    return found
+
+
+def chained_jobs(bases: DataFrame, photos: DataFrame, products: DataFrame, key: str, file: str, item: str, per_photo: int) -> DataFrame:
+    """(key, file, item, rank): approved bases (key, file, cats) take products as plan_jobs does; bases whose file is no photo drop out."""
+    there = bases.join(photos.select(file).distinct(), file, "left_semi")
+    return there.select(key, file).join(plan_jobs(there.select(key, "cats"), products, key, item, per_photo), key)
 
 
 def unique_or_fail(df: DataFrame, key: str) -> DataFrame:

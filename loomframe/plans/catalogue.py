@@ -178,10 +178,10 @@ def _at(values: list[str], index: Column) -> Column:
 
 
 def _wardrobe(spark: SparkSession, at: str) -> DataFrame:
-    """Parts as items of wardrobes of 100 part keys each; the context of a wardrobe is its number."""
+    """Parts as items of wardrobes of 24 part keys each; the context of a wardrobe is its number."""
     k = F.col("p_partkey")
     season = F.when(k % 3 == 0, F.array(F.lit("여름"))).when(k % 3 == 1, F.array(F.lit("봄"), F.lit("가을"))).otherwise(F.array(F.lit("겨울"), F.lit("가을")))
-    parts = t(spark, at, "part").where("p_size <= 12").withColumn("slot", rules.lookup(F.col("p_type"), _SLOTS)).where("slot is not null")
+    parts = t(spark, at, "part").withColumn("slot", rules.lookup(F.col("p_type"), _SLOTS)).where("slot is not null")
     item = F.struct(
         k.alias("id"),
         rules.lookup(F.col("slot"), _CATEGORY).alias("category"),
@@ -193,7 +193,7 @@ def _wardrobe(spark: SparkSession, at: str) -> DataFrame:
         F.when(k % 6 == 0, F.lit(None)).otherwise(k % 6).cast("int").alias("days_since_worn"),
     )
     usable = rules.wearable(F.lit(True), season, item["formality"], F.lit(12.0), F.lit(3))
-    return parts.where(usable).select(F.floor(k / 100).cast("int").alias("context"), "slot", item.alias("item"))
+    return parts.where(usable).select(F.floor(k / 24).cast("int").alias("context"), "slot", item.alias("item"))
 
 
 @query
@@ -260,7 +260,7 @@ def laundry_bundles(spark: SparkSession, at: str) -> DataFrame:
     """Parts that need washing, by method and colour group; the lowest temperature of the bundle holds."""
     k = F.col("p_partkey")
     cares = rules.default_care(_at(["면", "울", "실크 혼방", "소가죽"], (k % 4).cast("int")), _at(["티셔츠", "코트", "니트"], (k % 3).cast("int")))
-    parts = t(spark, at, "part").where("p_size % 2 = 0").select(k, cares.alias("care"), rules.color_group(_at(_PALETTE, (k % 7).cast("int"))).alias("group"))
+    parts = t(spark, at, "part").select(k, cares.alias("care"), rules.color_group(_at(_PALETTE, (k % 7).cast("int"))).alias("group"))
     dry = F.col("care.method") == dims.DRY_ONLY
     bundles = parts.select(F.col("care.method").alias("method"), F.when(~dry, F.col("group")).alias("color"), "care.max_temp", k).groupBy("method", "color")
     return bundles.agg(F.min("max_temp").alias("max_temp"), F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_item"))
@@ -276,10 +276,11 @@ def idle_items(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def cost_per_use(spark: SparkSession, at: str) -> DataFrame:
-    uses = t(spark, at, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("uses"))
+    """Price by use, half even to a whole number; null where there was none."""
+    uses = t(spark, at, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("uses"))
     parts = t(spark, at, "part").join(uses, "p_partkey", "left")
     n = F.coalesce("uses", F.lit(0))
-    return parts.select("p_partkey", n.alias("uses"), r(F.try_divide("p_retailprice", n), 2).alias("cost"))
+    return parts.select("p_partkey", n.alias("uses"), F.bround(F.try_divide("p_retailprice", n), 0).alias("cost"))
 
 
 # --- colour -------------------------------------------------------------------------------------------
@@ -341,10 +342,9 @@ def overlapping_group_summary(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def group_and_overall(spark: SparkSession, at: str) -> DataFrame:
-    t(spark, at, "lineitem").createOrReplaceTempView("_lineitem_groups")
-    return spark.sql("""
-        SELECT l_returnflag, l_linestatus, round(avg(l_quantity), 4) AS mean_quantity, round(avg(nullif(l_discount, 0D)), 4) AS mean_discount, count(*) AS n
-        FROM _lineitem_groups GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), ())""")
+    lines = t(spark, at, "lineitem")
+    groups = lines.groupingSets([[lines["l_returnflag"], lines["l_linestatus"]], []], lines["l_returnflag"], lines["l_linestatus"])
+    return groups.agg(F.round(F.avg("l_quantity"), 4).alias("mean_quantity"), F.round(F.avg(F.nullif("l_discount", F.lit(0.0))), 4).alias("mean_discount"), F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -425,12 +425,9 @@ def best_rotation(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def margin_to_others(spark: SparkSession, at: str) -> DataFrame:
-    """Similarity to the own centroid less the best of the others: centroids are few, vectors are not paired with each other."""
+    """Similarity to the own centroid less the best of the others, within the row: vectors are not paired with each other."""
     vectors = t(spark, at, "embeddings")
-    c = metrics.centroids(vectors, "label", "embedding").select(F.col("label").alias("other"), "centroid")
-    sims = vectors.join(F.broadcast(c)).select("vec_id", (F.col("label") == F.col("other")).alias("own"), metrics.cosine(F.col("embedding"), F.col("centroid")).alias("s"))
-    out = sims.groupBy("vec_id").agg(F.max(F.when(F.col("own"), F.col("s"))).alias("target"), F.max(F.when(~F.col("own"), F.col("s"))).alias("rest"))
-    return out.select("vec_id", r(F.coalesce(F.col("target") - F.col("rest"), F.lit(1.0))).alias("margin"))
+    return metrics.margin_to_others(vectors, "vec_id", "label", "embedding").select("vec_id", r(F.col("margin")).alias("margin"))
 
 
 # --- text ---------------------------------------------------------------------------------------------
@@ -497,19 +494,19 @@ def text_ratio(spark: SparkSession, at: str) -> DataFrame:
 def job_planning_topn(spark: SparkSession, at: str) -> DataFrame:
     cats = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("PROMO"), F.lit("SMALL"))).otherwise(F.array(F.lit("LARGE")))
     photos = t(spark, at, "supplier").select("s_suppkey", cats.alias("cats"))
-    products = t(spark, at, "part").where("p_size = 7").select("p_partkey", F.col("p_type").alias("cat"))
-    return relational.plan_jobs(photos, products, "s_suppkey", "p_partkey", 3).select("s_suppkey", "p_partkey", "rank")
+    products = t(spark, at, "part").select("p_partkey", F.col("p_type").alias("cat"))
+    return relational.plan_jobs(photos, products, "s_suppkey", "p_partkey", 3)
 
 
 @query
 def first_passing_donor(spark: SparkSession, at: str) -> DataFrame:
     """Targets of a brand try donors of their brand in hash order, five at most, until one is large enough."""
     parts = t(spark, at, "part")
-    targets = parts.where("p_size = 1").select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"))
-    donors = parts.where("p_size between 40 and 42").select(F.col("p_partkey").alias("donor"), "p_brand", F.col("p_retailprice").alias("donor_price"))
-    pairs = targets.join(donors, "p_brand")
-    order = hashing.unit(F.concat_ws("|", F.col("p_partkey").cast("string"), F.col("donor").cast("string")))
-    return relational.first_passing(pairs, "p_partkey", "donor", order, F.col("donor_price") > F.col("price"), 5)
+    prices = parts.select("p_partkey", "p_brand", F.col("p_retailprice").alias("price"))
+    donors = parts.select(F.col("p_partkey").alias("donor"), "p_brand", F.col("p_retailprice").alias("donor_price"))
+    tried = relational.top_by_pair_hash(prices, donors, "p_brand", "p_partkey", "donor", 5)
+    tried = tried.join(prices.select("p_partkey", "price"), "p_partkey").join(donors.select("donor", "donor_price"), "donor")
+    return relational.first_passing(tried, "p_partkey", "donor", F.col("attempt"), F.col("donor_price") > F.col("price"), 5)
 
 
 @query
@@ -533,7 +530,7 @@ def circuit_breaker(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def rle_area_and_iou(spark: SparkSession, at: str) -> DataFrame:
-    """Line items of an order as run lengths: area is the sum of the odd runs; IoU of two orders' masks as sets of lines."""
+    """Line items of an order as run lengths: area is the sum of the odd runs (mask_pairs has the IoU of masks)."""
     runs = t(spark, at, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("long").alias("q")))).alias("a"))
     area = F.aggregate(F.filter(F.transform("a", lambda s, i: F.struct(s["q"].alias("q"), i.alias("i"))), lambda s: s["i"] % 2 == 1), F.lit(0).cast("long"), lambda s, x: s + x["q"])
     total = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["q"])
@@ -561,11 +558,10 @@ def mean_of_ten_steps(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def attribute_names(spark: SparkSession, at: str) -> DataFrame:
-    """Per supplier the names of its parts' types, gathered by brand as a map, here as sorted text."""
-    vocab = t(spark, at, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("sup"), "p_type")
-    pairs = t(spark, at, "lineitem").where("l_quantity = 50").select("l_suppkey", "l_partkey").join(vocab, "l_partkey").select("l_suppkey", "sup", "p_type").distinct()
-    names = pairs.groupBy("l_suppkey", "sup").agg(F.array_join(F.array_sort(F.collect_list("p_type")), ",").alias("names"))
-    return names.select("l_suppkey", F.col("sup").alias("supercategory"), "names")
+    """Per supplier the names of its parts' types by brand: a map, here a row for each entry."""
+    vocab = t(spark, at, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("supercategory"), F.col("p_type").alias("name"))
+    found = relational.attribute_names(t(spark, at, "lineitem").select("l_suppkey", F.col("l_partkey").alias("id")), vocab, "l_suppkey")
+    return found.select("l_suppkey", F.explode("attributes").alias("supercategory", "_n")).select("l_suppkey", "supercategory", F.array_join("_n", ",").alias("names"))
 
 
 @query

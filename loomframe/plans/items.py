@@ -213,8 +213,8 @@ def existing_results(spark: SparkSession, at: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT user_id AS file, event_id % 3 AS k, avg(CASE WHEN event_type = 'view' THEN value END) AS pd, avg(CASE WHEN event_type = 'click' THEN value END) AS lg,
-        avg(CASE WHEN event_type = 'error' THEN value END) AS cr, avg(CASE WHEN event_type = 'signup' THEN value END) AS ec, avg(CASE WHEN event_type = 'purchase' THEN value END) AS tc FROM events GROUP BY 1, 2),
+    """WITH s AS (SELECT user_id AS file, event_id % 3 AS k, max(CASE WHEN event_type = 'view' THEN value END) AS pd, max(CASE WHEN event_type = 'click' THEN value END) AS lg,
+        max(CASE WHEN event_type = 'error' THEN value END) AS cr, max(CASE WHEN event_type = 'signup' THEN value END) AS ec, max(CASE WHEN event_type = 'purchase' THEN value END) AS tc FROM events GROUP BY 1, 2),
       jobs AS (SELECT u AS file, k FROM (SELECT DISTINCT user_id AS u FROM events), range(4) v(k))
     SELECT jobs.file, jobs.k, round(CASE WHEN ok THEN pd END, 4) AS palette_dist, round(CASE WHEN ok THEN least(cr, 9.99) END, 4) AS chroma_ratio, CASE WHEN ok THEN coalesce(tc, 99) < 3 END AS neutral
     FROM jobs LEFT JOIN (SELECT *, pd IS NOT NULL AND lg IS NOT NULL AND cr IS NOT NULL AND ec IS NOT NULL AS ok FROM s) s ON jobs.file = s.file AND jobs.k = s.k"""
@@ -223,7 +223,7 @@ def color_evidence(spark: SparkSession, at: str) -> DataFrame:
     """Users' events as metrics of three results; colour evidence only where all four metrics were measured."""
     events = t(spark, at, "events").select(F.col("user_id").alias("file"), (F.col("event_id") % 3).alias("k"), "event_type", "value")
     names = {"view": "palette_dist", "click": "lightness_gap", "error": "chroma_ratio", "signup": "extra_color", "purchase": "target_chroma"}
-    means = events.groupBy("file", "k", rules.lookup(F.col("event_type"), names).alias("m")).agg(F.avg("value").alias("v")).where("m is not null and v is not null")
+    means = events.groupBy("file", "k", rules.lookup(F.col("event_type"), names).alias("m")).agg(F.max("value").alias("v")).where("m is not null and v is not null")
     scores = means.groupBy("file", "k").agg(F.map_from_entries(F.collect_list(F.struct("m", "v"))).alias("scores"))
     jobs = events.select("file").distinct().select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     out = joins.with_color_evidence(jobs, scores)

@@ -72,11 +72,11 @@ _HUES = _lab_cte(f"(VALUES {_values([(n, *rgb) for n, rgb in dims.COLORS.items()
 
 _WARDROBE = f"""
 items AS (
-  SELECT p_partkey AS id, (p_partkey // 100)::INT AS context,
+  SELECT p_partkey AS id, (p_partkey // 24)::INT AS context,
     CASE p_type WHEN 'ECONOMY' THEN 'top' WHEN 'SMALL' THEN 'top' WHEN 'PROMO' THEN 'bottom' WHEN 'MEDIUM' THEN 'bottom' WHEN 'LARGE' THEN 'outer' WHEN 'STANDARD' THEN 'shoes' END AS slot,
     {_list(_PALETTE)}[p_partkey % 7 + 1] AS color, p_partkey % 5 = 0 AS patterned, ['슬림', '레귤러', '세미오버', '오버'][p_partkey % 4 + 1] AS fit, (p_partkey % 4)::INT AS volume,
     (p_partkey % 5 + 1)::INT AS formality, [[]::VARCHAR[], ['a'], ['a', 'b'], ['b', 'c']][p_partkey % 4 + 1] AS tags, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE p_partkey % 6 END AS days
-  FROM part WHERE p_size <= 12 AND p_partkey % 3 <> 0 AND abs(p_partkey % 5 + 1 - 3) <= 2
+  FROM part WHERE p_partkey % 3 <> 0 AND abs(p_partkey % 5 + 1 - 3) <= 2
 ), slots AS (SELECT * FROM items WHERE slot IS NOT NULL),
 bases AS (SELECT t.context, [t.id, b.id] AS ids FROM slots t JOIN slots b USING (context) WHERE t.slot = 'top' AND b.slot = 'bottom'),
 with_outer AS (SELECT x.context, CASE WHEN o.id IS NULL THEN ids ELSE list_append(ids, o.id) END AS ids FROM bases x LEFT JOIN (SELECT * FROM slots WHERE slot = 'outer') o USING (context)),
@@ -171,7 +171,7 @@ ORACLES: dict[str, str] = {
           FROM s JOIN seq q ON q.user_id = s.user_id AND q.rn = s.rn + 1))
       SELECT user_id, round(arg_max(load, rn), 3) AS load, arg_max(learned, rn) AS learned, arg_max(state, rn) AS state, arg_max(wears, rn) AS wears FROM s GROUP BY 1""",
     "laundry_bundles": f"""
-      WITH x AS (SELECT p_partkey AS k, ['면', '울', '실크 혼방', '소가죽'][p_partkey % 4 + 1] AS m, ['티셔츠', '코트', '니트'][p_partkey % 3 + 1] AS s, {_list(_PALETTE)}[p_partkey % 7 + 1] AS c FROM part WHERE p_size % 2 = 0),
+      WITH x AS (SELECT p_partkey AS k, ['면', '울', '실크 혼방', '소가죽'][p_partkey % 4 + 1] AS m, ['티셔츠', '코트', '니트'][p_partkey % 3 + 1] AS s, {_list(_PALETTE)}[p_partkey % 7 + 1] AS c FROM part),
       y AS (SELECT k, c, CASE WHEN contains(m, '가죽') OR s = '코트' THEN '드라이클리닝' WHEN contains(m, '실크') THEN '손세탁' WHEN contains(m, '울') OR s = '니트' THEN '울코스' ELSE '일반세탁' END AS method FROM x)
       SELECT method, CASE WHEN method = '드라이클리닝' THEN NULL WHEN c IN ('화이트', '아이보리') THEN '흰색' WHEN c IN {tuple(dims.DARK_COLORS)} THEN '어두운색' ELSE '밝은색' END AS color,
         min(CASE method WHEN '드라이클리닝' THEN 0 WHEN '일반세탁' THEN 40 ELSE 30 END)::INT AS max_temp, count(*) AS n, min(k) AS first_item FROM y GROUP BY 1, 2""",
@@ -179,7 +179,7 @@ ORACLES: dict[str, str] = {
       SELECT c_custkey, date_diff('day', last, DATE '1998-08-02')::INT AS idle_days FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate::DATE) AS last FROM orders GROUP BY 1) ON o_custkey = c_custkey
       WHERE last IS NULL OR date_diff('day', last, DATE '1998-08-02') >= 180""",
     "cost_per_use": """
-      SELECT p_partkey, coalesce(uses, 0) AS uses, round(p_retailprice / uses, 2) AS cost FROM part LEFT JOIN (SELECT l_partkey, count(*) AS uses FROM lineitem WHERE l_quantity > 45 GROUP BY 1) ON l_partkey = p_partkey""",
+      SELECT p_partkey, coalesce(uses, 0) AS uses, round_even(p_retailprice / uses, 0) AS cost FROM part LEFT JOIN (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""",
     "nearest_color": f"""
       WITH p AS ({_LABS1}), q AS ({_REF}), d AS ({_de('SELECT vec_id, ord, name, p.l AS l1, p.a AS a1, p.b AS b1, q.l AS l2, q.a AS a2, q.b AS b2 FROM p, q', 'vec_id, ord, name')})
       SELECT vec_id, name AS color, round(de, 4) AS delta_e FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY de, ord) AS rn FROM d) WHERE rn = 1""",
@@ -246,11 +246,11 @@ ORACLES: dict[str, str] = {
     "job_planning_topn": f"""
       SELECT s_suppkey, p_partkey, rank::INT AS rank FROM (
         SELECT s_suppkey, p_partkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY {_HASH.format("(s_suppkey::VARCHAR || '|' || p_partkey::VARCHAR)")}, p_partkey) AS rank
-        FROM supplier JOIN part ON list_contains(CASE WHEN s_suppkey % 2 = 0 THEN ['PROMO', 'SMALL'] ELSE ['LARGE'] END, p_type) WHERE p_size = 7) WHERE rank <= 3""",
+        FROM supplier JOIN part ON list_contains(CASE WHEN s_suppkey % 2 = 0 THEN ['PROMO', 'SMALL'] ELSE ['LARGE'] END, p_type)) WHERE rank <= 3""",
     "first_passing_donor": f"""
       WITH x AS (SELECT a.p_partkey, b.p_partkey AS donor, b.p_retailprice > a.p_retailprice AS ok,
           row_number() OVER (PARTITION BY a.p_partkey ORDER BY {_HASH.format("(a.p_partkey::VARCHAR || '|' || b.p_partkey::VARCHAR)")}, b.p_partkey) AS rn
-        FROM part a JOIN part b USING (p_brand) WHERE a.p_size = 1 AND b.p_size BETWEEN 40 AND 42)
+        FROM part a JOIN part b USING (p_brand))
       SELECT p_partkey, arg_min(donor, rn) AS donor, min(rn)::INT AS attempt FROM x WHERE rn <= 5 AND ok GROUP BY 1""",
     "another_of_category": f"""
       WITH x AS (SELECT *, {_HASH.format('p_partkey')} AS h FROM part)
@@ -272,12 +272,12 @@ ORACLES: dict[str, str] = {
       ORDER BY -ln(({_HASH.format('doc_id')} + 1) / 4294967297.0::DOUBLE) * size / CASE source WHEN 'src1' THEN 3.0 WHEN 'src2' THEN 0.5 ELSE 1.0 END, doc_id LIMIT 100""",
     "mean_of_ten_steps": "SELECT ceil((event_id + 1) / 10.0)::BIGINT AS block, round(avg(value), 3) AS loss, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1",
     "attribute_names": """
-      SELECT l_suppkey, p_brand AS supercategory, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 50 GROUP BY 1, 2""",
+      SELECT l_suppkey, p_brand AS supercategory, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS names FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2""",
     "score_predicates": """
       WITH x AS (SELECT l_returnflag, l_quantity::DOUBLE / 50 AS fg, l_discount::DOUBLE AS outer_frac, CASE WHEN l_linenumber < 4 THEN l_quantity::DOUBLE / 4 END AS pal, CASE WHEN l_linenumber <> 2 THEN l_quantity::DOUBLE / 5 END AS extra,
         l_tax::DOUBLE * 200 AS chroma, l_quantity::DOUBLE / 20 AS ratio, l_quantity::DOUBLE - 5 AS margin, l_tax::DOUBLE / 5 AS marker FROM lineitem),
-      y AS (SELECT *, margin > 0 AND fg >= 0.02 AND outer_frac <= 0.03 AS r FROM x)
-      SELECT l_returnflag, count_if(r)::BIGINT AS right_item, count_if(r AND coalesce(pal, 99) <= 10 AND coalesce(extra, 99) <= 10 AND (chroma <= 8 OR ratio BETWEEN 0.5 AND 2.0) AND marker <= 0.01)::BIGINT AS faithful,
+      y AS (SELECT *, margin > 0 AND fg >= 0.02 AND outer_frac <= 0.2 AS r FROM x)
+      SELECT l_returnflag, count_if(r)::BIGINT AS right_item, count_if(r AND coalesce(pal, 99) <= 12 AND coalesce(extra, 99) <= 15 AND (chroma <= 8 OR ratio BETWEEN 0.5 AND 2.0) AND marker <= 0.01)::BIGINT AS faithful,
         count_if(fg > 0.5 AND coalesce(pal, 0) > 0)::BIGINT AS passing FROM y GROUP BY 1""",
     "fallback_label_join": """
       WITH p AS (SELECT o_orderkey, o_orderpriority || '/' || (o_orderkey % 500) AS src, (o_orderkey % 500)::VARCHAR AS name FROM orders),
