@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, color, dims, records, rules, text
-from ..operators import joins, metrics, reports
+from ..operators import joins, pixels, reports
 from .catalogue import Query, r, t
 
 QUERIES: dict[str, Query] = {}
@@ -526,3 +526,79 @@ def palette_nearest(spark: SparkSession, at: str) -> DataFrame:
     gap = lambda p, a, b: F.sqrt(F.pow(p["a"] - a, F.lit(2.0)) + F.pow(p["b"] - b, F.lit(2.0)))
     near = F.transform(points, lambda p: color.nearest_center(p, [(10.0, 10.0), (-20.0, 0.0)], gap))
     return t(spark, at, "embeddings").select("vec_id", r(F.array_min(F.transform(points, lambda p: gap(p, 10.0, 10.0))), 3).alias("nearest"), r(F.array_max(near), 3).alias("farthest"))
+
+
+# --- images as pixel tables ---------------------------------------------------------------------------
+
+_PIXELS = """px AS (SELECT event_id // 400 AS image, (event_id % 400 // 20)::INT AS y, (event_id % 20)::INT AS x, ((event_id * 37 + floor(coalesce(value, 0))) % 256)::INT AS r,
+  (floor(coalesce(value, 0) * 3) % 256)::INT AS g, (user_id * 11 % 256)::INT AS b, user_id % 3 = 0 AS m FROM events)"""
+
+
+def _pixels(spark: SparkSession, at: str) -> DataFrame:
+    """Events as pixels of images of 20 x 20, with a mask."""
+    i, v = F.col("event_id"), F.coalesce("value", F.lit(0.0))
+    return t(spark, at, "events").select(
+        F.floor(i / 400).alias("image"), F.floor(i % 400 / 20).cast("int").alias("y"), (i % 20).cast("int").alias("x"), ((i * 37 + F.floor(v)) % 256).cast("int").alias("r"),
+        (F.floor(v * 3) % 256).cast("int").alias("g"), (F.col("user_id") * 11 % 256).cast("int").alias("b"), (F.col("user_id") % 3 == 0).alias("m"),
+    )
+
+
+@query(
+    f"""WITH {_PIXELS}, s AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY 1), e AS (SELECT px.*, y = y0 OR y = y1 OR x = x0 OR x = x1 AS edge FROM px JOIN s USING (image)),
+      bg AS (SELECT image, median(r) AS br, median(g) AS bgr, median(b) AS bb FROM e WHERE edge GROUP BY 1)
+    SELECT image, count(*) FILTER (sqrt(pow(r - br, 2) + pow(g - bgr, 2) + pow(b - bb, 2)) > 40) AS fg FROM px JOIN bg USING (image) GROUP BY 1"""
+)
+def border_foreground(spark: SparkSession, at: str) -> DataFrame:
+    return pixels.border_foreground(_pixels(spark, at)).groupBy("image").agg(F.count_if("fg").alias("fg"))
+
+
+@query(
+    f"""WITH {_PIXELS}, s AS (SELECT image, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM px GROUP BY 1), e AS (SELECT px.*, y < y0 + 8 OR y > y1 - 8 OR x < x0 + 8 OR x > x1 - 8 AS edge,
+        0.299 * r + 0.587 * g + 0.114 * b AS lum, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b AS cb, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b AS cr FROM px JOIN s USING (image)),
+      f AS (SELECT image, (stddev_pop(r) FILTER (edge) + stddev_pop(g) FILTER (edge) + stddev_pop(b) FILTER (edge)) / 3 AS sd, avg((lum > 60 AND cb > 77 AND cb < 127 AND cr > 133 AND cr < 173)::INT) AS skin FROM e GROUP BY 1)
+    SELECT image, round(sd, 2) AS bg_std, round(skin, 4) AS skin, CASE WHEN skin >= 0.02 THEN 'case2' WHEN sd <= 70 THEN 'case1' ELSE 'case3' END AS case_name FROM f"""
+)
+def scene_cases(spark: SparkSession, at: str) -> DataFrame:
+    found = pixels.scene_cases(_pixels(spark, at), 0.02, 70.0)
+    return found.select("image", r(F.col("bg_std"), 2).alias("bg_std"), r(F.col("skin")).alias("skin"), F.col("case").alias("case_name"))
+
+
+@query(
+    f"""WITH {_PIXELS}, n AS (SELECT a.image, a.y, a.x, a.m, bool_and(coalesce(b.m, false)) FILTER (b.image IS NOT NULL) AND count(b.image) = 4 AS inside FROM px a
+        LEFT JOIN px b ON a.image = b.image AND abs(a.x - b.x) + abs(a.y - b.y) = 1 GROUP BY 1, 2, 3, 4),
+      d AS (SELECT DISTINCT image, y + dy AS y, x + dx AS x FROM px, range(-2, 3) u(dy), range(-2, 3) v(dx) WHERE m)
+    SELECT image, count(*) FILTER (m) AS area, count(*) FILTER (m AND NOT inside) AS outline, (SELECT count(*) FROM d WHERE d.image = n.image) AS dilated FROM n GROUP BY 1"""
+)
+def mask_shapes(spark: SparkSession, at: str) -> DataFrame:
+    """Area, outline and dilation of each image's mask."""
+    px = _pixels(spark, at)
+    shape = pixels.with_outline(px, "m").groupBy("image").agg(F.count_if("m").alias("area"), F.count_if("outline").alias("outline"))
+    return shape.join(pixels.dilated(px.where("m"), 2).groupBy("image").agg(F.count(F.lit(1)).alias("dilated")), "image", "left")
+
+
+@query(
+    f"""WITH {_PIXELS}, w AS (SELECT image, y, count(*) FILTER (m AND x < 10) AS v, count(*) FILTER (m) AS t FROM px WHERE y > 3 GROUP BY 1, 2), s AS (SELECT image, min(y) AS a, max(y) AS b FROM w WHERE v > 0 GROUP BY 1),
+      sh AS (SELECT image, CASE WHEN sum(v) = 0 THEN 0.0 ELSE sum(v) / greatest(coalesce(sum(t) FILTER (y BETWEEN a AND b), 0), 1) END AS share FROM w LEFT JOIN s USING (image) GROUP BY 1),
+      tk AS (SELECT image, y // 4 AS ty, x // 4 AS tx, avg(m::INT) >= 0.5 AS inside FROM px WHERE y // 4 < (SELECT max(y) + 1 FROM px q WHERE q.image = px.image) // 4 GROUP BY 1, 2, 3)
+    SELECT image, round(share, 4)::DOUBLE AS share, (SELECT count(*) FILTER (inside) FROM tk WHERE tk.image = sh.image) AS tokens FROM sh"""
+)
+def visible_shares(spark: SparkSession, at: str) -> DataFrame:
+    """How much of the mask's left half shows within its rows, and the tokens of 4 x 4 that the mask fills by half."""
+    px = _pixels(spark, at)
+    share = pixels.visible_share(px.where("y > 3"), F.col("m") & (F.col("x") < 10), F.col("m"))
+    full = pixels.tokens(px, F.col("m"), 0.5, 4).groupBy("image").agg(F.count_if("inside").alias("tokens"))
+    return share.join(full, "image", "left").select("image", r(F.col("share")).alias("share"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+
+
+@query(
+    """WITH p AS (SELECT l_orderkey % 50 AS scene, l_partkey AS item, l_orderkey AS ord, (l_suppkey % 7 + dy)::INT AS y, (l_linenumber % 7 + dx)::INT AS x FROM lineitem, range(3) u(dy), range(3) v(dx)),
+      q AS (SELECT scene, item, y, x, max(ord) AS ord FROM p GROUP BY 1, 2, 3, 4), w AS (SELECT *, row_number() OVER (PARTITION BY scene, y, x ORDER BY ord DESC, item DESC) = 1 AS top FROM q)
+    SELECT scene, item, count(*) AS full_px, count(*) FILTER (top) AS visible_px FROM w GROUP BY 1, 2"""
+)
+def stacked_items(spark: SparkSession, at: str) -> DataFrame:
+    """Lines as squares laid on each other: how much of each item lies free."""
+    lines = t(spark, at, "lineitem").select((F.col("l_orderkey") % 50).alias("scene"), F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("ord"), (F.col("l_suppkey") % 7).cast("int").alias("y0"), (F.col("l_linenumber") % 7).alias("x0"))
+    three = F.array(*(F.lit(k) for k in range(3)))
+    cells = lines.select("*", F.explode(three).alias("dy")).select("*", F.explode(three).alias("dx")).select("scene", "item", "ord", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
+    found = pixels.stacked(cells.groupBy("scene", "item", "y", "x").agg(F.max("ord").alias("ord")))
+    return found.select("scene", "item", F.col("full").alias("full_px"), F.col("visible").alias("visible_px"))
