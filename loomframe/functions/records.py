@@ -83,6 +83,30 @@ def two_way_softmax(no: Column, yes: Column, temperature: float = 1.0) -> Column
     return F.exp(b - top) / (F.exp(a - top) + F.exp(b - top))
 
 
+def log_mass_gap(tokens: Column, yes: Sequence[str], no: Sequence[str]) -> Column:
+    """log of the yes tokens' probability less that of the no tokens'. tokens: map from a token to its log probability; a side without any counts as -1e9."""
+
+    def mass(names: Sequence[str]) -> Column:
+        found = F.array_compact(F.array(*(F.element_at(tokens, n) for n in names)))
+        top = F.array_max(found)
+        return F.coalesce(top + F.log(F.aggregate(found, F.lit(0.0), lambda s, x: s + F.exp(x - top))), F.lit(-1e9))
+
+    return mass(yes) - mass(no)
+
+
+def rebuilt(text: Column, schema: str, defaults: dict[str, Column] | None = None) -> Column:
+    """A record from its JSON: unknown keys are dropped, missing ones take their default or null; null for a text that is no object."""
+    record = F.from_json(text, schema)
+    for name, value in (defaults or {}).items():
+        record = F.when(record.isNotNull(), record.withField(name, F.coalesce(record[name], value)))
+    return F.when(F.json_object_keys(text).isNotNull(), record)
+
+
+def expected_count(items: Column) -> Column:
+    """How many items a scene expects: the sum of their counts, one where none is given."""
+    return F.aggregate(F.coalesce(items, F.array().cast("array<struct<category:string,count:int>>")), F.lit(0), lambda s, i: s + F.coalesce(i["count"], F.lit(1)))
+
+
 def field_scores(fields: Sequence[str]) -> list[tuple[str, Column]]:
     """(field, score) for columns pred (struct) and label (struct of strings): null where the label is blank."""
     out = []
