@@ -31,6 +31,16 @@ def srgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     return F.struct((D(116.0) * y - D(16.0)).alias("l"), (D(500.0) * (x - y)).alias("a"), (D(200.0) * (y - z)).alias("b"))
 
 
+def lab_of(rgb: Sequence[int]) -> Column:
+    """srgb_to_lab of a fixed colour, worked out beforehand."""
+    r, g, b = (c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in (v / 255 for v in rgb))
+    curve = lambda v: v ** (1 / 3) if v > (6 / 29) ** 3 else v / (3 * (6 / 29) ** 2) + 4 / 29
+    x = curve((r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047)
+    y = curve(r * 0.2126729 + g * 0.7151522 + b * 0.0721750)
+    z = curve((r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883)
+    return F.struct(D(116 * y - 16).alias("l"), D(500 * (x - y)).alias("a"), D(200 * (y - z)).alias("b"))
+
+
 def hue(lab: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(lab["b"], lab["a"])), D(360.0))
 
@@ -75,22 +85,12 @@ def with_delta_e(df: DataFrame, one: str, two: str, out: str, k_l: float = 1.0,
     return df.select(*names, out)
 
 
-def _let(steps: Sequence[Callable[[Column], dict[str, Column]]], start: dict[str, Column], out: Callable[[Column], Column]) -> Column:
-    """An expression in steps, each of which sees the values of those before; no value is computed twice."""
-
-    def follow(k: int, seen: Column, names: list[str]) -> Column:
-        if k == len(steps):
-            return out(seen)
-        new = steps[k](seen)
-        packed = F.struct(*(seen[n].alias(n) for n in names if n not in new), *(c.alias(n) for n, c in new.items()))
-        return F.get(F.transform(F.array(packed), lambda s: follow(k + 1, s, [*(n for n in names if n not in new), *new])), F.lit(0))
-
-    return F.get(F.transform(F.array(F.struct(*(c.alias(n) for n, c in start.items()))), lambda s: follow(0, s, list(start))), F.lit(0))
-
+def delta_e_each(pairs: Column, keep: Sequence[str] = (), k_l: float = 1.0) -> Column:
+    """array<struct(de, kept fields)> of an array of structs (l1, a1, b1, l2, a2, b2, kept fields): the CIEDE2000 difference of each, within the row.
 
-def delta_e(one: Column, two: Column, k_l: float = 1.0) -> Column:
-    """The CIEDE2000 difference of two Lab structs as one expression, to be used within arrays."""
-    seven, pi = D(25.0**7), F.radians
+    Each step is a pass over the array, so that no value is computed twice and no function is nested in another.
+    """
+    seven, rad = D(25.0**7), F.radians
     hue_of = lambda b, a: F.pmod(F.degrees(F.atan2(b, a)), D(360.0))
     ratio = lambda c: F.sqrt(F.pow(c, D(7.0)) / (F.pow(c, D(7.0)) + seven))
     steps = [
@@ -103,16 +103,41 @@ def delta_e(one: Column, two: Column, k_l: float = 1.0) -> Column:
             "dh": F.when(s["grey"], 0.0).when(F.abs(s["gap"]) <= 180, s["gap"]).when(s["gap"] > 0, s["gap"] - 360).otherwise(s["gap"] + 360),
             "h": F.when(s["grey"], s["sum"]).when(F.abs(s["gap"]) <= 180, s["sum"] / 2).when(s["sum"] < 360, (s["sum"] + 360) / 2).otherwise((s["sum"] - 360) / 2),
         },
-        lambda s: {"t": 1 - D(0.17) * F.cos(pi(s["h"] - 30)) + D(0.24) * F.cos(pi(2 * s["h"])) + D(0.32) * F.cos(pi(3 * s["h"] + 6)) - D(0.20) * F.cos(pi(4 * s["h"] - 63))},
+        lambda s: {"t": 1 - D(0.17) * F.cos(rad(s["h"] - 30)) + D(0.24) * F.cos(rad(2 * s["h"])) + D(0.32) * F.cos(rad(3 * s["h"] + 6)) - D(0.20) * F.cos(rad(4 * s["h"] - 63))},
         lambda s: {
             "x": (s["l2"] - s["l1"]) / (D(k_l) * (1 + D(0.015) * s["off"] / F.sqrt(20 + s["off"]))),
             "y": (s["c2"] - s["c1"]) / (1 + D(0.045) * s["cm"]),
-            "z": 2 * F.sqrt(s["c1"] * s["c2"]) * F.sin(pi(s["dh"] / 2)) / (1 + D(0.015) * s["cm"] * s["t"]),
-            "turn": F.sin(pi(60 * F.exp(-F.pow((s["h"] - 275) / 25, D(2.0))))) * 2 * ratio(s["cm"]),
+            "z": 2 * F.sqrt(s["c1"] * s["c2"]) * F.sin(rad(s["dh"] / 2)) / (1 + D(0.015) * s["cm"] * s["t"]),
+            "turn": F.sin(rad(60 * F.exp(-F.pow((s["h"] - 275) / 25, D(2.0))))) * 2 * ratio(s["cm"]),
         },
+        lambda s: {"de": F.sqrt(F.greatest(D(0.0), s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] - s["turn"] * s["y"] * s["z"]))},
     ]
-    start = {"l1": one["l"], "a1": one["a"], "b1": one["b"], "l2": two["l"], "a2": two["a"], "b2": two["b"]}
-    return _let(steps, start, lambda s: F.sqrt(F.greatest(D(0.0), s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"] - s["turn"] * s["y"] * s["z"])))
+    names = ["l1", "a1", "b1", "l2", "a2", "b2", *keep]
+    for k, step in enumerate(steps):
+        names = [*(n for n in names if n not in _NEW[k]), *_NEW[k]] if k + 1 < len(steps) else ["de", *keep]
+        pairs = F.transform(pairs, _step(step, tuple(names)))
+    return pairs
+
+
+def _step(step: Callable[[Column], dict[str, Column]], names: tuple[str, ...]) -> Callable[[Column], Column]:
+    def apply(s: Column) -> Column:
+        new = step(s)
+        return F.struct(*((new[n] if n in new else s[n]).alias(n) for n in names))
+
+    return apply
+
+
+#: The fields that each step of delta_e_each adds.
+_NEW = (("c",), ("g",), (), ("c1", "c2", "h1", "h2"), ("gap", "sum", "grey", "cm", "off"), ("dh", "h"), ("t",), ("x", "y", "z", "turn"), ("de",))
+
+
+def _pair(one: Column, two: Column, **more: Column) -> Column:
+    return F.struct(*(one[n].alias(f"{n}1") for n in "lab"), *(two[n].alias(f"{n}2") for n in "lab"), *(c.alias(n) for n, c in more.items()))
+
+
+def delta_e(one: Column, two: Column, k_l: float = 1.0) -> Column:
+    """The CIEDE2000 difference of two Lab structs as one expression."""
+    return F.get(delta_e_each(F.array(_pair(one, two)), (), k_l), F.lit(0))["de"]
 
 
 def reference_colors(spark) -> DataFrame:
@@ -124,8 +149,8 @@ def reference_colors(spark) -> DataFrame:
 def nearest_color(df: DataFrame, key: str, lab: str) -> DataFrame:
     """(key, color, delta_e): the named colour nearest to a Lab struct; the earlier in the table on ties. The table is of fixed size."""
     rows = [(i, n, *rgb) for i, (n, rgb) in enumerate(dims.COLORS.items())]
-    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), srgb_to_lab(F.lit(r), F.lit(g), F.lit(b)).alias("ref")) for i, n, r, g, b in rows))  # folded once
-    best = F.array_min(F.transform(table, lambda c: F.struct(delta_e(F.col(lab), c["ref"]).alias("de"), c["ord"].alias("ord"), c["name"].alias("name"))))
+    table = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), lab_of(rgb).alias("ref")) for i, n, *rgb in rows))
+    best = F.array_min(delta_e_each(F.transform(table, lambda c: _pair(F.col(lab), c["ref"], ord=c["ord"], name=c["name"])), ("ord", "name")))
     return df.select(key, best.alias("_b")).select(key, F.col("_b.name").alias("color"), F.col("_b.de").alias("delta_e"))
 
 
@@ -134,5 +159,15 @@ def nearest_center(point: Column, centers: Sequence, distance: Callable[..., Col
     return F.array_min(F.array(*(distance(point, *c) for c in centers)))
 
 
+def palette_distance(one: Column, two: Column, k_l: float = 2.0) -> Column:
+    """The weighted mean of how far each colour of a palette is from the nearest of another. Palettes: arrays of struct(l, a, b, w), a handful."""
+    pairs = F.flatten(F.transform(one, lambda p, i: F.transform(two, lambda q: _pair(p, q, i=i))))
+    found = delta_e_each(pairs, ("i",), k_l)
+    least = F.transform(F.sequence(F.lit(0), F.size(one) - 1), lambda i: F.array_min(F.transform(F.filter(found, lambda x: x["i"] == i), lambda x: x["de"])))
+    weights = F.transform(one, lambda p: p["w"])
+    total = F.aggregate(F.zip_with(least, weights, lambda d, w: d * w), F.lit(0.0), lambda s, x: s + x)
+    return total / F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+
+
 def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.printf(F.lit("#%02X%02X%02X"), *(F.bround(v.cast("double")).cast("int") for v in (r, g, b)))

@@ -90,6 +90,18 @@ def dominant(rgb: np.ndarray, k: int = 4, least: float = 0.08, near: float = 8.0
     return [(name(g), round(g["n"] / len(rgb), 3)) for g in sorted(groups, key=lambda g: -g["n"]) if g["n"] >= least * len(rgb)]
 
 
+def weighted(points: np.ndarray, k: int = 5, most: int = 20_000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, weights) of a sample of the points, heaviest first; clusters without points are left out, k is no more than the distinct points."""
+    if len(points) > most:
+        points = points[np.random.default_rng(seed).choice(len(points), most, replace=False)]
+    if not len(points):
+        return np.zeros((0, points.shape[1] if points.ndim > 1 else 3)), np.zeros(0)
+    centres, owner = clusters(points.astype(float), min(k, len(np.unique(points, axis=0))), seed=seed)
+    counts = np.bincount(owner, minlength=len(centres))
+    order = [i for i in np.argsort(-counts, kind="stable") if counts[i]]
+    return centres[order], counts[order] / counts.sum()
+
+
 def primary_and_secondary(shares: Sequence[tuple[str, float]]) -> tuple[str | None, list[str]]:
     """The first name and the next two others; 멀티 if three colours have a fifth each."""
     if sum(s >= 0.2 for _, s in shares) >= 3:

@@ -141,7 +141,7 @@ def composite(pixels: DataFrame, gen: Sequence[str], alpha: str) -> DataFrame:
 def marker_share(pixels: DataFrame, fg: Column | None = None, near: float = 20.0) -> DataFrame:
     """(image, share) of the foreground (else what is not nearly white) whose colour is near the marker's; 0 without foreground."""
     ground = F.col("r") + F.col("g") + F.col("b") < 735 if fg is None else fg
-    mark = color.srgb_to_lab(*(F.lit(v) for v in MARK))
+    mark = color.lab_of(MARK)
     hit = ground & (color.delta_e(lab(), mark) < near)
     return pixels.groupBy("image").agg(F.coalesce(F.try_divide(F.count_if(hit).cast("double"), F.count_if(ground)), F.lit(0.0)).alias("share"))
 

@@ -173,6 +173,17 @@ def chained_jobs(bases: DataFrame, photos: DataFrame, products: DataFrame, key:
     return there.select(key, file).join(plan_jobs(there.select(key, "cats"), products, key, item, per_photo), key)
 
 
+def usable(bank: DataFrame, view: str, excluded: Sequence[str], suspects: DataFrame | None = None) -> DataFrame:
+    """The bank's accepted rows of a view, not of an excluded station, without suspects (item) if these are given. bank: item, view, station, accepted."""
+    rows = bank.where(F.col("accepted") & (F.col("view") == view) & ~F.coalesce(F.col("station").isin(*excluded), F.lit(False)))
+    return rows if suspects is None else rows.join(suspects.select("item").distinct(), "item", "left_anti").select(*bank.columns)
+
+
+def first_accepted(df: DataFrame, accepted: Column, order: Sequence[str], quota: int) -> DataFrame:
+    """The first ``quota`` accepted rows in order: a top-k over the tasks, so that no more than the quota of each is sorted together."""
+    return df.where(accepted).orderBy(*order).limit(quota)
+
+
 def unique_or_fail(df: DataFrame, key: str) -> DataFrame:
     """df, which fails when it is read if a key occurs twice."""
     w = Window.partitionBy(key)

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import color, dims, hashing, records, rules, text
+from ..functions import checks, color, dims, hashing, records, rules, text
 from ..operators import metrics, outfits, palette, relational
+from ..sources import files
 from ..streaming import breaker, care
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,15 +70,17 @@ def all_reject_reasons(spark: SparkSession, at: str) -> DataFrame:
 @query
 def coco_star_filter(spark: SparkSession, at: str) -> DataFrame:
     """Orders as images, line items as annotations: both filters, then images that keep an annotation."""
-    images = t(spark, at, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
-    categories = t(spark, at, "part").where(F.col("p_type").isin("PROMO", "SMALL"))
-    kept = (
-        t(spark, at, "lineitem")
-        .join(categories, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
-        .join(images, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
-    )
-    per_image = kept.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    return images.join(per_image, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderpriority", "n")
+    types = ("ECONOMY", "SMALL", "PROMO", "MEDIUM", "LARGE", "STANDARD")
+    kinds = F.array_position(F.array(*(F.lit(x) for x in types)), F.col("p_type"))
+    parts = t(spark, at, "part").select(F.col("p_partkey").alias("l_partkey"), kinds.cast("int").alias("category_id"))
+    tables = {
+        "images": t(spark, at, "orders").select(F.col("o_orderkey").alias("id"), F.substring("o_orderpriority", 1, 1).cast("int").alias("license"), "o_orderpriority"),
+        "categories": spark.createDataFrame([(i, n) for i, n in enumerate(types, 1)], "id int, name string"),
+        "annotations": t(spark, at, "lineitem").join(parts, "l_partkey").select(F.col("l_orderkey").alias("image_id"), "category_id"),
+    }
+    kept = files.filter_coco(tables, [1, 2], [2, 3], drop_empty=True)
+    per_image = kept["annotations"].groupBy(F.col("image_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return kept["images"].join(per_image, "id").select(F.col("id").alias("o_orderkey"), "o_orderpriority", "n")
 
 
 @query
@@ -92,9 +95,10 @@ def strict_and_left_dim_lookup(spark: SparkSession, at: str) -> DataFrame:
 @query
 def usable_view(spark: SparkSession, at: str) -> DataFrame:
     """Rows accepted, of one view, not of an excluded station, without suspects."""
-    suspects = t(spark, at, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    parts = t(spark, at, "part").where((F.col("p_size") <= 30) & (F.col("p_type") != "LARGE"))
-    return parts.join(suspects, "p_partkey", "left_anti").select("p_partkey", "p_type", "p_size")
+    suspects = t(spark, at, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select(F.col("l_partkey").alias("item"))
+    bank = t(spark, at, "part").select(F.col("p_partkey").alias("item"), (F.col("p_size") <= 30).alias("accepted"), F.lit("front").alias("view"), F.col("p_type").alias("station"), "p_size")
+    found = relational.usable(bank, "front", ["LARGE"], suspects)
+    return found.select(F.col("item").alias("p_partkey"), F.col("station").alias("p_type"), "p_size")
 
 
 # --- splits, samples, order ---------------------------------------------------------------------------
@@ -151,8 +155,11 @@ def dedup_id_then_hash(spark: SparkSession, at: str) -> DataFrame:
 @query
 def latest_checkpoint(spark: SparkSession, at: str) -> DataFrame:
     """Per customer the last complete order (status F): the largest step that has its file."""
-    orders = t(spark, at, "orders").where("o_orderstatus = 'F'")
-    return orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("step"), F.max_by("o_orderpriority", "o_orderkey").alias("path"))
+    orders = t(spark, at, "orders")
+    weights = F.when(F.col("o_orderstatus") == "F", "weights.bin").otherwise("config.json")
+    listed = orders.select("o_custkey", "o_orderpriority", F.concat(F.lit("out/step-"), F.col("o_orderkey").cast("string"), F.lit("/"), weights).alias("path"))
+    found = files.latest_checkpoint(listed, by=["o_custkey"])
+    return found.join(orders.select(F.col("o_orderkey").alias("step"), "o_orderpriority"), "step").select("o_custkey", "step", F.col("o_orderpriority").alias("path"))
 
 
 @query
@@ -270,8 +277,9 @@ def laundry_bundles(spark: SparkSession, at: str) -> DataFrame:
 def idle_items(spark: SparkSession, at: str) -> DataFrame:
     """Customers without an order for 180 days before 1998-08-02, or ever."""
     last = t(spark, at, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max(F.to_date("o_orderdate")).alias("last_order"))
-    idle = F.datediff(F.lit("1998-08-02").cast("date"), F.col("last_order"))
-    return t(spark, at, "customer").join(last, "c_custkey", "left").where(F.col("last_order").isNull() | (idle >= 180)).select("c_custkey", idle.alias("idle_days"))
+    today = F.lit("1998-08-02").cast("date")
+    customers = t(spark, at, "customer").join(last, "c_custkey", "left").where(checks.unworn(F.col("last_order"), today, 180))
+    return customers.select("c_custkey", F.datediff(today, F.col("last_order")).alias("idle_days"))
 
 
 @query

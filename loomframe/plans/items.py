@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, color, dims, records, rules, text
-from ..operators import joins, pixels, reports
+from ..operators import joins, masks, pixels, relational, reports
+from ..sources import files
 from .catalogue import Query, r, t
+from .oracles import _LABS1, _LABS2, _REF, _de
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -602,3 +604,92 @@ def stacked_items(spark: SparkSession, at: str) -> DataFrame:
     cells = lines.select("*", F.explode(three).alias("dy")).select("*", F.explode(three).alias("dx")).select("scene", "item", "ord", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
     found = pixels.stacked(cells.groupBy("scene", "item", "y", "x").agg(F.max("ord").alias("ord")))
     return found.select("scene", "item", F.col("full").alias("full_px"), F.col("visible").alias("visible_px"))
+
+
+# --- more of the library, each held by its SQL --------------------------------------------------------
+
+
+@query(
+    """WITH x AS (SELECT s_suppkey, s_suppkey % 20 + 1 AS a, s_suppkey % 30 + 1 AS b, s_suppkey % 15 AS c, s_suppkey % 25 + 2 AS d FROM supplier),
+      y AS (SELECT *, greatest(0, least(a + b, c + d) - greatest(a, c)) AS both_px FROM x)
+    SELECT s_suppkey, b::BIGINT AS area, round(both_px / (b + d - both_px), 4) AS iou, round(both_px / b, 4) AS inside FROM y"""
+)
+def mask_pairs(spark: SparkSession, at: str) -> DataFrame:
+    """Two masks of 8 x 8 a supplier, as run lengths: area, IoU and containment."""
+    k = F.col("s_suppkey")
+    runs = lambda start, n: F.array(start, n, F.lit(64) - start - n).cast("array<int>")
+    rows = t(spark, at, "supplier").select(k, runs(k % 20 + 1, k % 30 + 1).alias("a"), runs(k % 15, k % 25 + 2).alias("b"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    found = masks.pairwise(masks.pairwise(rows, "a", "b", "h", "w", "iou", masks.iou), "a", "b", "h", "w", "inside", masks.containment)
+    return found.select(k, masks.area(F.col("a")).alias("area"), r(F.col("iou")).alias("iou"), r(F.col("inside")).alias("inside"))
+
+
+@query(
+    f"""WITH p AS ({_LABS1}), q AS ({_LABS2}), c AS ({_REF}), x AS (SELECT vec_id, 0 AS i, l, a, b FROM p UNION ALL SELECT vec_id, 1, l, a, b FROM q),
+      d AS ({_de("SELECT vec_id, i, x.l AS l1, x.a AS a1, x.b AS b1, c.l AS l2, c.a AS a2, c.b AS b2 FROM x, c WHERE name IN ('레드', '블루')", 'vec_id, i', 2.0)})
+    SELECT vec_id, round(sum(CASE i WHEN 0 THEN 0.75 ELSE 0.25 END * de), 3) AS distance FROM (SELECT vec_id, i, min(de) AS de FROM d GROUP BY 1, 2) GROUP BY 1"""
+)
+def palette_distances(spark: SparkSession, at: str) -> DataFrame:
+    """Palettes of two colours against red and blue."""
+    from .catalogue import _labs
+
+    weigh = lambda c, w: F.struct(*(c[n].alias(n) for n in "lab"), F.lit(w).alias("w"))
+    fixed = F.array(*(weigh(color.lab_of(dims.COLORS[n]), 1.0) for n in ("레드", "블루")))
+    return _labs(spark, at).select("vec_id", r(color.palette_distance(F.array(weigh(F.col("lab"), 0.75), weigh(F.col("lab2"), 0.25)), fixed), 3).alias("distance"))
+
+
+@query(
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, p_type, l_quantity, l_linenumber % 3 = 0 AS blank FROM lineitem JOIN part ON l_partkey = p_partkey)
+    SELECT 'category' AS field, round(avg((p_type IN ('PROMO', 'SMALL'))::INT) FILTER (NOT blank), 3) AS accuracy, count(*) FILTER (NOT blank) AS n FROM (SELECT *, p_type FROM x)
+    UNION ALL SELECT 'season', round(avg(CASE WHEN l_linenumber % 2 = 0 THEN 0.5 ELSE 1 / 3 END), 3), count(*) FROM x
+    UNION ALL SELECT 'formality', round(avg((abs(l_linenumber - 3) <= 1)::INT), 3), count(*) FROM x"""
+)
+def tag_scores(spark: SparkSession, at: str) -> DataFrame:
+    """Predicted records against sheets of people: exact fields, seasons by Jaccard, formality within one; blank fields don't count."""
+    lines = t(spark, at, "lineitem").join(t(spark, at, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    n, hit = F.col("l_linenumber"), F.col("p_type").isin("PROMO", "SMALL")
+    pred = F.struct(F.col("p_type").alias("category"), F.when(n % 2 == 0, F.array(F.lit("봄"))).otherwise(F.array(F.lit("봄"), F.lit("겨울"))).alias("season"), n.alias("formality"))
+    label = F.struct(F.when(n % 3 == 0, " ").when(hit, F.concat(F.lit(" "), F.col("p_type"))).otherwise("x").alias("category"), F.lit("봄; 여름").alias("season"), F.lit("3").alias("formality"))
+    scores = F.array(*(F.struct(F.lit(f).alias("field"), s.alias("s")) for f, s in records.field_scores(["category"])))
+    rows = lines.select(pred.alias("pred"), label.alias("label")).select(F.explode(scores).alias("x")).where("x.s is not null")
+    return rows.groupBy(F.col("x.field").alias("field")).agg(r(F.avg("x.s"), 3).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INT) END AS k,
+      CASE event_id % 3 WHEN 0 THEN 'outer' WHEN 1 THEN 'inner' END AS kind, CASE WHEN event_id % 5 < 2 THEN 'f' || event_id || '-m' || event_id ELSE 'm' || event_id END AS media, 'a/' || event_id || '.jpg' AS rel FROM events"""
+)
+def parsed_records(spark: SparkSession, at: str) -> DataFrame:
+    """Fenced JSON (some of it broken), category names in any case, the first media that may be used, relative paths."""
+    i = F.col("event_id")
+    name = i.cast("string")
+    fenced = F.when(i % 4 == 0, F.col("props")).when(i % 4 == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i % 4 == 2, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise("```json {broken```")
+    kinds = F.create_map(F.lit("Winter jacket"), F.lit("outer"), F.lit("Top"), F.lit("inner"))
+    label = F.when(i % 3 == 0, "winter JACKET ").when(i % 3 == 1, " Top").otherwise("pyjamas")
+    item = lambda kind, access, content: F.struct(F.lit(kind).alias("type"), F.struct(F.lit(access).alias("access")).alias("usage"), content.alias("content"))
+    media = F.array(item("Images", "Restricted", F.lit("no")), item("Images", "CC0", F.when(i % 5 < 2, F.concat(F.lit("f"), name))), item("Video", "CC0", F.lit("v")), item("Images", "CC0", F.concat(F.lit("m"), name)))
+    path = F.concat(F.when(i % 2 == 0, "/data/run/").otherwise(""), F.lit("a/"), name, F.lit(".jpg"))
+    return t(spark, at, "events").select(
+        i, F.get_json_object(text.fenced_json(fenced), "$.k").cast("int").alias("k"), records.category_of(label, kinds).alias("kind"),
+        F.array_join(records.first_media(media, "Images", "CC0", 2), "-").alias("media"), files.relative_path(path, "/data/run").alias("rel"),
+    )
+
+
+@query(
+    """WITH l AS (SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation) SELECT n_nationkey, n_name FROM l WHERE n_regionkey <> 2 ORDER BY n_name, n_nationkey LIMIT 20"""
+)
+def quota_in_order(spark: SparkSession, at: str) -> DataFrame:
+    """The first twenty nations by name outside one region, keys checked to be unique."""
+    nations = relational.unique_or_fail(t(spark, at, "nation"), "n_nationkey")
+    return relational.first_accepted(nations, F.col("n_regionkey") != 2, ["n_name", "n_nationkey"], 20).select("n_nationkey", "n_name")
+
+
+@query(
+    """WITH k AS (SELECT user_id, ts::DATE AS d, CASE event_type WHEN 'view' THEN 'wear' WHEN 'click' THEN 'hot' WHEN 'purchase' THEN 'sweaty' WHEN 'error' THEN 'wash' END AS kind FROM events)
+    SELECT user_id, max(d) FILTER (kind IN ('wear', 'hot', 'sweaty')) AS last_worn, max(d) FILTER (kind = 'wash') AS last_washed FROM k GROUP BY 1"""
+)
+def care_days(spark: SparkSession, at: str) -> DataFrame:
+    from ..streaming import care
+    from .catalogue import _KINDS as kinds
+
+    events = t(spark, at, "events").select("user_id", F.to_date("ts").alias("day"), rules.lookup(F.col("event_type"), kinds).alias("kind"))
+    return care.last_days(events, "user_id", "day")

@@ -294,8 +294,13 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(path.startswith(prefix), F.substring(path, len(prefix) + 1, 1 << 30)).otherwise(path)
 
 
-def latest_checkpoint(files: DataFrame, weights: str = "weights.bin") -> DataFrame:
-    """Of paths like dir/step-12/name the directory of the largest step that holds its weights file."""
+def write_index(rows: DataFrame, path: str, key: str = "file") -> None:
+    """Rows as JSON lines, sorted by key over all part files."""
+    rows.repartitionByRange(key).sortWithinPartitions(key).write.mode("overwrite").json(path)
+
+
+def latest_checkpoint(files: DataFrame, weights: str = "weights.bin", by: Sequence[str] = ()) -> DataFrame:
+    """Of paths like dir/step-12/name the directory of the largest step that holds its weights file, for each of ``by``."""
     step = F.regexp_extract("path", r"step-(\d+)/", 1)
-    complete = files.where(F.col("path").endswith(f"/{weights}") & (step != "")).select(step.cast("long").alias("step"), F.regexp_replace("path", "/[^/]+$", "").alias("dir"))
-    return complete.agg(F.max("step").alias("step"), F.max_by("dir", "step").alias("dir")).where("step is not null")
+    complete = files.where(F.col("path").endswith(f"/{weights}") & (step != "")).select(step.cast("long").alias("step"), F.regexp_replace("path", "/[^/]+$", "").alias("dir"), *by)
+    return complete.groupBy(*by).agg(F.max("step").alias("step"), F.max_by("dir", "step").alias("dir")).where("step is not null")

@@ -32,3 +32,21 @@ def circuit_breaker(tries: DataFrame, provider: str, order: list[str], ok: str,
             yield pd.DataFrame([(current, *counts)], columns=columns)
 
     return rows.mapInPandas(run, f"{provider} {kind}, n_ok long, n_failed long, n_skipped long")
+
+
+def stream(tries: DataFrame, provider: str, order: list[str], ok: str, least_failures: int = 20, least_share: float = 0.1) -> DataFrame:
+    """The same over a stream, in update mode: counts are kept by provider; within a batch tries are put in order, across batches they must arrive in order."""
+    kind = tries.schema[provider].dataType.simpleString()
+    fields = "n_ok long, n_failed long, n_skipped long"
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        counts = list(held.get) if held.exists else [0, 0, 0]
+        for good in pd.concat(list(batches)).sort_values(order)[ok]:
+            if counts[1] >= least_failures and counts[0] < least_share * (counts[0] + counts[1]):
+                counts[2] += 1
+            else:
+                counts[0 if good else 1] += 1
+        held.update(tuple(int(c) for c in counts))
+        yield pd.DataFrame([(*key, *counts)], columns=[provider, "n_ok", "n_failed", "n_skipped"])
+
+    return tries.select(provider, *order, ok).groupBy(provider).applyInPandasWithState(run, f"{provider} {kind}, {fields}", fields, "update", "NoTimeout")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.dims import CLEAN, NEEDS_WASH, WASHING, WORN
 
@@ -59,6 +60,12 @@ def fold(events: DataFrame, item: str, order: list[str], base: Column) -> DataFr
     return rows.mapInPandas(run, f"{item} {kind}, {FIELDS}")
 
 
+def last_days(events: DataFrame, item: str, day: str) -> DataFrame:
+    """(item, last_worn, last_washed): the last day of a wear and of a wash; they need no order, so no fold."""
+    worn, washed = F.col("kind").isin("wear", "hot", "sweaty"), F.col("kind") == "wash"
+    return events.groupBy(item).agg(F.max(F.when(worn, F.col(day))).alias("last_worn"), F.max(F.when(washed, F.col(day))).alias("last_washed"))
+
+
 def stream(events: DataFrame, item: str, order: list[str], base: float) -> DataFrame:
     """The same as a stream in update mode: a row of each item that a micro-batch touches. Within a batch events are put in order; across batches they must arrive in order."""
     kind = events.schema[item].dataType.simpleString()
