@@ -47,3 +47,27 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "an item of some words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    rng = random.Random(2)
+    words = [f"w{int(3000 ** rng.random())}x" for _ in range(10_000)]
+    prose = lambda n: "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(n))
+    texts = {i: prose(rng.randint(5, 15)) for i in range(60)}
+    long = prose(4_000)
+    rows = [(i, t, "en", "src0") for i, t in texts.items()] + [(1, texts[1], "en", "src0"), (None, texts[2], None, None), (None, None, None, None), (70, "", None, "x"), (71, long, "de", None)]
+    names = ["_id", "_row", "_gone", "_lines", "n_lines", "n_dropped", "_hash", "_leak", "_text", "failed", "kept", "lines_before"]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+    spark.createDataFrame([(0, " ".join(texts[5].split()[3:40])), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        assert docs.where(" or ".join(f"{n} <> {k}" for k, n in enumerate(names))).count() == 0
+    got = docs.collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [*(i for i in range(60) if i not in (2, 5)), 71]
+    assert [r["text"] for r in got if r["doc_id"] is None] == [texts[2]]  # a null id comes first
+    assert next(r["n_chars"] for r in got if r["doc_id"] == 71) == len(long)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(got)
