@@ -25,20 +25,20 @@ def srgb_to_lab(r: Column, g: Column, b: Column) -> Column:
     def curve(x: Column) -> Column:
         return F.when(x > knee, F.cbrt(x)).otherwise(x / D(3 * (6 / 29) ** 2) + D(4 / 29))
 
-    x = curve((r * D(0.4124564) + g * D(0.3575761) + b * D(0.1804375)) / D(0.95047))
-    y = curve(r * D(0.2126729) + g * D(0.7151522) + b * D(0.0721750))
-    z = curve((r * D(0.0193339) + g * D(0.1191920) + b * D(0.9503041)) / D(1.08883))
+    x, y, z = (curve((r * D(m[0]) + g * D(m[1]) + b * D(m[2])) / D(w)) for m, w in zip(dims.SRGB_TO_XYZ, dims.WHITE, strict=True))
     return F.struct((D(116.0) * y - D(16.0)).alias("l"), (D(500.0) * (x - y)).alias("a"), (D(200.0) * (y - z)).alias("b"))
 
 
-def lab_of(rgb: Sequence[int]) -> Column:
-    """srgb_to_lab of a fixed colour, worked out beforehand."""
+def lab_values(rgb: Sequence[int]) -> tuple[float, float, float]:
+    """srgb_to_lab of a fixed colour, as numbers."""
     r, g, b = (c / 12.92 if c <= 0.04045 else ((c + 0.055) / 1.055) ** 2.4 for c in (v / 255 for v in rgb))
     curve = lambda v: v ** (1 / 3) if v > (6 / 29) ** 3 else v / (3 * (6 / 29) ** 2) + 4 / 29
-    x = curve((r * 0.4124564 + g * 0.3575761 + b * 0.1804375) / 0.95047)
-    y = curve(r * 0.2126729 + g * 0.7151522 + b * 0.0721750)
-    z = curve((r * 0.0193339 + g * 0.1191920 + b * 0.9503041) / 1.08883)
-    return F.struct(D(116 * y - 16).alias("l"), D(500 * (x - y)).alias("a"), D(200 * (y - z)).alias("b"))
+    x, y, z = (curve((r * m[0] + g * m[1] + b * m[2]) / w) for m, w in zip(dims.SRGB_TO_XYZ, dims.WHITE, strict=True))
+    return 116 * y - 16, 500 * (x - y), 200 * (y - z)
+
+
+def lab_of(rgb: Sequence[int]) -> Column:
+    return F.struct(*(D(v).alias(n) for n, v in zip("lab", lab_values(rgb), strict=True)))
 
 
 def hue(lab: Column) -> Column:

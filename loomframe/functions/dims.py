@@ -1,5 +1,8 @@
 """The dimension tables of the item domain, as plain text in their natural order."""
 
+# Fixed values. sRGB to XYZ under D65, and the white point.
+SRGB_TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+WHITE = (0.95047, 1.0, 1.08883)
 # Fixed values. Reference sRGB of each named colour; the order breaks ties of nearest().
 COLORS = {
     "블랙": (22, 22, 24),

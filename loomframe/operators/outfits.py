@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import dims, rules
+from ..functions import color, dims, rules
 
 ITEM = ["id", "category", "primary_color", "pattern", "fit", "formality", "style_tags", "days_since_worn"]
 
@@ -30,13 +30,8 @@ def slot_candidates(items: DataFrame, need_outer: bool, context: str = "context"
 
 
 def _hue(rgb: tuple[int, int, int]) -> float:
-    lin = [v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in (c / 255.0 for c in rgb)]
-    x, y, z = (math.cbrt(v) if v > (6 / 29) ** 3 else v / (3 * (6 / 29) ** 2) + 4 / 29 for v in (sum(k * c for k, c in zip(row, lin, strict=True)) / w for row, w in _XYZ))
-    return math.degrees(math.atan2(200 * (y - z), 500 * (x - y))) % 360
-
-
-#: sRGB to XYZ, and the D65 white.
-_XYZ = (((0.4124564, 0.3575761, 0.1804375), 0.95047), ((0.2126729, 0.7151522, 0.0721750), 1.0), ((0.0193339, 0.1191920, 0.9503041), 1.08883))
+    _, a, b = color.lab_values(rgb)
+    return math.degrees(math.atan2(b, a)) % 360
 
 
 def hue_map() -> Column:

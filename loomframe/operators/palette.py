@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame
 
 from ..functions import dims
 
-# sRGB to XYZ under D65.
-_TO_XYZ = np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]])
-_WHITE = np.array([0.95047, 1.0, 1.08883])
+_TO_XYZ, _WHITE = np.array(dims.SRGB_TO_XYZ), np.array(dims.WHITE)
 
 
 def to_lab(rgb: np.ndarray) -> np.ndarray:
@@ -32,9 +30,8 @@ def delta_e(p: np.ndarray, q: np.ndarray, k_l: float = 1.0) -> np.ndarray:
     c1, c2 = np.hypot(g * a1, b1), np.hypot(g * a2, b2)
     h1, h2 = np.degrees(np.arctan2(b1, g * a1)) % 360, np.degrees(np.arctan2(b2, g * a2)) % 360
     grey = c1 * c2 == 0
-    turn = (h2 - h1 + 180) % 360 - 180
-    turn = np.where(grey, 0.0, np.where(turn == -180, np.where(h2 > h1, 180.0, -180.0), turn))
-    far = np.abs(h1 - h2) > 180
+    gap, far = h2 - h1, np.abs(h1 - h2) > 180
+    turn = np.where(grey, 0.0, np.where(~far, gap, np.where(gap > 0, gap - 360, gap + 360)))
     mean = np.where(grey, h1 + h2, (h1 + h2) / 2 + np.where(far, np.where(h1 + h2 < 360, 180.0, -180.0), 0.0))
     cos = lambda d: np.cos(np.radians(d))
     t = 1 - 0.17 * cos(mean - 30) + 0.24 * cos(2 * mean) + 0.32 * cos(3 * mean + 6) - 0.20 * cos(4 * mean - 63)
