@@ -95,9 +95,3 @@ def test_a_key_ties_only_what_may_be_near():
     assert sorted(zip(a.tolist(), b.tolist())) == [(10, 11), (10, 12), (10, 13), (14, 15), (14, 16)]
     a, b = ngram_join.key_trees(np.array([1, 1, 2, 3]), np.arange(4), np.repeat(base[:1], 4, 0), 0.8, 1e-6)
     assert (a.tolist(), b.tolist()) == ([0], [1])
-
-
-def test_trees_have_no_hub():
-    parents = ngram_join._parents([0] * 1000)
-    assert max(np.bincount(parents)) < 70
-    assert all(parents[parents[parents[i]]] == 0 for i in range(1000))
