@@ -71,4 +71,80 @@ SELECT doc_id, least(doc_id, (SELECT min(y) FROM reach r WHERE r.x = doc_id)) AS
 FROM documents
 """
 
-ORACLES = {"op7_ngram_jaccard_join": OP7, "op5_substring_dedup": OP5, "op8_line_dedup": OP8, "op10_url_filter": OP10}
+OP11 = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), best AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS best FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < best THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id < best THEN best END AS refers_to, true AS intact
+FROM best
+"""
+
+
+def _merkle(levels: int = 5, top_levels: int = 2) -> str:
+    """Trees of up to 16^levels rows a source and 16^top_levels sources; a finished tree is handed up as it is."""
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    rest = " || ".join(map(field, ("doc_id", "source", "lang", "n_chars")))
+    ctes = [
+        f"""docs AS (
+  SELECT doc_id, coalesce('s' || source, '-') AS tree, sha256({rest} || {field("text")}) AS leaf, sha256({rest} || {field("changed")}) AS claimed
+  FROM (SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END AS changed FROM (SELECT *, {_CRC} AS crc FROM documents))
+)""",
+        "n0 AS (SELECT tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS d, doc_id FROM docs)",
+        "p0 AS (SELECT doc_id, tree, pos, leaf AS own, claimed AS cur, '' AS proof FROM docs JOIN n0 USING (doc_id, tree))",
+    ]
+
+    def climb(nodes: str, paths: str, count: int, name: str) -> tuple[str, str]:
+        for k in range(count):
+            ctes.append(f"""{name}{k}_sides AS (
+  SELECT a.tree, a.pos, a.n, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS r
+  FROM {nodes} a JOIN {nodes} b ON a.tree = b.tree AND a.pos // 16 = b.pos // 16 GROUP BY ALL
+)""")
+            ctes.append(f"""{name}{k}_p AS (
+  SELECT doc_id, tree, pos // 16 AS pos, own, CASE WHEN n > 1 THEN sha256(l || cur || r) ELSE cur END AS cur, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof
+  FROM {paths} JOIN {name}{k}_sides USING (tree, pos)
+)""")
+            ctes.append(f"""{name}{k}_n AS (
+  SELECT tree, pos // 16 AS pos, (any_value(n) + 15) // 16 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE any_value(d) END AS d FROM {nodes} GROUP BY tree, pos // 16
+)""")
+            nodes, paths = f"{name}{k}_n", f"{name}{k}_p"
+        return nodes, paths
+
+    subroots, paths = climb("n0", "p0", levels, "t")
+    ctes.append(f"m0 AS (SELECT '' AS tree, tree AS of, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, d FROM {subroots})")
+    ctes.append(f"q0 AS (SELECT doc_id, '' AS tree, m0.pos, own, cur, proof FROM {paths} p JOIN m0 ON p.tree = m0.of)")
+    root, ends = climb("m0", "q0", top_levels, "r")
+    return f"""
+WITH {", ".join(ctes)}
+SELECT doc_id, own AS leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.d AS verified
+FROM {ends} e JOIN docs USING (doc_id) JOIN m0 s ON s.of = docs.tree JOIN {root} t ON e.tree = t.tree
+"""
+
+
+#: Unsigned CRC-32 of the decimal id, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+OP12 = _merkle()
+
+OP13 = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || doc_id) AS s FROM documents
+), h AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM t
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 :], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op7_ngram_jaccard_join": OP7, "op5_substring_dedup": OP5, "op8_line_dedup": OP8, "op10_url_filter": OP10, "op11_warc": OP11, "op12_merkle_manifest": OP12, "op13_fill_in_middle": OP13}
