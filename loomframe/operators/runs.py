@@ -132,7 +132,7 @@ def grown(runs: DataFrame, shape: Sequence[tuple[int, int]], size: DataFrame | N
 def worn(runs: DataFrame, shape: Sequence[tuple[int, int]], size: DataFrame, keys: Sequence[str] = KEYS, frame_counts: bool = True) -> DataFrame:
     """The pixels around which the whole shape lies in the mask; what is beyond the frame belongs to it if frame_counts, else nothing does."""
     margin = 0 if frame_counts else max(max(abs(d), r) for d, r in shape)
-    return less(runs, grown(gaps(runs, size, keys, margin), shape, size, keys), size, keys)
+    return gaps(grown(gaps(runs, size, keys, margin), shape, size, keys), size, keys)
 
 
 def opened(runs: DataFrame, shape: Sequence[tuple[int, int]], size: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
