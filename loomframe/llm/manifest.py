@@ -95,8 +95,8 @@ class Trees:
             sides = F.struct(F.substring("_all", F.lit(1), F.col("_i") * 64).alias("left"), F.substring("_all", F.col("_i") * 64 + 65, F.lit(64 * FANOUT)).alias("right"))
             longer = F.concat(F.array(sides), "path").alias("path")
             given = row.select("tree", "_kid.*", *(longer if c == "path" else c for c in carried))
-            if height > 1:
-                given = given.select("tree", "pos", *carried)
+            if height > 1:  # written down, so that no plan holds all levels
+                given = stored(given.select("tree", "pos", *carried), f"merkle-proofs-{height}")
         lone = self.leaves.where("n = 1").drop("n").join(begin(0).drop("pos"), "tree")
         return lone if given is None else given.unionByName(lone)
 
@@ -135,7 +135,7 @@ def proofs(docs: DataFrame, claimed: Column | None = None, id_col: str = "doc_id
     top = grow(roots.select(F.lit(_ROOTS).alias("tree"), "digest", F.col("tree").alias("of"), F.col("height").alias("own_height")), ["of"])
     begun = top.roots().select("tree", "height", F.col("digest").alias("root"), F.array().cast("array<struct<left:string,right:string>>").alias("path"))
     tops = top.push(begun).select(F.col("of").alias("tree"), F.col("own_height").alias("height"), F.col("digest").alias("subroot"), "root", "path")
-    found = trees.push(tops)
+    found = trees.push(stored(tops, "merkle-tops"))
     return found.select(F.col("id").alias(id_col), F.col("digest").alias("leaf"), "subroot", "root", "path", *(["claimed"] if claimed is not None else []))
 
 
