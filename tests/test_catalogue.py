@@ -6,9 +6,9 @@ import os
 import duckdb
 import pytest
 
-from loomframe.plans import catalogue, items, oracles
+from loomframe.plans import catalogue, images, items, oracles
 
-QUERIES, ORACLES = {**catalogue.QUERIES, **items.QUERIES}, {**oracles.ORACLES, **items.ORACLES}
+QUERIES, ORACLES = {**catalogue.QUERIES, **items.QUERIES, **images.QUERIES}, {**oracles.ORACLES, **items.ORACLES, **images.ORACLES}
 
 AT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
