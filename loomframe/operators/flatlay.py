@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.hashing import drawn
 from .pixels import RGB, boxes
 from .relational import cut, running_sums
 from .resample import blurred, box_blurred, gathered
@@ -25,12 +26,6 @@ COUNTS = ((1, 0.25), (2, 0.35), (3, 0.25), (4, 0.15))
 LEAST_VISIBLE = 0.4
 
 
-def drawn(seed: int, *what: Column | str) -> Column:
-    """A number from 0 to 1 (exclusive), by the SHA-1 of the seed and what it is for."""
-    text = F.concat_ws("|", F.lit(str(seed)), *((F.lit(w) if isinstance(w, str) else w).cast("string") for w in what))
-    return (F.conv(F.substring(F.sha1(text.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-
-
 def between(limits: tuple[float, float], draw: Column) -> Column:
     return limits[0] + (limits[1] - limits[0]) * draw
 

@@ -1,14 +1,20 @@
-"""Palettes of pixels: clusters in Lab, merged by CIEDE2000, and distances between palettes. Numpy inside Arrow groups."""
+"""Palettes of pixels: clusters in Lab as rounds of aggregations, merged by CIEDE2000, and distances between palettes."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions import dims
+from ..functions import color, dims
+from ..functions.hashing import drawn
+from .relational import cut
+
+MOST_PIXELS = 20_000
 
 _TO_XYZ, _WHITE = np.array(dims.SRGB_TO_XYZ), np.array(dims.WHITE)
 
@@ -43,60 +49,20 @@ def delta_e(p: np.ndarray, q: np.ndarray, k_l: float = 1.0) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, dl**2 + dc**2 + dh**2 + rot * dc * dh))
 
 
-def clusters(points: np.ndarray, k: int, rounds: int = 20, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Centres and labels: seeds drawn far apart, then Lloyd's rounds."""
-    rng = np.random.default_rng(seed)
-    k = max(1, min(k, len(np.unique(points, axis=0))))
-    chosen = [int(rng.integers(len(points)))]
-    gap = ((points - points[chosen[0]]) ** 2).sum(axis=1)
-    while len(chosen) < k:
-        chosen.append(int(rng.choice(len(points), p=gap / gap.sum())))
-        gap = np.minimum(gap, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
-    centres, labels = points[chosen].astype(float), np.zeros(len(points), int)
-    for _ in range(rounds):
-        labels = ((points[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
-        sums = np.stack([np.bincount(labels, points[:, d], k) for d in range(points.shape[1])], axis=1)
-        sizes = np.bincount(labels, minlength=k)[:, None]
-        moved = np.where(sizes > 0, sums / np.maximum(sizes, 1), centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres, labels
-
-
-def dominant(rgb: np.ndarray, k: int = 4, least: float = 0.08, near: float = 8.0) -> list[tuple[str, float]]:
-    """(colour name, share) of the main colours, by share; clusters nearer than ``near`` count as one, shares below ``least`` are left out."""
-    rgb = np.asarray(rgb, float).reshape(-1, 3)
-    if not len(rgb):
-        return []
-    lab = to_lab(rgb)
-    centres, labels = clusters(lab, k)
+def dominant(found: Sequence[tuple[np.ndarray, int, np.ndarray]], least: float = 0.08, near: float = 8.0) -> list[tuple[str, float]]:
+    """(colour name, share) of clusters (centre in Lab, size, sum of its RGB), by share; those nearer than ``near`` count as one, shares below ``least`` are left out."""
     groups: list[dict] = []
-    for i, centre in enumerate(centres):
-        own = labels == i
-        if not own.any():
-            continue
+    for centre, size, rgb in found:
         home = next((g for g in groups if delta_e(g["lab"], centre) < near), None)
         if home is None:
-            groups.append({"lab": centre, "n": int(own.sum()), "rgb": rgb[own].sum(axis=0)})
+            groups.append({"lab": np.asarray(centre, float), "n": size, "rgb": np.asarray(rgb, float)})
         else:
-            n = home["n"] + int(own.sum())
-            home.update(lab=(home["lab"] * home["n"] + centre * own.sum()) / n, n=n, rgb=home["rgb"] + rgb[own].sum(axis=0))
+            n = home["n"] + size
+            home.update(lab=(home["lab"] * home["n"] + np.asarray(centre, float) * size) / n, n=n, rgb=home["rgb"] + rgb)
+    total = sum(g["n"] for g in groups)
     names, reference = list(dims.COLORS), to_lab(np.array(list(dims.COLORS.values())))
     name = lambda g: names[int(delta_e(to_lab(g["rgb"] / g["n"]), reference).argmin())]
-    return [(name(g), round(g["n"] / len(rgb), 3)) for g in sorted(groups, key=lambda g: -g["n"]) if g["n"] >= least * len(rgb)]
-
-
-def weighted(points: np.ndarray, k: int = 5, most: int = 20_000, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, weights) of a sample of the points, heaviest first; clusters without points are left out, k is no more than the distinct points."""
-    if len(points) > most:
-        points = points[np.random.default_rng(seed).choice(len(points), most, replace=False)]
-    if not len(points):
-        return np.zeros((0, points.shape[1] if points.ndim > 1 else 3)), np.zeros(0)
-    centres, owner = clusters(points.astype(float), min(k, len(np.unique(points, axis=0))), seed=seed)
-    counts = np.bincount(owner, minlength=len(centres))
-    order = [i for i in np.argsort(-counts, kind="stable") if counts[i]]
-    return centres[order], counts[order] / counts.sum()
+    return [(name(g), round(g["n"] / total, 3)) for g in sorted(groups, key=lambda g: -g["n"]) if g["n"] >= least * total]
 
 
 def primary_and_secondary(shares: Sequence[tuple[str, float]]) -> tuple[str | None, list[str]]:
@@ -128,16 +94,87 @@ def foreground(lab: np.ndarray, threshold: float = 8.0) -> np.ndarray:
     return fill_holes(erode(dilate(mask, 4), 4))
 
 
-def palettes(pixels: DataFrame, key: str, k: int = 4, max_pixels: int = 20_000) -> DataFrame:
-    """(key, primary, secondary, shares) of groups of pixels (key, r, g, b). A group is sampled to max_pixels in the task, with seed 0."""
+# --- palettes of groups of any size --------------------------------------------------------------------
+
+
+def sampled(pixels: DataFrame, key: str, at: Sequence[str], most: int = MOST_PIXELS, seed: int = 0) -> DataFrame:
+    """pixels of which each group keeps ``most`` at most, all alike: the first by a hash of what tells a group's pixels apart (at).
+
+    A group is counted, then only what lies under a limit by its count is sent on: ``most`` and eight deviations, so no task gets a large group. A group
+    that is no larger stays as it is.
+    """
+    counts = pixels.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    rows = pixels.join(counts, key).withColumn("_u", drawn(seed, *(F.col(c) for c in at)))
+    rows = rows.where(F.col("_u") * F.col("_n") < most + 8 * most**0.5)
+    w = Window.partitionBy(key).orderBy("_u", *at)
+    return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select(*pixels.columns)
+
+
+def color_counts(pixels: DataFrame, key: str) -> DataFrame:
+    """(key, r, g, b, n, lab): the distinct colours of each group, counted in part before they are sent. A null key is no group."""
+    counts = pixels.where(F.col(key).isNotNull()).groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("lab", color.srgb_to_lab(F.col("r"), F.col("g"), F.col("b")))
+
+
+def _gap(p: Column, q: Column) -> Column:
+    return sum((F.pow(p[c] - q[c], F.lit(2.0)) for c in "lab"), F.lit(0.0))
+
+
+def centres(counts: DataFrame, key: str, k: int, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """(key, centres): k-means of color_counts(), centres as an array of struct(l, a, b); as many as the group has colours, k at most.
+
+    Seeds are drawn by a race of hashes: of exponential times with a colour's count times its squared distance to the seeds
+    so far as rate, the least wins. Then each round is one aggregation by group and centre; a centre without colours stays. Colours meet their group's few
+    centres, and are never gathered. Rounds end early if no centre moves.
+    """
+    counts = cut(counts)
+    race = lambda i, rate: -F.log(drawn(seed, str(i), F.col(key), F.col("r"), F.col("g"), F.col("b"))) / rate
+    found = counts.groupBy(key).agg(F.array(F.min_by("lab", race(0, F.col("n")))).alias("centres"))
+    for i in range(1, k):
+        near = F.array_min(F.transform("centres", lambda c: _gap(c, F.col("lab"))))
+        further = counts.join(found, key).withColumn("_d", near).where("_d > 0")
+        drawn_next = further.groupBy(key).agg(F.min_by("lab", race(i, F.col("n") * F.col("_d"))).alias("_next"))
+        found = cut(found.join(drawn_next, key, "left").select(key, F.when(F.col("_next").isNull(), F.col("centres")).otherwise(F.array_append("centres", F.col("_next"))).alias("centres")))
+    for _ in range(rounds):
+        sums = owned(counts, found, key).groupBy(key, "owner").agg(*(F.sum(F.col("n") * F.col(f"lab.{c}")).alias(c) for c in "lab"), F.sum("n").alias("n"))
+        means = F.struct("owner", F.struct(*((F.col(c) / F.col("n")).alias(c) for c in "lab")).alias("mean"))
+        new = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(means)).alias("_means"))
+        moved = F.transform("centres", lambda c, i: F.coalesce(F.col("_means")[i], c))
+        step = F.array_max(F.zip_with("centres", moved, _gap))
+        told = cut(found.join(new, key).select(key, moved.alias("centres"), (step > 1e-12).alias("_moved")))
+        found = told.select(key, "centres")
+        if not told.where("_moved").limit(1).count():
+            break
+    return found
+
+
+def owned(counts: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """counts with owner, the number of the nearest centre; of equally near ones the first."""
+    gaps = F.transform("centres", lambda c: _gap(c, F.col("lab")))
+    return counts.join(found, key).withColumn("_g", gaps).withColumn("owner", (F.array_position("_g", F.array_min("_g")) - 1).cast("int")).drop("_g")
+
+
+def color_clusters(pixels: DataFrame, key: str, k: int, rounds: int = 20, seed: int = 0) -> DataFrame:
+    """(key, owner, lab, n, share, r, g, b): the clusters that have pixels, with their share of the group and the sums of their colours."""
+    counts = cut(color_counts(pixels, key))
+    found = owned(counts, centres(counts, key, k, rounds, seed), key)
+    out = found.groupBy(key, "owner").agg(F.first(F.get("centres", F.col("owner"))).alias("lab"), *(F.sum(F.col("n") * F.col(c)).alias(c) for c in "rgb"), F.sum("n").alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(key)))
+
+
+def palettes(pixels: DataFrame, key: str, k: int = 4, rounds: int = 20, at: Sequence[str] | None = None, max_pixels: int = MOST_PIXELS) -> DataFrame:
+    """(key, primary, secondary, shares) of groups of pixels (key, r, g, b): the main colours by name, clusters near to each other as one.
+
+    With ``at`` (columns that tell a group's pixels apart) max_pixels of a group are looked at, without it all of them. Only the clusters of a group meet, k at most.
+    """
+    rows = pixels if at is None else sampled(pixels, key, at, max_pixels)
+    found = color_clusters(rows, key, k, rounds).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("owner", "lab", "n", "r", "g", "b"))).alias("_c"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rgb = pdf.sort_values(["r", "g", "b"])[["r", "g", "b"]].to_numpy(float)
-        if len(rgb) > max_pixels:
-            rgb = rgb[np.random.default_rng(0).choice(len(rgb), max_pixels, replace=False)]
-        shares = dominant(rgb, k)
-        primary, secondary = primary_and_secondary(shares)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "primary": [primary], "secondary": [secondary], "shares": [[s for _, s in shares]]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            shares = [dominant([(np.array([c["lab"][x] for x in "lab"]), c["n"], np.array([c[x] for x in "rgb"], float)) for c in row]) for row in pdf["_c"]]
+            named = [primary_and_secondary(s) for s in shares]
+            yield pd.DataFrame({key: pdf[key], "primary": [p for p, _ in named], "secondary": [s for _, s in named], "shares": [[v for _, v in s] for s in shares]})
 
     kind = pixels.schema[key].dataType.simpleString()
-    return pixels.select(key, "r", "g", "b").groupBy(key).applyInPandas(run, f"{key} {kind}, primary string, secondary array<string>, shares array<double>")
+    return found.mapInPandas(run, f"{key} {kind}, primary string, secondary array<string>, shares array<double>")

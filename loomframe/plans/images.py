@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flatlay, pixels, resample, runs, segments
+from ..operators import flatlay, palette, pixels, resample, runs, segments
 from .catalogue import Query, r, t
 from .items import _PIXELS, _pixels
+from .oracles import _lab_cte
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -210,3 +211,35 @@ def flatlay_items(spark: SparkSession, at: str) -> DataFrame:
     where = flatlay.positions(scene.select("scene", "ord", ((F.col("scene") * 3 + F.col("ord") * 7) % F.col("_n")).alias("item")), 3, 24)
     found = flatlay.shown(flatlay.placed(px, where, 24))
     return found.select("scene", "ord", F.col("item").alias("image"), F.col("full").alias("full_px"), F.col("visible").alias("visible_px"), "target")
+
+
+def _race(i: int, rate: str) -> str:
+    return f"-ln((('0x' || sha1(concat_ws('|', '0', '{i}', image, r, g, b))[1:8])::BIGINT + 0.5) / 4294967296.0) / ({rate})"
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    ctes = [
+        "cn AS (SELECT image, r AS rr, g AS gg, b AS gb, count(*) AS n FROM px GROUP BY ALL)",
+        f"lb AS (SELECT image, rr AS r, gg AS g, gb AS b, n, l AS ll, a AS la, bb AS lb FROM ({_lab_cte('cn', 'image, rr, gg, gb, n', 'rr', 'gg', 'gb').replace(' AS b FROM', ' AS bb FROM', 1)}))",
+        f"c0 AS (SELECT image, 0 AS i, arg_min(ll, {_race(0, 'n')}) AS l, arg_min(la, {_race(0, 'n')}) AS a, arg_min(lb, {_race(0, 'n')}) AS b FROM lb GROUP BY 1)",
+    ]
+    dist = "(pow(lb.ll - c.l, 2) + pow(lb.la - c.a, 2) + pow(lb.lb - c.b, 2))"
+    for i in range(1, k):
+        race = _race(i, "n * d")
+        ctes.append(f"d{i} AS (SELECT lb.image, lb.r, lb.g, lb.b, n, ll, la, lb.lb, min({dist}) AS d FROM lb JOIN c{i - 1} c USING (image) GROUP BY ALL)")
+        ctes.append(f"c{i} AS (FROM c{i - 1} UNION ALL SELECT image, {i}, arg_min(ll, {race}), arg_min(la, {race}), arg_min(lb, {race}) FROM d{i} WHERE d > 0 GROUP BY 1)")
+    last = f"c{k - 1}"
+    own = "SELECT lb.image, lb.r, lb.g, lb.b, n, ll, la, lb.lb, min_by(c.i, [" + dist + ", c.i]) AS i FROM lb JOIN {} c USING (image) GROUP BY ALL"
+    for j in range(rounds):
+        ctes.append(f"o{j} AS ({own.format(last)})")
+        ctes.append(f"m{j} AS (SELECT image, i, sum(n * ll) / sum(n) AS l, sum(n * la) / sum(n) AS a, sum(n * lb) / sum(n) AS b FROM o{j} GROUP BY 1, 2)")
+        ctes.append(f"r{j} AS (SELECT c.image, c.i, coalesce(m.l, c.l) AS l, coalesce(m.a, c.a) AS a, coalesce(m.b, c.b) AS b FROM {last} c LEFT JOIN m{j} m USING (image, i))")
+        last = f"r{j}"
+    return f"WITH {_PIXELS}, {', '.join(ctes)}, f AS ({own.format(last)}) SELECT image, i AS owner, any_value(round(c.l, 4)) AS l, any_value(round(c.a, 4)) AS a, any_value(round(c.b, 4)) AS b, sum(n)::BIGINT AS n FROM f JOIN {last} c USING (image, i) GROUP BY 1, 2"
+
+
+@query(_clusters_sql(3, 2))
+def color_clusters(spark: SparkSession, at: str) -> DataFrame:
+    """The colours of each image in three clusters, after two rounds."""
+    found = palette.color_clusters(_pixels(spark, at), "image", 3, 2)
+    return found.select("image", "owner", *(r(F.col(f"lab.{c}")).alias(c) for c in "lab"), "n")
