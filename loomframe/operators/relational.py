@@ -191,30 +191,45 @@ def unique_or_fail(df: DataFrame, key: str) -> DataFrame:
 
 
 def capped_selection(candidates: DataFrame, name: str, group: str, position: str, groups: Sequence[str], per: int) -> DataFrame:
-    """(name, group): names in hash order take their first candidate of a group that is not full; per names a group.
+    """(name, group): names in hash order take their first candidate (ties by group) of a group that is not full; per names a group.
 
-    A round looks only at the first ``per`` names of each open group, up to the one that fills a group first; so
-    there are as many rounds as groups at most, and never more than per x groups rows on the driver.
+    A round ranks, for each open group, the names that would take it, ``per`` at most, and ends where the first group is
+    full; what lies before that is taken. So there are as many rounds as groups at most. What is taken stays in tables of the shared folder; the
+    driver sees a key and a count for each group.
     """
-    spark = candidates.sparkSession
-    rows = candidates.select(F.col(name), F.col(group), F.col(position), F.concat(F.sha1(F.col(name).cast("string").cast("binary")), F.lit("|"), F.col(name).cast("string")).alias("_key"))
-    need, taken, after = dict.fromkeys(groups, per), [], ""
+    key = F.concat(F.sha1(F.col(name).cast("string").cast("binary")), F.lit("|"), F.col(name).cast("string"))
+    rows = cut(candidates.where(F.col(group).isin(*groups)).select(name, group, position, key.alias("_key")))
+    need, taken, after = dict.fromkeys(groups, per), rows.select(name, group).limit(0), ""
     while need:
-        first = rows.where(F.col(group).isin(*need) & (F.col("_key") > after)).groupBy(name, "_key").agg(F.min_by(group, position).alias(group))
+        first = rows.where(F.col(group).isin(*need) & (F.col("_key") > after)).groupBy(name, "_key").agg(F.min(F.struct(position, group))[group].alias(group))
         w = Window.partitionBy(group).orderBy("_key")
-        ranked = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per).collect()
-        full = {g: r["_key"] for g, n in need.items() for r in ranked if r[group] == g and r["_n"] == n}
-        upto = min(full.values()) if full else None
-        for r in ranked:
-            if upto is None or r["_key"] <= upto:
-                taken.append((r[name], r[group]))
-                need[r[group]] -= 1
+        ranked = cut(first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per))
+        last = F.lit(False)
+        for g, n in need.items():
+            last = last | ((F.col(group) == g) & (F.col("_n") == n))
+        upto = ranked.where(last).agg(F.min("_key")).first()[0]
+        part = ranked if upto is None else ranked.where(F.col("_key") <= upto)
+        taken = taken.unionByName(part.select(name, group))
         if upto is None:
             break
+        got = {r[group]: r["n"] for r in part.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()}
+        need = {g: n - got.get(g, 0) for g, n in need.items() if n > got.get(g, 0)}
         after = upto
-        need = {g: n for g, n in need.items() if n > 0}
-    kind = candidates.schema[name].dataType.simpleString()
-    return spark.createDataFrame(taken, f"{name} {kind}, {group} string")
+    return taken
+
+
+def visible_cases(notes: DataFrame, groups: dict[str, str], inner: str, outer: str, min_area: float, min_solidity: float) -> DataFrame:
+    """The annotations that show a garment well, with their group: large and solid enough, no crowd, and an inner one only on a file without an outer one.
+
+    notes: file, category, area and pixels (of the file's picture), solidity, iscrowd; groups: category -> group, a short fixed table. A category without a group
+    goes. Whether a file has an outer garment is seen from all of its annotations, small ones and crowds too. Nulls fail what they are asked for.
+    """
+    kinds = F.create_map(*(F.lit(x) for pair in groups.items() for x in pair))
+    named = notes.withColumn("group", kinds[F.col("category")])
+    covered = named.where(F.col("group") == outer).select("file").distinct().withColumn("_outer", F.lit(True))
+    large = (F.col("area") >= min_area * F.col("pixels")) & (F.col("solidity") >= min_solidity) & ~F.coalesce(F.col("iscrowd"), F.lit(False))
+    seen = named.where(F.col("group").isNotNull() & large).join(covered, "file", "left")
+    return seen.where((F.col("group") != inner) | F.col("_outer").isNull()).drop("_outer")
 
 
 def weighted_sample(df: DataFrame, source: str, name: Column, weights: dict[str, float], n: int) -> DataFrame:

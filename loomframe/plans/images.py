@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flatlay, palette, pixels, resample, runs, segments
+from ..operators import flatlay, palette, pixels, relational, resample, runs, segments
 from .catalogue import Query, r, t
 from .items import _PIXELS, _pixels
 from .oracles import _lab_cte
@@ -243,3 +243,27 @@ def color_clusters(spark: SparkSession, at: str) -> DataFrame:
     """The colours of each image in three clusters, after two rounds."""
     found = palette.color_clusters(_pixels(spark, at), "image", 3, 2)
     return found.select("image", "owner", *(r(F.col(f"lab.{c}")).alias(c) for c in "lab"), "n")
+
+
+_KINDS = {"ECONOMY": "top", "PROMO": "top", "MEDIUM": "outer", "LARGE": "bottom", "SMALL": "dress"}
+_VISIBLE = """a AS (SELECT l_orderkey AS file, l_linenumber AS pos, CASE l_partkey % 6 WHEN 0 THEN 'top' WHEN 1 THEN 'top' WHEN 2 THEN 'outer' WHEN 3 THEN 'bottom' WHEN 4 THEN 'dress' END AS g, l_quantity AS area, l_discount AS sol, l_tax = 0.08 AS crowd FROM lineitem),
+      v AS (SELECT * FROM a WHERE g IS NOT NULL AND area >= 0.3 * 50 AND sol >= 0.03 AND NOT crowd AND (g <> 'top' OR file NOT IN (SELECT file FROM a WHERE g = 'outer'))),
+      k AS (SELECT file, list(g ORDER BY pos, g) AS gs, row_number() OVER (ORDER BY sha1(file::VARCHAR), file::VARCHAR) AS i FROM v GROUP BY 1)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_VISIBLE}, w(i, n, file, g) AS (SELECT 0::BIGINT, MAP {{'top': 0, 'outer': 0, 'bottom': 0, 'dress': 0}}, NULL::BIGINT, NULL::VARCHAR UNION ALL
+        SELECT i, CASE WHEN g IS NULL THEN n ELSE map_concat(n, MAP {{g: n[g] + 1}}) END, file, g FROM (
+          SELECT k.i, w.n, k.file, list_filter(k.gs, lambda x: w.n[x] < 20)[1] AS g FROM w JOIN k ON k.i = w.i + 1 WHERE list_sum(map_values(w.n)) < 80))
+    SELECT file, g AS "group" FROM w WHERE g IS NOT NULL"""
+)
+def visible_selection(spark: SparkSession, at: str) -> DataFrame:
+    """Lines as annotated garments: those that show well, one a file in hash order, twenty of each group."""
+    part = F.col("l_partkey") % 6
+    names = F.element_at(F.array(*map(F.lit, _KINDS)), (part + 1).cast("int"))
+    notes = t(spark, at, "lineitem").select(
+        F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("pos"), F.when(part < 5, names).alias("category"), F.col("l_quantity").alias("area"), F.lit(50).alias("pixels"),
+        F.col("l_discount").cast("double").alias("solidity"), (F.col("l_tax") == 0.08).alias("iscrowd"),
+    )
+    seen = relational.visible_cases(notes, _KINDS, "top", "outer", 0.3, 0.03)
+    return relational.capped_selection(seen, "file", "group", "pos", ["top", "outer", "bottom", "dress"], 20)

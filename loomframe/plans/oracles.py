@@ -279,6 +279,14 @@ ORACLES: dict[str, str] = {
       y AS (SELECT *, margin > 0 AND fg >= 0.02 AND outer_frac <= 0.2 AS r FROM x)
       SELECT l_returnflag, count_if(r)::BIGINT AS right_item, count_if(r AND coalesce(pal, 99) <= 12 AND coalesce(extra, 99) <= 15 AND (chroma <= 8 OR ratio BETWEEN 0.5 AND 2.0) AND marker <= 0.01)::BIGINT AS faithful,
         count_if(fg > 0.5 AND coalesce(pal, 0) > 0)::BIGINT AS passing FROM y GROUP BY 1""",
+    "capped_selection": """
+      WITH RECURSIVE k AS (SELECT l_orderkey, list(l_returnflag || l_linestatus ORDER BY l_linenumber, l_returnflag || l_linestatus) AS gs, row_number() OVER (ORDER BY sha1(l_orderkey::VARCHAR), l_orderkey::VARCHAR) AS i
+          FROM lineitem WHERE l_returnflag || l_linestatus IN ('AF', 'RF', 'NO', 'NF') GROUP BY 1),
+        w(i, n, l_orderkey, grp) AS (SELECT 0::BIGINT, MAP {'AF': 0, 'RF': 0, 'NO': 0, 'NF': 0}, NULL::BIGINT, NULL::VARCHAR UNION ALL
+          SELECT i, CASE WHEN g IS NULL THEN n ELSE map_concat(n, MAP {g: n[g] + 1}) END, l_orderkey, g FROM (
+            SELECT k.i, w.n, k.l_orderkey, list_filter(k.gs, lambda x: w.n[x] < 25)[1] AS g FROM w JOIN k ON k.i = w.i + 1 WHERE list_sum(map_values(w.n)) < 100))
+      SELECT l_orderkey, grp FROM w WHERE grp IS NOT NULL
+    """,
     "fallback_label_join": """
       WITH p AS (SELECT o_orderkey, o_orderpriority || '/' || (o_orderkey % 500) AS src, (o_orderkey % 500)::VARCHAR AS name FROM orders),
       l AS (SELECT o_orderpriority || '/' || (o_orderkey % 500) AS key, (o_orderkey % 500)::VARCHAR AS name, min(o_orderkey) AS pos FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2),

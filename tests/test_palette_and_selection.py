@@ -82,3 +82,10 @@ def test_capped_selection_equals_the_greedy_walk(spark, seed):
             want.add((f, g))
     got = relational.capped_selection(spark.createDataFrame(rows, "f string, g string, j int"), "f", "g", "j", ["a", "b", "c"], 6)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_visible_cases(spark):
+    rows = [("f1", "shirt", 50, 0.9, False), ("f1", "coat", 1, 0.1, True), ("f2", "shirt", 50, 0.9, None), ("f2", "skirt", 3, 0.9, False), ("f3", "coat", 50, 0.6, False), ("f4", "coat", 50, 0.8, False), ("f5", "coat", 50, 0.8, True), ("f6", "hat", 50, 0.9, False), ("f7", "skirt", None, 0.9, False), ("f8", None, 50, 0.9, False)]
+    notes = spark.createDataFrame(rows, "file string, category string, area int, solidity double, iscrowd boolean").withColumn("pixels", F.lit(100))
+    found = relational.visible_cases(notes, {"shirt": "top", "coat": "outer", "skirt": "bottom"}, "top", "outer", 0.04, 0.7)
+    assert sorted((r["file"], r["group"]) for r in found.collect()) == [("f2", "top"), ("f4", "outer")]
