@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 Transport = Callable[[dict], dict]
 
@@ -286,3 +286,78 @@ def lookup_in_batches(keys: DataFrame, key: str, transport: Transport, size: int
                 yield pd.DataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in found.items() if v], columns=[key, "body"])
 
     return keys.select(key).distinct().mapInPandas(run, f"{key} string, body string")
+
+
+# --- pages as a stream ---------------------------------------------------------------------------------
+
+
+class _RequestReader(SimpleDataSourceStreamReader):
+    """Which pages to ask for next: the offset is the number of the next page. What it gives are requests, a few bytes each; tasks do the asking."""
+
+    def __init__(self, options: dict):
+        self.counts: dict[str, int] = json.loads(options["counts"])
+        self.step = int(options.get("pages", 1))
+
+    def initialOffset(self) -> dict:
+        return {"page": 1}
+
+    def _between(self, first: int, after: int) -> Iterator[tuple]:
+        return iter([(seed, page) for page in range(first, after) for seed, n in self.counts.items() if page <= n])
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        after = max(start["page"], min(start["page"] + self.step, max(self.counts.values(), default=0) + 1))
+        return self._between(start["page"], after), {"page": after}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return self._between(start["page"], end["page"])
+
+
+class PageRequests(DataSource):
+    """Options: counts (JSON: seed -> pages), pages (of each seed in a batch)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "page_requests"
+
+    def schema(self) -> str:
+        return "seed string, page int"
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return _RequestReader(self.options)
+
+
+def read_pages(requests: DataFrame, transport: Transport, size: int = 50) -> DataFrame:
+    """(seed, page, pos, body) of requests (seed, page), asked for where they lie; a page without an answer has no rows.
+
+    Works on a table and on a stream alike.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for seed, page in zip(pdf["seed"], pdf["page"], strict=True):
+                rows = (with_retries(transport, {"seed": seed, "page": int(page), "size": size}) or {}).get("rows") or []
+                yield pd.DataFrame([(seed, int(page), i, json.dumps(row, ensure_ascii=False)) for i, row in enumerate(rows)], columns=["seed", "page", "pos", "body"])
+
+    return requests.mapInPandas(run, "seed string, page int, pos int, body string")
+
+
+def page_counts(spark: SparkSession, transport: Transport, seeds: list[str], size: int = 50) -> dict[str, int]:
+    """How many pages each seed has, by the page_count of its first; asked for by tasks, a number a seed comes back."""
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers = [with_retries(transport, {"seed": s, "page": 1, "size": size}) or {} for s in pdf["seed"]]
+            yield pd.DataFrame({"seed": pdf["seed"], "n": [int(a.get("page_count", 1 if a.get("rows") else 0)) for a in answers]})
+
+    rows = spark.createDataFrame([(s,) for s in dict.fromkeys(seeds)], "seed string").mapInPandas(run, "seed string, n int")
+    return {r["seed"]: r["n"] for r in rows.collect()}
+
+
+def stream_pages(spark: SparkSession, transport: Transport, seeds: list[str], pages: int = 1, size: int = 50) -> DataFrame:
+    """The pages of the seeds as a stream of (seed, page, pos, body), ``pages`` of each seed in a batch; after the last it stands still."""
+    spark.dataSource.register(PageRequests)
+    counts = page_counts(spark, transport, seeds, size)
+    requests = spark.readStream.format("page_requests").option("counts", json.dumps(counts)).option("pages", pages).load()
+    return read_pages(requests, transport, size)
