@@ -14,10 +14,10 @@ a token is on a page once at most, and its occurrence vector says on which pages
 3. The template of a host is then small: its constants (texts of valid classes), its
    menus (elements of which most words are links), and its main element, the deepest
    of several blocks that holds half of what the slots hold; a body counts the same, long or short.
-4. A page's text is what its slots inside the main element hold. Tags that are never
-   main text, and names of classes that say so, go as well; <article> and <main> count
-   as main elements too. Constants inside these stay: near copies of an article are no
-   template. Hosts with too few bodies rest on tags and names alone.
+4. A page's text is what its slots inside the main element hold; constants inside it stay:
+   near copies of an article are no template. <article> and <main> are asked only on a page that
+   lacks the host's main element. Tags that are never main text, and names of classes
+   that say so, go as well. Hosts with too few bodies rest on tags and names alone.
 """
 
 from __future__ import annotations
@@ -373,13 +373,13 @@ def main_text(source: str, template: Template | None = None) -> str:
         in_article = any(b.article for b in page.blocks)
         return "\n".join(b.text for b in blocks if b.article or not in_article)
     in_menu, in_main = page.within(template.menus), page.within(frozenset() if template.main is None else frozenset((template.main,)))
-    is_main = lambda b: b.article or in_main[b.element]
     slots = [b for b in blocks if not in_menu[b.element]]
-    found = [b for b in slots if is_main(b)]
-    rest = [b for b in slots if not is_main(b) and _code(b.text, page.codes[b.element]) not in template.constants]
+    found = [b for b in slots if in_main[b.element]] or [b for b in slots if b.article]  # tags speak where the page lacks the template's element
     if not found:
-        return "\n".join(b.text for b in rest if not any(x.article for x in page.blocks))
-    if not any(b.article or b.heading for b in found):  # a headline before the main element is the text's own
+        return "\n".join(b.text for b in slots if _code(b.text, page.codes[b.element]) not in template.constants and not any(x.article for x in page.blocks))
+    taken = {id(b) for b in found}
+    rest = [b for b in slots if id(b) not in taken and _code(b.text, page.codes[b.element]) not in template.constants]
+    if not any(b.heading for b in found):  # a headline before the main element is the text's own
         found = [*[b for b in rest if b.heading][:1], *found]
     return "\n".join(b.text for b in found)
 

@@ -125,3 +125,14 @@ def test_columns_of_any_name_stay(spark):
     got = extract(frame)
     assert got.columns == ["page_id", "url", *names, "text", "n_chars"]
     assert all(r["text"] == want[r["page_id"]] and [r[n] for n in names] == list(range(7)) for r in got.collect())
+
+
+def test_the_template_decides_before_tags(spark):
+    """What varies inside <article> but outside the host's main element goes; a page without that element falls back to its tags."""
+    words = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(30))
+    page = lambda i: f"<html><body><div><a href='/'>Home</a></div><article><div class='z'><h1>Title {i}</h1><p>{words(i, 1)}</p><p>{words(i, 2)}</p></div><div class='q'><p>Seen {i * 7} times</p></div></article></body></html>"
+    rows = [(i, "http://h.example/p", page(i)) for i in range(20)] + [(99, "http://h.example/other", "<html><body><article><p>another kind of page</p></article></body></html>")]
+    got = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == f"Title 3\n{words(3, 1)}\n{words(3, 2)}" and got[99] == "another kind of page"
+    alone = main_text(page(3))
+    assert alone.endswith("Seen 21 times")
