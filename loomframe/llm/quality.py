@@ -16,9 +16,13 @@ zero and the sketch's rank of zero tells the rate: with rate r a text of median
 length has none with probability exp(-r x length).
 
 A limit is a ratio; what a document may have is a count. So it fails where its count
-is beyond chance at the limit (Bernstein's bound, ``z`` deviations), which leaves
-short texts alone where a few characters make a high ratio. No cutoff is fixed. The
-limits are joined to the measures and decide.
+is beyond chance at the limit: where a Poisson count of the limit's mean reaches it with a probability under
+that of ``z`` deviations, shared out over all documents of the group (Chernoff's bound, no term of
+which is added to the limit). That leaves short texts alone where a few characters
+make a high ratio. As a share of zeros is itself only measured, the rate is that
+of its upper bound at z deviations, by the group's size: a group in which none of
+a few texts has any still allows some, and one in which none of millions has any hardly
+does. No cutoff is fixed. The limits are joined to the measures and decide.
 """
 
 from __future__ import annotations
@@ -139,7 +143,17 @@ def readings(measured: DataFrame, clean_quantile: float, k: int) -> DataFrame:
     return stored(own.unionByName(by_lang).unionByName(overall).select("_lang", "_source", "n", F.array(*read).alias("r")), "readings")
 
 
-def limits(measured: DataFrame, width: float, clean_quantile: float, k: int, prior: float) -> DataFrame:
+def at_most(share: Column, n: Column, z: float) -> Column:
+    """Wilson's upper bound of a share that n draws showed."""
+    return (share + z * z / (2 * n) + z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def beyond_chance(count: Column, mean: Column, n: Column, z: float) -> Column:
+    """Whether none of n Poisson counts of a mean is likely to reach a count: Chernoff's bound, against the tail of z deviations."""
+    return (count > mean) & (count * F.log(count / mean) - count + mean > z * z / 2 + F.log(n))
+
+
+def limits(measured: DataFrame, width: float, clean_quantile: float, k: int, prior: float, z: float = 5.0) -> DataFrame:
     """(lang, source, n, limits): low and high of each measure, for each group of measured."""
     found = readings(measured, clean_quantile, k)
     drawn = lambda n, own, parent: F.zip_with(own, parent, lambda a, b: (n * a + prior * b) / (n + prior))
@@ -155,7 +169,7 @@ def limits(measured: DataFrame, width: float, clean_quantile: float, k: int, pri
             spread = width * F.greatest(F.least(median - below, above - median), median / (2 * F.sqrt(F.greatest(length, F.lit(1.0)))))
             out += [(median - spread).alias(f"low_{m.name}"), (median + spread).alias(f"high_{m.name}")]
         else:
-            rate = -F.log(F.greatest(zeros, F.lit(0.5))) / F.greatest(length, F.lit(1.0))
+            rate = -F.log(F.greatest(1 - at_most(1 - zeros, F.col("n") + prior, z), F.lit(0.5))) / F.greatest(length, F.lit(1.0))
             out += [F.lit(0.0).alias(f"low_{m.name}"), (median + width * (F.greatest(median - below, F.sqrt(median / F.greatest(length, F.lit(1.0)))) + rate)).alias(f"high_{m.name}")]
     return stored(own.select("_lang", "_source", "n", F.struct(*out).alias("limits")), "limits")
 
@@ -167,8 +181,8 @@ def judge(measured: DataFrame, width: float = 6.0, clean_quantile: float = 0.1,
     repeated windows); the limits are of documents that pass it.
     """
     measured = measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    found = limits(measured.where(~F.col("base_failed")), width, clean_quantile, k, prior)
-    salted = found.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("limits").alias("_limits"))
+    found = limits(measured.where(~F.col("base_failed")), width, clean_quantile, k, prior, z)
+    salted = found.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("limits").alias("_limits"), F.col("n").cast("double").alias("_n"))
     salt = F.pmod(F.xxhash64(*COUNTS), F.lit(SALTS))  # a hot group meets its limits in so many tasks
     joined = measured.join(salted, (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")) & (salt == F.col("_salt")), "left")
     rules = []
@@ -178,7 +192,7 @@ def judge(measured: DataFrame, width: float = 6.0, clean_quantile: float = 0.1,
             chance = z * m.column() / (2 * F.sqrt(F.greatest(under, F.lit(1.0))))
             fails = (m.column() < low - chance) | (m.column() > high + chance)
         else:
-            fails = F.col(m.over) > high * under + z * F.sqrt(high * under) + z * z / 3
+            fails = beyond_chance(F.col(m.over), high * under, F.col("_n") + prior, z)
         rules.append(F.when(fails, F.lit(m.name)))
     return joined.withColumn("failed", F.array_compact(F.array(*rules))).select(
         *measured.columns, (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed"

@@ -5,7 +5,9 @@ from collections import Counter
 
 import numpy as np
 
-from loomframe.llm.quality import COUNTS, MEASURES, _keys, assess, keep_good, limits, measure, measure_text
+from pyspark.sql import functions as F
+
+from loomframe.llm.quality import COUNTS, MEASURES, _keys, assess, at_most, beyond_chance, judge, keep_good, limits, measure, measure_text
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string"
 
@@ -105,14 +107,17 @@ def test_decisions_against_brute_force_with_exact_quantiles(spark):
             for source in {r[3] for r in passing if r[2] == lang}:
                 ids = [r[0] for r in passing if (r[2], r[3]) == (lang, source)]
                 below, median, above, zeros, length = draw(len(ids), read(ids, m), by_lang)
+                size, some = len(ids) + 100, 1 - zeros
+                upper = (some + 25 / (2 * size) + 5 * math.sqrt(some * (1 - some) / size + 25 / (4 * size * size))) / (1 + 25 / size)
                 for i in ids:
                     x, n = ratio(i, m), counts[i][m.under]
                     if m.both_sides:
                         wide = 6 * max(min(median - below, above - median), median / (2 * math.sqrt(max(length, 1)))) + 5 * x / (2 * math.sqrt(n))
                         fails = x < median - wide or x > median + wide
                     else:
-                        high = median + 6 * (max(median - below, math.sqrt(median / max(length, 1))) - math.log(max(zeros, 0.5)) / max(length, 1))
-                        fails = counts[i][m.over] > high * n + 5 * math.sqrt(high * n) + 25 / 3
+                        high = median + 6 * (max(median - below, math.sqrt(median / max(length, 1))) - math.log(max(1 - upper, 0.5)) / max(length, 1))
+                        c, mean = counts[i][m.over], high * n
+                        fails = c > mean and c * math.log(c / mean) - c + mean > 12.5 + math.log(size)
                     if fails:
                         failed[i].append(m.name)
     assert {i: got[i]["failed"] for i in got if not got[i]["base_failed"]} == {r[0]: failed[r[0]] for r in passing}
@@ -127,3 +132,32 @@ def test_limits_differ_by_group(spark):
     assert len(found) == 6
     for name in ("symbols", "capitals", "word_length"):
         assert len({round(r["limits"][f"high_{name}"], 6) for r in found}) == 6
+
+
+def test_the_same_text_passes_in_one_group_and_fails_in_another(spark):
+    """What decides is the group: for each measure a text with that many is usual in one group, and beyond all chance in the other."""
+    rng = random.Random(3)
+    few = {
+        "symbols": lambda t: t.replace(" ", " # ", 18),
+        "capitals": lambda t: t.upper()[:220] + t[220:],
+        "bangs": lambda t: t.replace(" ", "! ", 18),
+        "dup_lines": lambda t: "\n".join([*t.split("\n"), *[t.split("\n")[0]] * 40]),
+        "word_length": lambda t: " ".join(w + "underneath" if rng.random() < 0.9 else w for w in t.split(" ")),
+    }
+    for name, make in few.items():
+        probe = make(clean(rng))
+        rows = [(i, make(clean(rng)) if g == "usual" else clean(rng), "en", g, "") for g, low in (("usual", 0), ("never", 10_000)) for i in range(low, low + 1500)]
+        rows += [(50_000, probe, "en", "usual", ""), (50_001, probe, "en", "never", "")]
+        measured = measure(spark.createDataFrame(rows, SCHEMA), _keys(spark.createDataFrame(rows, SCHEMA), "doc_id")).withColumns({"n_repeat_words": F.lit(0)})
+        got = {r["_id"]: r["failed"] for r in judge(measured, prior=1.0).where("_id >= 50000").collect()}
+        assert name not in got[50_000] and name in got[50_001], name
+
+
+def test_chance_by_size_of_group(spark):
+    """How many of a thing that no text of a group has are allowed falls with the group's size, and no number is added."""
+    row = spark.range(1)
+    allowed = []
+    for n in (200, 20_000, 2_000_000):
+        mean = -F.log(1 - at_most(F.lit(0.0), F.lit(float(n)), 5.0)) * 6
+        allowed.append(next(c for c in range(1, 60) if row.select(beyond_chance(F.lit(float(c)), mean, F.lit(float(n)), 5.0)).first()[0]))
+    assert allowed[0] > allowed[1] > allowed[2] and allowed[2] <= 4
