@@ -693,3 +693,52 @@ def care_days(spark: SparkSession, at: str) -> DataFrame:
 
     events = t(spark, at, "events").select("user_id", F.to_date("ts").alias("day"), rules.lookup(F.col("event_type"), kinds).alias("kind"))
     return care.last_days(events, "user_id", "day")
+
+
+def _band_sql(value: str, bounds, labels, shift: str = "0") -> str:
+    steps = " ".join(f"WHEN {value} < {b} - {shift} THEN '{n}'" for b, n in zip(bounds, labels, strict=False))
+    return f"CASE WHEN {value} IS NULL THEN NULL {steps} ELSE '{labels[-1]}' END"
+
+
+_SHIFTS = tuple(dims.STRETCH.items())
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, p_partkey % 9 AS a, p_size AS s, [{", ".join(str(v) for _, v in _SHIFTS)}][(p_partkey % 3 + 1)::INT] AS sh, 160.0 + 2 * (p_size % 15) AS height FROM part),
+      e AS (SELECT *, CASE WHEN a = 0 THEN NULL ELSE (33.0 + a) * 2 - 74 END AS waist, (44.0 + s % 14) * 2 - 95 AS hip, (26.0 + s % 11) * 2 - 55 AS thigh,
+        CASE WHEN s % 2 = 0 THEN 64.0 + a ELSE (90.0 + s % 20) - (20.0 + a) END - CASE WHEN s % 3 = 0 THEN round(0.45 * height, 1) ELSE 66.0 + s % 10 END AS hem FROM x)
+    SELECT p_partkey, {_band_sql("waist + sh", dims.WAIST_BOUNDS, dims.WAIST_LABELS)} AS waist, {_band_sql("hip", dims.FIT_BOUNDS["하의", "hip"], dims.FIT_LABELS, "sh")} AS hip,
+      {_band_sql("thigh", dims.FIT_BOUNDS["하의", "thigh"], dims.THIGH_LABELS, "sh")} AS thigh, {_band_sql("hem", dims.INSEAM_BOUNDS, dims.INSEAM_LABELS)} AS hem,
+      (waist + sh < 0 AND waist IS NOT NULL)::INT AS n_warnings, (s % 3 = 0)::INT AS n_estimated FROM e"""
+)
+def bottom_reports(spark: SparkSession, at: str) -> DataFrame:
+    """Fit reports of parts as trousers: waist, hip, thigh and length, some measures absent, some lengths of the body estimated from its height."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    a, none = k % 9, F.lit(None).cast("double")
+    garment = F.struct(
+        F.when(a == 0, 0.0).otherwise(F.lit(33.0) + a).alias("waist"), (F.lit(44.0) + s % 14).alias("hip"), (F.lit(26.0) + s % 11).alias("thigh"),
+        F.when(s % 2 == 0, F.lit(64.0) + a).alias("inseam"), (F.lit(90.0) + s % 20).alias("length"), (F.lit(20.0) + a).alias("rise"),
+    )
+    body = F.struct(F.lit(74.0).alias("waist"), F.lit(95.0).alias("hip"), F.lit(55.0).alias("thigh"), F.when(s % 3 == 0, none).otherwise(F.lit(66.0) + s % 10).alias("inseam"), (F.lit(160.0) + 2 * (s % 15)).alias("height"))
+    rows = t(spark, at, "part").select(k, garment.alias("g"), body.alias("b"), _pick([n for n, _ in _SHIFTS], k % 3).alias("stretch"))
+    found = rows.select("p_partkey", rules.bottom_report(F.col("g"), F.col("b"), F.col("stretch")).alias("f"))
+    label = lambda zone: rules.label_of(F.col("f"), zone)
+    return found.select("p_partkey", label("허리").alias("waist"), label("엉덩이").alias("hip"), label("허벅지").alias("thigh"), label("기장").alias("hem"), F.size("f.warnings").alias("n_warnings"), F.size("f.estimated").alias("n_estimated"))
+
+
+@query(
+    f"""WITH x AS (SELECT p_partkey, ['상의', '아우터', '원피스'][(p_partkey % 3 + 1)::INT] AS cat, p_size AS s, (42.0 + p_partkey % 19) * 2 - 92 AS ease, 40.0 + p_size % 12 - 44 AS diff, 150.0 + 10 * (p_size % 5) AS height FROM part),
+      y AS (SELECT *, (10.0 + s + greatest(diff / 2, 0)) / CASE WHEN s % 2 = 0 THEN 60.0 ELSE round(0.33 * height, 1) END AS ratio FROM x)
+    SELECT p_partkey, cat, CASE WHEN cat = '아우터' THEN {_band_sql("ease", dims.FIT_BOUNDS["아우터", "chest"], dims.FIT_LABELS)} ELSE {_band_sql("ease", dims.FIT_BOUNDS["상의", "chest"], dims.FIT_LABELS)} END AS chest,
+      {_band_sql("ratio", dims.SLEEVE_BOUNDS, dims.SLEEVE_LABELS)} AS sleeve, CASE WHEN ease < 0 THEN '가슴 둘레가 몸보다 작아 입기 어려울 수 있음' ELSE '' END AS warnings, CASE WHEN s % 2 = 1 THEN 'arm_length' ELSE '' END AS estimated FROM y"""
+)
+def fit_by_category(spark: SparkSession, at: str) -> DataFrame:
+    """Fit reports of parts as tops, coats and dresses without stretch: those too small are warned of, arms that are not known are estimated."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    garment = F.struct((F.lit(40.0) + s % 12).alias("shoulder"), (F.lit(42.0) + k % 19).alias("chest"), F.lit(70.0).alias("length"), (F.lit(10.0) + s).alias("sleeve"))
+    arm = F.when(s % 2 == 0, 60.0)
+    body = F.struct((F.lit(150.0) + 10 * (s % 5)).alias("height"), F.lit(44.0).alias("shoulder_width"), F.lit(92.0).alias("chest"), arm.alias("arm_length"), F.create_map().cast("map<string,double>").alias("landmarks"))
+    rows = t(spark, at, "part").select(k, _pick(("상의", "아우터", "원피스"), k % 3).alias("cat"), garment.alias("g"), body.alias("b"))
+    found = rows.select("p_partkey", "cat", rules.fit_report(F.col("cat"), F.col("g"), F.col("b")).alias("f"))
+    label = lambda zone: rules.label_of(F.col("f"), zone)
+    return found.select("p_partkey", "cat", label("가슴").alias("chest"), label("소매").alias("sleeve"), F.array_join("f.warnings", ",").alias("warnings"), F.array_join("f.estimated", ",").alias("estimated"))
