@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     the label of its label, which halves the depth of what is left; a round is
     written to the shared folder. Edges are dealt out once, by the end whose label is
     read, and labels by node, so that a round exchanges only what it finds. Minima are taken in part before
-    each exchange, so a node with very many edges is no hot spot.
+    each exchange, so a node with very many edges receives few rows; but its edges lie in one partition, that of the node.
     """
     n = parts(edges.sparkSession)
     pairs = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
