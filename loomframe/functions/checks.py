@@ -198,16 +198,22 @@ GROUPS = {
     "onepiece": ("dress",),
 }
 DIM_WHAT = {
-    "inner": "the %s shown bright in image 2, which is worn under the %s in the photo (image 1)",
-    "flat": "the %s shown bright in image 2, which lies among other things in the photo (image 1)",
-    "outer": "the %s shown bright in image 2, which is the outer layer in the photo (image 1)",
-    "single": "the %s shown bright in image 2 (a close-up of the photo, image 1)",
+    "inner": "the {cat} shown bright in image 2, which is worn under the {outer} in the photo (image 1)",
+    "flat": "the {cat} shown bright in image 2, which lies among other things in the photo (image 1)",
+    "outer": "the {cat} shown bright in image 2, which is the outer layer in the photo (image 1)",
+    "single": "the {cat} shown bright in image 2 (a close-up of the photo, image 1)",
 }
-DIM_PRODUCT = (
-    "Create a store product photo of ", ": the garment alone, laid flat and neatly smoothed, front view, centered on a plain white background. Keep its exact colors, pattern, print and details. Show only this "
-    "one garment: no person, no other clothing, no accessories, no other objects. In image 2 everything except the garment is darkened only to point at it.",
-)
-PEEL = ("Remove the ", " marked with the green outline from the person in image 1. Keep the person, face, hair, pose, the clothes underneath and the background exactly the same. The green marks are only pointers; do not draw them.")
+MARKED_WHAT = {
+    "inner": "the {cat} marked with the green outline in image 1 (image 2 is a close-up of it; it is worn under the {outer})",
+    "flat": "the {cat} marked with the green outline in image 1 (image 2 is a close-up of it; it lies among other things)",
+    "outer": "the {cat} marked with the green outline in image 1 (image 2 is a close-up of it; it is the outer layer)",
+    "single": "the {cat} marked with the green outline in image 1 (image 2 is a close-up of it)",
+}
+DIM_PRODUCT = "Create a store product photo of {what}: the garment alone, laid flat and neatly smoothed, front view, centered on a plain white background. Keep its exact colors, pattern, print and details. Show only this one garment: no person, no other clothing, no accessories, no other objects. In image 2 everything except the garment is darkened only to point at it."  # noqa: E501
+SOLO_PRODUCT = "Create a store product photo of {what}: the garment alone, laid flat and neatly smoothed, front view, centered on a plain white background. Keep its exact colors, pattern, print and details. Show only this one garment: no person, no other clothing, no other objects."  # noqa: E501
+UNDER_PRODUCT = "Create a store product photo of {what}: the garment alone, laid flat and neatly smoothed, front view, centered on a plain white background. Keep its exact colors, pattern, print and details. Show only this one garment: no {outer}, no person, no other clothing."  # noqa: E501
+PEEL = "Remove the {outer} marked with the green outline from the person in image 1. Keep the person, face, hair, pose, the clothes underneath and the background exactly the same."
+MARK_NOTE = " The green marks are only pointers; do not draw them."
 
 
 def generic(category: Column) -> Column:
@@ -218,18 +224,32 @@ def generic(category: Column) -> Column:
     return out.otherwise(category)
 
 
+def filled(text: str | Column, **values: Column) -> Column:
+    """A text with its {names} replaced."""
+    out = F.lit(text) if isinstance(text, str) else text
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), value)
+    return out
+
+
 def extract_prompt(category: Column, layer: Column, style: str = "struct") -> Column:
-    """struct: a tag of kind and layer; dim and dimfine: sentences that point by brightness, with wide or exact names."""
+    """struct: a tag of kind and layer. natural, generic: sentences that point by a green outline; dim, dimfine: by brightness. generic and dim name kinds widely."""
     if style == "struct":
         return F.concat(F.lit("[EXTRACT] "), category, F.lit("; layer="), layer)
-    if style not in ("dim", "dimfine"):
+    if style not in ("natural", "generic", "dim", "dimfine"):
         raise ValueError(f"unknown style {style!r}")
-    name, under = generic(category) if style == "dim" else category, F.lit("inner under ")
-    what = F.when(layer.startswith("inner under "), F.format_string(DIM_WHAT["inner"], name, F.substring(layer, F.length(under) + 1, F.lit(1 << 30))))
+    name = generic(category) if style in ("dim", "generic") else category
+    inner, outer = layer.startswith("inner under "), F.substring(layer, len("inner under ") + 1, 1 << 30)
+    texts = DIM_WHAT if style in ("dim", "dimfine") else MARKED_WHAT
+    what = F.when(inner, filled(texts["inner"], cat=name, outer=outer))
     for k in ("flat", "outer"):
-        what = what.when(layer == k, F.format_string(DIM_WHAT[k], name))
-    return F.concat(F.lit(DIM_PRODUCT[0]), what.otherwise(F.format_string(DIM_WHAT["single"], name)), F.lit(DIM_PRODUCT[1]))
+        what = what.when(layer == k, filled(texts[k], cat=name))
+    what = what.otherwise(filled(texts["single"], cat=name))
+    if style in ("dim", "dimfine"):
+        return filled(DIM_PRODUCT, what=what)
+    sentence = F.when(inner, filled(UNDER_PRODUCT, what=what, outer=outer)).otherwise(filled(SOLO_PRODUCT, what=what))
+    return F.concat(sentence, F.lit(MARK_NOTE))
 
 
 def peel_prompt(outer: Column, style: str = "struct") -> Column:
-    return F.concat(F.lit("[PEEL] "), outer) if style == "struct" else F.concat(F.lit(PEEL[0]), outer, F.lit(PEEL[1]))
+    return F.concat(F.lit("[PEEL] "), outer) if style == "struct" else F.concat(filled(PEEL, outer=outer), F.lit(MARK_NOTE))

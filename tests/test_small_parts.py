@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomframe.functions import checks
 from loomframe.operators import masks
 from loomframe.sources import files
 from loomframe.streaming import breaker
@@ -60,3 +61,16 @@ def test_breaker_as_a_stream_equals_the_batch(spark, tmp_path):
         query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.update({r["provider"]: tuple(r) for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
         query.awaitTermination()
     assert set(seen.values()) == want and any(r[3] for r in want)
+
+
+def test_prompts_of_every_style(spark):
+    layers = ("inner under coat", "flat", "outer", "single")
+    rows = spark.createDataFrame([("shirt", x) for x in layers], "category string, layer string")
+    got = {style: [r[0] for r in rows.select(checks.extract_prompt(F.col("category"), F.col("layer"), style)).collect()] for style in ("struct", "natural", "generic", "dim", "dimfine")}
+    assert got["struct"][0] == "[EXTRACT] shirt; layer=inner under coat"
+    assert "the shirt marked with the green outline in image 1 (image 2 is a close-up of it; it is worn under the coat)" in got["natural"][0] and "no coat, no person, no other clothing." in got["natural"][0]
+    assert "(image 2 is a close-up of it; it lies among other things)" in got["natural"][1] and got["natural"][3].startswith("Create a store product photo of the shirt marked") and "(image 2 is a close-up of it):" in got["natural"][3]
+    assert all(x.endswith(checks.MARK_NOTE) for x in got["natural"] + got["generic"]) and "the top marked" in got["generic"][2]
+    assert "the top shown bright" in got["dim"][3] and "the shirt shown bright" in got["dimfine"][3] and not any("{" in x for v in got.values() for x in v)
+    peel = spark.range(1).select(checks.peel_prompt(F.lit("coat"), "natural")).first()[0]
+    assert peel.startswith("Remove the coat marked") and peel.endswith(checks.MARK_NOTE)
