@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .relational import running_sums
+from .relational import cut, running_sums
 
 
 def overlapping_groups(base: Column, flags: dict[str, Column]) -> Column:
@@ -97,6 +97,23 @@ def margin_to_others(df: DataFrame, key: str, group: str, vector: str) -> DataFr
     return rows.select(key, F.coalesce(best(True) - best(False), F.lit(1.0)).alias("margin"))
 
 
+def margin_in_photo(results: DataFrame, items: DataFrame, photo: str, target: str, vector: str, block: int = 64) -> DataFrame:
+    """results with margin: cosine to the own target less the largest to another item of the same photo; 1 where the photo has no other, null where it lacks the target.
+
+    results: photo, target, vector and any others; items: photo, target, vector. A photo's items travel in arrays of about ``block`` by hash, so
+    that a result meets blocks and not single items, and keeps two numbers of each.
+    """
+    rows = cut(results.withColumn("_row", F.monotonically_increasing_id()))
+    count = items.groupBy(photo).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("_blocks"))
+    dealt = items.join(count, photo).groupBy(photo, F.pmod(F.xxhash64(target), "_blocks").alias("_b"))
+    packed = dealt.agg(F.collect_list(F.struct(F.col(target).alias("t"), F.col(vector).alias("v"))).alias("_items"))
+    near = F.transform("_items", lambda i: F.struct((i["t"] == F.col(target)).alias("own"), cosine(F.col(vector), i["v"]).alias("s")))
+    best = lambda own: F.array_max(F.transform(F.filter("_near", lambda i: i["own"] == F.lit(own)), lambda i: i["s"]))
+    met = rows.select("_row", photo, target, vector).join(packed, photo).select("_row", near.alias("_near")).groupBy("_row").agg(F.max(best(True)).alias("_own"), F.max(best(False)).alias("_other"))
+    margin = F.when(F.col("_own").isNotNull(), F.coalesce(F.col("_own") - F.col("_other"), F.lit(1.0)))
+    return rows.join(met, "_row", "left").withColumn("margin", margin).drop("_row", "_own", "_other")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
