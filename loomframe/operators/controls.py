@@ -106,17 +106,32 @@ def negatives(products: DataFrame, deal: DataFrame, seed: int, size: int, mask:
     square for half of them, else twice as wide). marker: with a green outline. grey: a part painted grey. products: image, y, x, r, g, b and a mask;
     products without a masked pixel have no negative.
     """
-    one = lambda name: drawn(seed, F.col("image"), name)
     rows = products.select(*AT, *RGB, F.col(mask).alias("m"))
+    facts = _facts(rows, deal, seed)
+    single = on_white(_spoilt(rows, facts.where("kind <> 'pair'")), F.col("kept"), size).join(deal.where("kind <> 'pair'").select("image", "kind"), "image")
+    return single.select("image", "kind", "y", "x", *RGB).unionByName(_pairs(rows, facts.where("kind = 'pair'"), size))
+
+
+def spoilt(products: DataFrame, deal: DataFrame, seed: int, mask: str = "m") -> DataFrame:
+    """(image, kind, y, x, r, g, b, kept): the pixels of negatives() where they lie in the picture, and which of them go on white; pairs are left out."""
+    rows = products.select(*AT, *RGB, F.col(mask).alias("m"))
+    return _spoilt(rows, _facts(rows, deal.where("kind <> 'pair'"), seed))
+
+
+def _facts(rows: DataFrame, deal: DataFrame, seed: int) -> DataFrame:
+    one = lambda name: drawn(seed, F.col("image"), name)
     facts = deal.join(px.boxes(rows, F.col("m")), "image").join(resample.sizes(rows), "image").withColumn("w", F.col("x1") - F.col("x0"))
-    facts = cut(facts.withColumns({"u": one("first"), "v": one("second")}))
-    spoilt = rows.join(facts.where("kind <> 'pair'"), "image")
+    return cut(facts.withColumns({"u": one("first"), "v": one("second")}))
+
+
+def _spoilt(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    known = rows.join(facts, "image")
     whole = lambda c: F.floor(c).cast("int")
     middle, half = (F.col("x0") + F.col("x1")) / 2 + _between(STRIP_OFF, F.col("v")) * F.col("w"), _between(STRIP, F.col("u")) * F.col("w") / 2
     in_strip = (F.col("x") >= whole(middle - half)) & (F.col("x") < whole(middle + half))
     way, mid = F.floor(F.col("u") * 4), {c: whole((F.col(f"{c}0") + F.col(f"{c}1")) / 2) for c in "xy"}
     in_half = F.when(way == 0, F.col("y") < mid["y"]).when(way == 1, F.col("y") >= mid["y"]).when(way == 2, F.col("x") < mid["x"]).otherwise(F.col("x") >= mid["x"])
-    plain = spoilt.where("kind in ('strip', 'half', 'grey')").withColumn("kept", F.col("m") & F.when(F.col("kind") == "strip", in_strip).when(F.col("kind") == "half", in_half).otherwise(True))
+    plain = known.where("kind in ('strip', 'half', 'grey')").withColumn("kept", F.col("m") & F.when(F.col("kind") == "strip", in_strip).when(F.col("kind") == "half", in_half).otherwise(True))
     left = whole(F.col("x0") + F.col("u") * F.col("w") * (1 - PATCH_ROOM))
     patch = (F.col("kind") == "grey") & F.col("m") & (F.col("x") >= left) & (F.col("x") < left + whole(_between(PATCH, F.col("v")) * F.col("w")))
     plain = px.painted(plain, patch, px.GREY)
@@ -124,11 +139,11 @@ def negatives(products: DataFrame, deal: DataFrame, seed: int, size: int, mask:
 
     over = rows.where("m").select(F.col("image").alias("other"), "y", "x", *(F.col(c).alias(f"_{c}") for c in RGB))
     gap, centre = whole(_between(GAP, F.col("u")) * F.col("length") / 2), whole(F.col("length") / 2)
-    merged = spoilt.where("kind = 'merge'").join(over, ["other", "y", "x"], "left")
+    merged = known.where("kind = 'merge'").join(over, ["other", "y", "x"], "left")
     covers = F.col("_r").isNotNull() & ((F.col("x") < centre - gap) | (F.col("x") >= centre + gap))
     merged = merged.withColumns({c: F.when(covers, F.col(f"_{c}")).otherwise(F.col(c)) for c in RGB}).withColumn("kept", F.col("m") | covers)
 
-    marked = spoilt.where("kind = 'marker'")
+    marked = known.where("kind = 'marker'")
     width = F.greatest(F.lit(LINE), whole(LINE_SHARE * F.greatest("lines", "length")))
     line = px.with_outline(marked, "m").where("outline").select(*AT, whole(width / 2).alias("_half"))
     for c in ("x", "y"):
@@ -138,9 +153,7 @@ def negatives(products: DataFrame, deal: DataFrame, seed: int, size: int, mask:
     marked = marked.join(line.select(*AT, F.lit(True).alias("_line")), AT, "left").join(room, AT, "left")
     marked = px.painted(marked, F.coalesce("_line", F.lit(False)), px.MARK).withColumn("kept", F.coalesce("kept", F.lit(False)))
 
-    single = plain.select(*columns).unionByName(merged.select(*columns)).unionByName(marked.select(*columns))
-    single = on_white(single, F.col("kept"), size).join(deal.where("kind <> 'pair'").select("image", "kind"), "image")
-    return single.select("image", "kind", *columns[2:-1]).unionByName(_pairs(rows, facts.where("kind = 'pair'"), size))
+    return plain.select(*columns).unionByName(merged.select(*columns)).unionByName(marked.select(*columns))
 
 
 def _pairs(rows: DataFrame, facts: DataFrame, size: int) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flatlay, palette, pixels, relational, resample, runs, segments
+from ..operators import controls, flatlay, metrics, palette, pixels, relational, resample, runs, segments
 from .catalogue import Query, r, t
-from .items import _PIXELS, _pixels
-from .oracles import _lab_cte
+from .items import _PIXELS, _pixels, _sql_list
+from .oracles import _COS, _lab_cte
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -267,3 +267,86 @@ def visible_selection(spark: SparkSession, at: str) -> DataFrame:
     )
     seen = relational.visible_cases(notes, _KINDS, "top", "outer", 0.3, 0.03)
     return relational.capped_selection(seen, "file", "group", "pos", ["top", "outer", "bottom", "dress"], 20)
+
+
+_DRAWN = "((('0x' || substr(sha1({}), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)"
+_KIND_LIST = _sql_list(controls.NEGATIVES)
+
+
+@query(
+    f"""WITH {_GRID}, d AS (SELECT image, h, w, {_KIND_LIST}[(floor({_DRAWN.format("'5|' || image || '|kind'")} * 6) + 1)::INT] AS kind, {_DRAWN.format("'5|' || image || '|first'")} AS u, {_DRAWN.format("'5|' || image || '|second'")} AS v, {_DRAWN.format("'5|' || image || '|other'")} AS o FROM sz),
+      pool AS (SELECT image, row_number() OVER (ORDER BY image) - 1 AS i, image % 3 = 0 AS outside FROM sz), pout AS (SELECT image, row_number() OVER (ORDER BY image) - 1 AS i FROM pool WHERE outside), n AS (SELECT count(*) AS n, count_if(outside) AS k FROM pool),
+      e AS (SELECT d.*, CASE WHEN kind = 'merge' AND k > 0 THEN (SELECT image FROM pout WHERE i = floor(o * k)) ELSE (SELECT image FROM pool WHERE i = floor(o * n)) END AS other FROM d, n WHERE kind <> 'pair'),
+      b AS (SELECT image, min(x) AS x0, max(x) + 1 AS x1, min(y) AS y0, max(y) + 1 AS y1 FROM px WHERE m GROUP BY 1), f AS (SELECT e.*, x0, x1, y0, y1 FROM e JOIN b USING (image)),
+      c AS (SELECT f.*, px.y, px.x, px.r, px.g, px.b, px.m, q.image IS NOT NULL AND (px.x < w // 2 - floor((0.1 + (0.3 - 0.1) * u) * w / 2) OR px.x >= w // 2 + floor((0.1 + (0.3 - 0.1) * u) * w / 2)) AS covers, q.r AS qr,
+          px.m AND NOT ((SELECT count(*) FROM px t WHERE t.image = px.image AND t.m AND abs(t.x - px.x) + abs(t.y - px.y) = 1) = 4) AS edge
+        FROM f JOIN px USING (image) LEFT JOIN (SELECT * FROM px WHERE m) q ON kind = 'merge' AND q.image = other AND q.y = px.y AND q.x = px.x),
+      g AS (SELECT *, x0 + floor(u * (x1 - x0) * 0.7) AS patch, (x0 + x1) / 2 + (-0.05 + 0.1 * v) * (x1 - x0) AS cx, (0.12 + (0.35 - 0.12) * u) * (x1 - x0) / 2 AS hw FROM c),
+      s AS (SELECT image, kind, CASE kind WHEN 'strip' THEN m AND x >= floor(cx - hw) AND x < floor(cx + hw)
+          WHEN 'half' THEN m AND CASE floor(u * 4) WHEN 0 THEN y < (y0 + y1) // 2 WHEN 1 THEN y >= (y0 + y1) // 2 WHEN 2 THEN x < (x0 + x1) // 2 ELSE x >= (x0 + x1) // 2 END
+          WHEN 'merge' THEN m OR covers WHEN 'grey' THEN m ELSE EXISTS (FROM px t WHERE t.image = g.image AND t.m AND abs(t.x - g.x) <= 4 AND abs(t.y - g.y) <= 4) END AS kept,
+        CASE WHEN kind = 'grey' AND m AND x >= floor(x0 + u * (x1 - x0) * 0.7) AND x < floor(x0 + u * (x1 - x0) * 0.7) + floor((0.2 + 0.25 * v) * (x1 - x0)) THEN 128 WHEN kind = 'merge' AND covers THEN qr
+          WHEN kind = 'marker' AND EXISTS (FROM g z WHERE z.image = g.image AND z.edge AND abs(z.x - g.x) <= 1 AND abs(z.y - g.y) <= 1) THEN 0 ELSE r END AS red FROM g)
+    SELECT image, kind, count_if(kept) AS kept, sum(red)::BIGINT AS red FROM s GROUP BY 1, 2"""
+)
+def spoilt_products(spark: SparkSession, at: str) -> DataFrame:
+    """Images as products, every third an outer garment: each spoilt in the way dealt to it, what of it is kept and the sum of its red."""
+    px = _pixels(spark, at)
+    bank = px.select("image").distinct().withColumn("outer", F.col("image") % 3 == 0)
+    made = controls.spoilt(px, controls.dealt(bank, 5), 5)
+    return made.groupBy("image", "kind").agg(F.count_if("kept").alias("kept"), F.sum("r").alias("red"))
+
+
+@query(
+    f"""WITH RECURSIVE {_GRID}, s AS (SELECT image, median(r) AS br, median(g) AS bgr, median(b) AS bb FROM px JOIN sz USING (image) WHERE y = 0 OR x = 0 OR y = h - 1 OR x = w - 1 GROUP BY 1),
+      fg AS (SELECT image, y, x, sqrt(pow(r - br, 2) + pow(g - bgr, 2) + pow(b - bb, 2)) > 150 AS f FROM px JOIN s USING (image)), bg AS (SELECT image, y, x FROM fg WHERE NOT f),
+      outside(image, y, x) AS (SELECT bg.* FROM bg JOIN sz USING (image) WHERE y = 0 OR x = 0 OR y = h - 1 OR x = w - 1 UNION SELECT bg.image, bg.y, bg.x FROM outside o JOIN bg ON bg.image = o.image AND abs(bg.y - o.y) + abs(bg.x - o.x) = 1),
+      m AS (SELECT image, y, x FROM fg WHERE f OR NOT EXISTS (FROM outside o WHERE o.image = fg.image AND o.y = fg.y AND o.x = fg.x)),
+      reach(image, y, x, root) AS (SELECT image, y, x, y * 1000 + x FROM m UNION SELECT m.image, m.y, m.x, root FROM reach r JOIN m ON m.image = r.image AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1),
+      parts AS (SELECT image, root, count(*) AS area FROM (SELECT image, y, x, min(root) AS root FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2),
+      ranked AS (SELECT image, area, row_number() OVER (PARTITION BY image ORDER BY area DESC, root) - 1 AS item FROM parts)
+    SELECT image, item, area, round(area / (h * w), 4)::DOUBLE AS score FROM ranked JOIN sz USING (image) WHERE item < 12"""
+)
+def plain_ground_items(spark: SparkSession, at: str) -> DataFrame:
+    """The twelve largest things of each image that lie far from its edge's colour, holes filled."""
+    items, _ = controls.plain_items(_pixels(spark, at), side=20, threshold=150.0)
+    return items.select("image", F.col("item").cast("long").alias("item"), "area", r(F.col("score")).alias("score"))
+
+
+_LINE_VECTOR = "[l_quantity::DOUBLE / 50, l_discount::DOUBLE * 10, l_tax::DOUBLE * 10, (l_extendedprice % 97)::DOUBLE / 97]"
+
+
+@query(
+    f"""WITH i AS (SELECT l_orderkey AS file, l_linenumber AS item, {_LINE_VECTOR} AS v FROM lineitem),
+      p AS (SELECT a.k, a.file, a.item, b.item = a.item AS own, {_COS.format('a.v', 'b.v')} AS s FROM (SELECT row_number() OVER () AS k, file, item, list_reverse(v) AS v FROM i) a JOIN i b USING (file)),
+      m AS (SELECT k, file, item, CASE WHEN count(*) FILTER (NOT own) = 0 THEN 1.0 ELSE max(s) FILTER (own) - max(s) FILTER (NOT own) END AS margin FROM p GROUP BY 1, 2, 3)
+    SELECT file, item, round(max(margin), 4) + 0.0 AS margin FROM m GROUP BY 1, 2"""
+)
+def margins_in_photos(spark: SparkSession, at: str) -> DataFrame:
+    """Lines as garments of an order's photo, each with a result that is its own numbers read backwards: how much nearer that is to it than to the others."""
+    v = F.array(F.col("l_quantity").cast("double") / 50, F.col("l_discount").cast("double") * 10, F.col("l_tax").cast("double") * 10, (F.col("l_extendedprice") % 97).cast("double") / 97)
+    items = t(spark, at, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("item"), v.alias("v"))
+    found = metrics.margin_in_photo(items.withColumn("v", F.reverse("v")), items, "file", "item", "v")
+    return found.groupBy("file", "item").agg(r(F.max("margin")).alias("margin"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS file, l_linenumber AS ann, l_quantity * 200 AS area, ['tie', 'belt', 'scarf', 'bag, wallet', 'hat'][(l_partkey % 5 + 1)::INT] AS category, l_tax = 0.08 AS crowd FROM lineitem),
+      k AS (SELECT *, CASE category WHEN 'bag, wallet' THEN 'bag' ELSE category END AS kind FROM a WHERE NOT crowd AND area >= CASE category WHEN 'tie' THEN 1500 WHEN 'belt' THEN 1200 WHEN 'scarf' THEN 4000 WHEN 'bag, wallet' THEN 6000 END)
+    SELECT kind, file, ann FROM k QUALIFY row_number() OVER (PARTITION BY kind ORDER BY file, ann) <= 25"""
+)
+def accessory_notes(spark: SparkSession, at: str) -> DataFrame:
+    """Lines as annotations: the first 25 accessories of each kind that are large enough."""
+    names = F.element_at(F.array(*map(F.lit, (*controls.ACCESSORIES, "hat"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    notes = t(spark, at, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ann"), names.alias("category"), (F.col("l_quantity") * 200).alias("area"), (F.col("l_tax") == 0.08).alias("iscrowd"))
+    return controls.accessory_notes(notes, 25).select("kind", "file", "ann")
+
+
+@query(
+    f"""WITH {_PIXELS}, q AS (SELECT image, y, x, r > 127 AS jacket, g > 127 AS top, b > 127 AS hidden FROM px)
+    SELECT image, count_if(jacket) AS jacket, count_if(top) AS top, count_if(hidden) AS hidden, count_if(jacket AND top) AS covered FROM q GROUP BY 1"""
+)
+def packed_masks(spark: SparkSession, at: str) -> DataFrame:
+    """Each image read as three masks, one a channel."""
+    px = _pixels(spark, at)
+    return controls.case_masks(px.select("image", "y", "x"), px).groupBy("image").agg(*(F.count_if(c).alias(c) for c in ("jacket", "top", "hidden")), F.count_if(F.col("jacket") & F.col("top")).alias("covered"))
