@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,31 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What a table may weigh that goes to every task, and the share of the rows (one in so many) from which a key is hot.
+BROADCAST_BYTES, HOT_SHARE, SALTS = 8 << 20, 1000, 32
+
+
+def with_small(rows: DataFrame, small: DataFrame, on: dict[str, str], weight: Column, salt: Column) -> DataFrame:
+    """rows left-joined to a table of one row a key that is usually small; on: its key of each column of rows.
+
+    ``weight`` is a row's bytes. Up to BROADCAST_BYTES in all, summed over the rows themselves, the table is broadcast as it is and rows stay where they
+    are. Beyond that both meet in sort-merge joins: keys with more than one in HOT_SHARE of the rows (so fewer than that many keys) in SALTS parts by
+    ``salt``, the rest by key alone, so that nothing is repeated for them. small should be stored, as it is read more than once.
+    """
+    same = lambda names: reduce(lambda a, b: a & b, (F.col(k) == F.col(n) for k, n in zip(on, names, strict=True)))
+    if (small.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), same(on.values()), "left")
+    taken = [*rows.columns, *small.columns]
+    n, part, of, *keys = fresh(taken, "n", "part", "of", *(f"key{i}" for i in range(len(on))))
+    counts = stored(rows.groupBy(*(F.col(k).alias(h) for k, h in zip(on, keys, strict=True))).agg(F.count(F.lit(1)).alias(n)), "counts")
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col(n) * HOT_SHARE > total).select(*keys))
+    in_small = reduce(lambda a, b: a & b, (F.col(s) == F.col(h) for s, h in zip(on.values(), keys, strict=True)))
+    spread = small.join(hot, in_small, "left_semi").withColumn(of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    crowded = rows.join(hot, same(keys), "left_semi").withColumn(part, F.pmod(salt, F.lit(SALTS))).join(spread, same(on.values()) & (F.col(part) == F.col(of)), "left").drop(part, of)
+    return crowded.union(rows.join(hot, same(keys), "left_anti").join(small.hint("merge"), same(on.values()), "left"))
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """Column names like these that clash with none that is taken."""
     used, out = {c.lower() for c in taken}, []

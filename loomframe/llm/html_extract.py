@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, stored, whole
+from .common import fresh, stored, whole, with_small
 from .url_filter import host_of
 
 #: Elements that hold no main text.
@@ -68,7 +68,6 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _WORDS = re.compile(r"[A-Za-z]+")
 _ALL = (1 << 64) - 1
 HEADINGS = frozenset(("h1", "h2"))
-SALTS = 32  # a host's pages meet its template in so many tasks
 
 
 @dataclass
@@ -324,8 +323,8 @@ def templates(pages: DataFrame, share: float, least_pages: int) -> DataFrame:
     bodies = stored(_bodies(pages), "bodies")
     valid = classes_of(bodies, share, least_pages)
     known = stored(valid.groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("tokens")), "classes")
-    salted = known.select(F.col("host").alias("_of"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), "tokens")
-    met = bodies.join(salted, (F.col("host") == F.col("_of")) & (F.pmod("body", F.lit(SALTS)) == F.col("_salt"))).select("host", "elements", "blocks", "tokens")
+    weight = F.length("_of") + 16 * F.size("tokens") + 64
+    met = with_small(bodies, known.withColumnRenamed("host", "_of"), {"host": "_of"}, weight, F.col("body")).where(F.col("tokens").isNotNull()).select("host", "elements", "blocks", "tokens")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, dict[int, int]] = {}
@@ -396,12 +395,13 @@ def extract(
     replaced, all others are kept whatever they are called. An empty table gives an empty table.
     """
     names = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    host, of, salt, found_in, source_in = fresh(pages.columns, "host", "of", "salt", "template", "html")
+    host, of, found_in, source_in = fresh(pages.columns, "host", "of", "template", "html")
     url, raw = host_of(whole(url_col)), whole(html_col).cast("string")
     found = stored(templates(pages.select(url.alias("host"), raw.alias("html")), share, least_pages), "templates")
-    sent = found.select(F.col("host").alias(of), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt), F.struct("constants", "menus", "main").alias(found_in))
+    sent = found.select(F.col("host").alias(of), F.struct("constants", "menus", "main").alias(found_in))
     rows = pages.select(*names, raw.alias(source_in), url.alias(host))
-    joined = rows.join(sent, (F.col(host) == F.col(of)) & (F.pmod(F.xxhash64(source_in), F.lit(SALTS)) == F.col(salt)), "left").select(*names, source_in, host, found_in)
+    weight = F.length(of) + 8 * (F.size(F.col(found_in)["constants"]) + F.size(F.col(found_in)["menus"])) + 64
+    joined = with_small(rows, sent, {host: of}, weight, F.xxhash64(source_in)).select(*names, source_in, host, found_in)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Template | None] = {}

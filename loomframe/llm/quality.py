@@ -35,11 +35,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, stored, whole
+from .common import SPACE, cut, stored, whole, with_small
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-SALTS = 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 _UPPER, _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_bangs")
@@ -182,9 +181,9 @@ def judge(measured: DataFrame, width: float = 6.0, clean_quantile: float = 0.1,
     """
     measured = measured.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     found = limits(measured.where(~F.col("base_failed")), width, clean_quantile, k, prior, z)
-    salted = found.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"), F.col("limits").alias("_limits"), F.col("n").cast("double").alias("_n"))
-    salt = F.pmod(F.xxhash64(*COUNTS), F.lit(SALTS))  # a hot group meets its limits in so many tasks
-    joined = measured.join(salted, (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")) & (salt == F.col("_salt")), "left")
+    sent = found.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.col("limits").alias("_limits"), F.col("n").cast("double").alias("_n"))
+    weight = F.length("_l") + F.length("_s") + 16 * len(MEASURES) + 64
+    joined = with_small(measured, sent, {"_lang": "_l", "_source": "_s"}, weight, F.xxhash64(*COUNTS))
     rules = []
     for m in MEASURES:
         low, high, under = F.col("_limits")[f"low_{m.name}"], F.col("_limits")[f"high_{m.name}"], F.col(m.under).cast("double")

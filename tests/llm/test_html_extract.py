@@ -136,3 +136,20 @@ def test_the_template_decides_before_tags(spark):
     assert got[3] == f"Title 3\n{words(3, 1)}\n{words(3, 2)}" and got[99] == "another kind of page"
     alone = main_text(page(3))
     assert alone.endswith("Seen 21 times")
+
+
+def test_heavy_templates_are_merged_and_the_texts_stay(spark, monkeypatch):
+    """Many hosts, one of which holds a third of the pages: with templates too heavy to broadcast the texts are the same."""
+    from loomframe.llm import common
+
+    few, hot = plain_pages(random.Random(5), hosts=12, pages=10), plain_pages(random.Random(6), hosts=1, pages=60)
+    rows = few[0] + [(1000 + i, u.replace("h0.org", "hot.org"), h) for i, u, h in hot[0]]
+    texts = few[1] | {1000 + i: x for i, x in hot[1].items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract(df).collect()} == texts
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    got = extract(df)
+    assert "BroadcastHashJoin LeftOuter" not in got._jdf.queryExecution().executedPlan().toString()
+    found = got.collect()
+    assert {r["page_id"]: r["text"] for r in found} == texts and len(found) == len(rows)

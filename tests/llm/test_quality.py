@@ -161,3 +161,19 @@ def test_chance_by_size_of_group(spark):
         mean = -F.log(1 - at_most(F.lit(0.0), F.lit(float(n)), 5.0)) * 6
         allowed.append(next(c for c in range(1, 60) if row.select(beyond_chance(F.lit(float(c)), mean, F.lit(float(n)), 5.0)).first()[0]))
     assert allowed[0] > allowed[1] > allowed[2] and allowed[2] <= 4
+
+
+def test_heavy_limits_are_merged_and_decide_alike(spark, monkeypatch):
+    """Limits too heavy to broadcast: with a hot group among small ones the same documents go."""
+    from loomframe.llm import common
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(600):
+        lang, source = ("en", "hot") if i % 3 else (rng.choice(["de", "en"]), f"s{i % 40}")
+        rows.append((i, re.sub(" ", "*** ", clean(rng)) if i % 4 == 0 else clean(rng), lang, source, "clash"))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = assess(spark.createDataFrame(rows, SCHEMA))
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    found = got.collect()
+    assert len(found) == 600 and {r["doc_id"] for r in found if not r["kept"]} == set(range(0, 600, 4))
