@@ -409,7 +409,9 @@ def auroc_rank_sum(spark: SparkSession, at: str) -> DataFrame:
 def paired_mcnemar(spark: SparkSession, at: str) -> DataFrame:
     rows = t(spark, at, "labels").join(t(spark, at, "documents").select("doc_id", "lang"), "doc_id")
     c = rows.groupBy("lang").agg(F.count_if(F.expr("quality = 1 and toxic = 0")).alias("a_only"), F.count_if(F.expr("quality = 0 and toxic = 1")).alias("b_only"))
-    return c.select("lang", "a_only", "b_only", r(F.log10(metrics.mcnemar(F.col("a_only"), F.col("b_only"))), 6).alias("log10_p"))
+    p = metrics.mcnemar(F.col("a_only"), F.col("b_only"))
+    log = F.when(p == 0, float("-inf")).otherwise(F.log10(p))  # where p is less than a double can be; Spark's own logarithm of zero is null
+    return c.select("lang", "a_only", "b_only", r(log, 6).alias("log10_p"))
 
 
 @query

@@ -65,3 +65,19 @@ def test_greedy_diversity(spark):
     assert got == {(1, 1): ["a", "b", "s"], (1, 2): ["d", "c", "s"], (2, 1): ["x"]}
     more = outfits.greedy_diverse(df, "context", max_reuse=2).where("context = 1").count()
     assert more == 3
+
+
+def test_paired_mcnemar_of_a_p_below_all_doubles_is_minus_infinity(spark, tmp_path):
+    """1,100 pairs that all differ one way: p is 2 ** -1099, its logarithm as the SQL has it."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    spark.range(1100).selectExpr("id doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(1100).selectExpr("id doc_id", "if(id < 1090, 'en', 'de') lang").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    for name in ("labels", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, queries()["paired_mcnemar"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(oracle_sql()["paired_mcnemar"]).fetchall())
+    assert got[1] == ("en", 1090, 0, float("-inf"))
