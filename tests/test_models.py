@@ -99,3 +99,28 @@ def test_running_sums_cross_partitions_and_null_groups(spark):
     df = spark.createDataFrame(rows, "g string, i int").repartition(7)
     got = relational.running_sums(df, ["g"], ["i"], {"n": F.lit(1), "s": F.col("i")}).collect()
     assert all(r["n_before"] == r["i"] and r["s_before"] == sum(range(r["i"])) and r["n_all"] == 50 for r in got) and len(got) == 150
+
+
+def test_heads_of_pairs_are_those_of_sha1(monkeypatch):
+    """Numbers of all lengths, in rounds of a few: each pair once, with the hash that hashlib gives."""
+    import hashlib
+
+    import numpy as np
+
+    from loomframe.functions import hashing
+
+    monkeypatch.setattr(hashing, "_AT_ONCE", 5)
+    left, right = [0, 7, -3, 12, 1234567, 2**62], [*range(8), *range(95, 105), 10**9, -(2**62)]
+    got = {}
+    for keys, others, heads in hashing.pair_heads(np.array(left), np.array(right)):
+        got |= {(a, b): int(h) for a, row in zip(keys.tolist(), heads, strict=True) for b, h in zip(others.tolist(), row.tolist(), strict=True)}
+    assert got == {(a, b): int(hashlib.sha1(f"{a}|{b}".encode()).hexdigest()[:8], 16) for a in left for b in right}
+
+
+def test_a_group_of_many_pairs_is_many_tasks(spark):
+    """One group of four blocks: small as their keys are, Spark does not put them together into one task."""
+    rows = spark.range(40).selectExpr("1 g", "id l", "id r")
+    found = relational.top_by_pair_hash(rows, rows, "g", "l", "r", 2, block=10)
+    assert found.count() == 80
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FlatMapCoGroups" not in plan
