@@ -8,8 +8,9 @@ columns that tell masks apart, and a table holds as many masks as it likes.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +20,7 @@ from .relational import cut
 KEYS = ("image",)
 RUN = ("line", "a", "b")
 _STEP = 1 << 32  # of a line, in the number of a run
+BAND = 256  # lines that are joined in one task
 
 
 def runs_of(pixels: DataFrame, flag: Column, keys: Sequence[str] = KEYS, line: str = "y", at: str = "x") -> DataFrame:
@@ -155,20 +157,84 @@ def outline(runs: DataFrame, size: DataFrame, keys: Sequence[str] = KEYS) -> Dat
 # --- components and holes ------------------------------------------------------------------------------
 
 
-def labelled(runs: DataFrame, keys: Sequence[str] = KEYS, connect: int = 8) -> DataFrame:
+def _near(lines: np.ndarray, a: np.ndarray, b: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs touch which of the line below: pairs of places. lines ascend, runs of a line are apart and ascend; gap is 0 if corners count, else 1."""
+    low, width = int(a.min()), int(b.max() - a.min()) + 3
+    place = lambda line, at: (line - lines[0]) * width + (at - low) + 1
+    first = np.searchsorted(place(lines, b), place(lines + 1, a + gap))
+    count = np.maximum(np.searchsorted(place(lines, a), place(lines + 1, b - gap), side="right") - first, 0)
+    above = np.repeat(np.arange(len(lines)), count)
+    return above, np.arange(len(above)) + np.repeat(first - np.cumsum(count) + count, count)
+
+
+def _least(n: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the least one that the edges join it to."""
+    label = np.arange(n)
+    while len(one):
+        u, v = label[one], label[two]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+        apart = label[one] != label[two]
+        one, two = one[apart], two[apart]
+    return label
+
+
+def _joined_within(runs: DataFrame, keys: Sequence[str], gap: int, band: int) -> DataFrame:
+    """runs with _band (so many lines each), node, and _part: the first node of their component within the band. A task holds a band of a mask, and reads the others as a stream."""
+    import pyarrow as pa
+
+    w = Window.partitionBy(*keys, "_band").orderBy("line", "a")
+    rows = runs.select(*keys, *(F.col(c).cast("long").alias(c) for c in RUN)).dropna(subset=list(keys)).withColumn("_band", F.floor(F.col("line") / band))
+    rows = rows.withColumn("node", F.col("line") * _STEP + F.col("a")).withColumn("_part", F.when(F.row_number().over(w) == 1, F.col("node")))  # set where a band begins
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            lines, a, b, node = (table[c].to_numpy() for c in (*RUN, "node"))
+            begins = table["_part"].is_valid().to_numpy()
+            # bands one below another, three lines apart, so that none touches the next
+            own = np.flatnonzero(begins)
+            height = np.append(lines[own[1:] - 1] - lines[own[:-1]] + 3, 0)
+            shift = np.concatenate(([0], np.cumsum(height)[:-1])) - lines[own]
+            part = node[_least(len(lines), *_near(lines + shift[np.cumsum(begins) - 1], a, b, gap))]
+            yield from table.set_column(table.schema.get_field_index("_part"), "_part", pa.array(part)).to_batches()
+
+        for batch in batches:
+            begins = np.flatnonzero(batch.column(batch.schema.get_field_index("_part")).is_valid().to_numpy(zero_copy_only=False))
+            last = int(begins[-1]) if len(begins) else 0
+            if last:
+                held.append(batch.slice(0, last))
+            if held and len(begins):
+                yield from closed()
+                held.clear()
+            held.append(batch.slice(last))
+        if held:
+            yield from closed()
+
+    return rows.mapInArrow(fold, rows.schema)
+
+
+def labelled(runs: DataFrame, keys: Sequence[str] = KEYS, connect: int = 8, band: int = BAND) -> DataFrame:
     """united runs with ``part``, the number of their component: that of its first run in reading order.
 
-    Runs of neighbouring lines that touch (at a corner too if connect is 8) are joined. Labels spread by union of least numbers: in each round a run takes
+    Runs of neighbouring lines that touch (at a corner too if connect is 8) are joined: first within bands of lines, each in a task. What is joined there is a
+    node for what follows between the bands, if any meet. There labels spread by union of least numbers: in each round a node takes
     the least of its own and its neighbours', then that one's; the rounds grow with the logarithm of a component's
-    length in runs, and each is written to the shared folder. All masks of the table go through the same rounds.
+    length in bands, and each is written to the shared folder. All masks of the table go through the same rounds.
     """
-    number = (F.col("line").cast("long") * _STEP + F.col("a")).alias("node")
-    nodes = cut(runs.select(*keys, *RUN, number))
-    below = nodes.select(*keys, (F.col("line") - 1).alias("line"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("node").alias("other"))
-    touch = "a <= _b AND _a <= b" if connect == 8 else "a < _b AND _a < b"
-    edges = nodes.join(below, [*keys, "line"]).where(touch).select(*keys, "node", "other")
+    gap = 0 if connect == 8 else 1
+    nodes = cut(_joined_within(runs, keys, gap, band))
+    top = nodes.where(F.col("line") == F.col("_band") * band).select(*keys, (F.col("line") - 1).alias("line"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("_part").alias("other"))
+    bottom = nodes.where(F.col("line") == (F.col("_band") + 1) * band - 1).select(*keys, *RUN, F.col("_part").alias("node"))
+    edges = cut(bottom.join(top, [*keys, "line"]).where(F.expr(f"a + {gap} <= _b AND _a + {gap} <= b")).select(*keys, "node", "other").distinct())
+    out = nodes.select(*keys, *(F.col(c).cast("int").alias(c) for c in RUN), "_part")
+    if edges.isEmpty():
+        return out.withColumnRenamed("_part", "part")
     both = cut(edges.unionByName(edges.select(*keys, F.col("other").alias("node"), F.col("node").alias("other"))))
-    labels, total = nodes.select(*keys, "node", F.col("node").alias("part")), None
+    labels, total = both.select(*keys, "node", F.col("node").alias("part")).distinct(), None
     while True:
         near = both.join(labels, [*keys, "node"]).select(*keys, F.col("other").alias("node"), "part")
         least = near.unionByName(labels).groupBy(*keys, "node").agg(F.min("part").alias("part"))
@@ -176,7 +242,8 @@ def labelled(runs: DataFrame, keys: Sequence[str] = KEYS, connect: int = 8) -> D
         labels = cut(jump.select(*keys, "node", F.least("part", "_next").alias("part")))
         now = labels.agg(F.sum(F.col("part").cast("decimal(38,0)"))).first()[0]  # labels only fall: an equal sum is no change
         if now == total:
-            return nodes.join(labels, [*keys, "node"]).select(*keys, *RUN, "part")
+            found = labels.withColumnRenamed("node", "_part")
+            return out.join(found, [*keys, "_part"], "left").select(*keys, *RUN, F.coalesce("part", "_part").alias("part"))
         total = now
 
 

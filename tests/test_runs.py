@@ -163,3 +163,26 @@ def test_polygons_and_run_lengths(spark):
     named = {"a": rng.random((7, 9)) < 0.5, "b": np.ones((4, 6), bool), "c": np.zeros((3, 3), bool)}
     packed = spark.createDataFrame([(n, masks.encode(m), m.shape[0]) for n, m in named.items()], "image string, counts array<int>, h int")
     same(runs.turned(runs.runs_of_counts(packed, "counts", "h")), named)
+
+
+def test_components_within_and_across_bands(spark):
+    """Noise of three densities, lines below zero too: the same components whether a band holds the mask, a few lines of it, or one."""
+    import random
+
+    draw = random.Random(3)
+    there = {(i, y, x) for i in range(3) for y in range(-2, 19) for x in range(13) if draw.random() < (0.35, 0.5, 0.62)[i]}
+    table = runs.runs_of(spark.createDataFrame(sorted(there), "image long, y int, x int"), F.lit(True))
+    for connect in (8, 4):
+        first: dict = {}
+        for start in sorted(there):
+            todo = [start] if start not in first else []
+            first.setdefault(start, start)
+            while todo:
+                i, y, x = todo.pop()
+                for q in ((i, y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if connect == 8 or not (dy and dx)):
+                    if q in there and q not in first:
+                        first[q] = start
+                        todo.append(q)
+        for band in (256, 4, 1):
+            got = {(r["image"], r["line"], x): r["part"] for r in runs.labelled(table, connect=connect, band=band).collect() for x in range(r["a"], r["b"])}
+            assert got == {p: (y << 32) + x for p, (_, y, x) in first.items()}
