@@ -157,10 +157,14 @@ def visible_share(pixels: DataFrame, visible: Column, torso: Column) -> DataFram
 def stacked(placed: DataFrame) -> DataFrame:
     """(scene, item, full, visible): pixels that each placed item covers, and those where none lies on top of it.
 
-    placed: scene, item, ord (0 lies lowest), y, x.
+    placed: scene, item, ord (0 lies lowest), y, x; an item that is on a pixel several times covers it once. Pixels don't meet what lies on
+    top of them: the tops of an item are counted by themselves, and meet its count. Rows dealt out by scene and item before they
+    become pixels are counted where they are.
     """
-    top = placed.groupBy("scene", "y", "x").agg(F.max(F.struct("ord", "item"))["item"].alias("_top"))
-    return placed.join(top, ["scene", "y", "x"]).groupBy("scene", "item").agg(F.count(F.lit(1)).alias("full"), F.count_if(F.col("item") == F.col("_top")).alias("visible"))
+    top = placed.groupBy("scene", "y", "x").agg(F.max(F.struct("ord", "item"))["item"].alias("item"))
+    visible = top.groupBy("scene", "item").agg(F.count(F.lit(1)).alias("visible"))
+    full = placed.select("scene", "item", "y", "x").distinct().groupBy("scene", "item").agg(F.count(F.lit(1)).alias("full"))
+    return full.join(visible, ["scene", "item"], "left").na.fill(0, ["visible"])
 
 
 def pasted(below: DataFrame, above: DataFrame) -> DataFrame:

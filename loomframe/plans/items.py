@@ -601,8 +601,9 @@ def stacked_items(spark: SparkSession, at: str) -> DataFrame:
     """Lines as squares laid on each other: how much of each item lies free."""
     lines = t(spark, at, "lineitem").select((F.col("l_orderkey") % 50).alias("scene"), F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("ord"), (F.col("l_suppkey") % 7).cast("int").alias("y0"), (F.col("l_linenumber") % 7).alias("x0"))
     three = F.array(*(F.lit(k) for k in range(3)))
-    cells = lines.select("*", F.explode(three).alias("dy")).select("*", F.explode(three).alias("dx")).select("scene", "item", "ord", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
-    found = pixels.stacked(cells.groupBy("scene", "item", "y", "x").agg(F.max("ord").alias("ord")))
+    dealt = lines.repartition("scene", "item")  # a line is nine cells: it is dealt out before
+    cells = dealt.select("*", F.explode(three).alias("dy")).select("*", F.explode(three).alias("dx")).select("scene", "item", "ord", (F.col("y0") + F.col("dy")).alias("y"), (F.col("x0") + F.col("dx")).alias("x"))
+    found = pixels.stacked(cells)
     return found.select("scene", "item", F.col("full").alias("full_px"), F.col("visible").alias("visible_px"))
 
 

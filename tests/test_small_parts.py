@@ -74,3 +74,11 @@ def test_prompts_of_every_style(spark):
     assert "the top shown bright" in got["dim"][3] and "the shirt shown bright" in got["dimfine"][3] and not any("{" in x for v in got.values() for x in v)
     peel = spark.range(1).select(checks.peel_prompt(F.lit("coat"), "natural")).first()[0]
     assert peel.startswith("Remove the coat marked") and peel.endswith(checks.MARK_NOTE)
+
+
+def test_an_item_covers_a_pixel_once(spark):
+    from loomframe.operators import pixels
+
+    rows = [(1, 7, 0, 0, 0), (1, 7, 2, 0, 0), (1, 7, 0, 0, 1), (1, 8, 1, 0, 0), (1, 8, 1, 0, 1)]
+    got = pixels.stacked(spark.createDataFrame(rows, "scene int, item int, ord int, y int, x int")).collect()
+    assert {(r["item"], r["full"], r["visible"]) for r in got} == {(7, 2, 1), (8, 2, 1)}
