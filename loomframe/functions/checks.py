@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,30 +160,42 @@ def json_violations(text: Column, spec: dict) -> Column:
     spec: key -> {"type": "string" | "integer" | "array", "enum", "minimum", "maximum", "minItems", "maxItems", "required"}.
     A text that is no object has one violation. JSON true is no integer.
     """
-    v = F.try_parse_json(text)
-    keys = F.json_object_keys(text)
-    out = [F.when(~F.coalesce(F.array_contains(keys, k), F.lit(False)), F.lit(f"{k}: missing")) for k, s in spec.items() if s.get("required", True)]
-    extra = F.transform(F.filter(keys, lambda k: ~k.isin(*spec)), lambda k: F.concat(k, F.lit(": unknown")))
-    for k, s in spec.items():
-        there, value = F.array_contains(keys, k), F.try_variant_get(v, f"$['{k}']", "variant")
-        kind = F.schema_of_variant(value)
-        plain = F.try_variant_get(v, f"$['{k}']", "string")
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # a value with several uses, worked out once a row
+    read = lambda doc: F.struct(F.try_parse_json(doc).alias("v"), F.json_object_keys(doc).alias("keys"))
+    return once(text, lambda doc: once(read(doc), lambda d: _violations(d["v"], d["keys"], spec, once)))
+
+
+def _bad_value(k: str, s: dict) -> Callable[[Column], Column]:
+    """What is wrong with a value (kind, value) of a key that is there, by the key's own spec."""
+
+    def bad(x: Column) -> Column:
+        kind, value = x["kind"], x["value"]
         if s["type"] == "string":
             bad_type = kind != "STRING"
             checks = [(bad_type, "no string")]
             if "enum" in s:
-                checks.append((~bad_type & ~plain.isin(*s["enum"]), "value"))
+                checks.append((~bad_type & ~value.isin(*s["enum"]), "value"))
         elif s["type"] == "integer":
-            number = F.try_variant_get(v, f"$['{k}']", "long")
-            checks = [((kind != "BIGINT") | ~number.between(s["minimum"], s["maximum"]), "range")]
+            checks = [((kind != "BIGINT") | ~value.between(s["minimum"], s["maximum"]), "range")]
         else:
-            members = F.try_variant_get(v, f"$['{k}']", "array<string>")
             is_array = kind.startswith("ARRAY")
-            checks = [(~is_array, "no array"), (is_array & ((F.size(members) > s.get("maxItems", 1 << 30)) | (F.size(members) < s.get("minItems", 0))), "size")]
+            checks = [(~is_array, "no array"), (is_array & ((F.size(value) > s.get("maxItems", 1 << 30)) | (F.size(value) < s.get("minItems", 0))), "size")]
             if "enum" in s:
-                checks.append((is_array & F.exists(members, lambda x: x.isNull() | ~x.isin(*s["enum"])), "members"))
-        out += [F.when(there & F.coalesce(c, F.lit(True) if name.startswith("no") else F.lit(False)), F.lit(f"{k}: {name}")) for c, name in checks]
-    found = F.concat(F.array_compact(F.array(*out)), F.coalesce(extra, F.array().cast("array<string>")))
+                checks.append((is_array & F.exists(value, lambda m: m.isNull() | ~m.isin(*s["enum"])), "members"))
+        return F.array(*(F.when(F.coalesce(c, F.lit(True) if name.startswith("no") else F.lit(False)), F.lit(f"{k}: {name}")) for c, name in checks))
+
+    return bad
+
+
+def _violations(v: Column, keys: Column, spec: dict, once: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    out = [F.array(*(F.when(~F.coalesce(F.array_contains(keys, k), F.lit(False)), F.lit(f"{k}: missing")) for k, s in spec.items() if s.get("required", True))).cast("array<string>")]
+    extra = F.transform(F.filter(keys, lambda k: ~k.isin(*spec)), lambda k: F.concat(k, F.lit(": unknown")))
+    for k, s in spec.items():
+        kind = F.schema_of_variant(F.try_variant_get(v, f"$['{k}']", "variant"))
+        wanted = {"string": "string", "integer": "long"}.get(s["type"], "array<string>")
+        value = F.try_variant_get(v, f"$['{k}']", wanted)
+        out.append(F.when(F.array_contains(keys, k), once(F.struct(kind.alias("kind"), value.alias("value")), _bad_value(k, s))).otherwise(F.array().cast("array<string>")))
+    found = F.concat(F.array_compact(F.concat(*out)), F.coalesce(extra, F.array().cast("array<string>")))
     return F.when(keys.isNull(), F.array(F.lit("no object"))).otherwise(found)
 
 

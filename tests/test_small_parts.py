@@ -82,3 +82,15 @@ def test_an_item_covers_a_pixel_once(spark):
     rows = [(1, 7, 0, 0, 0), (1, 7, 2, 0, 0), (1, 7, 0, 0, 1), (1, 8, 1, 0, 0), (1, 8, 1, 0, 1)]
     got = pixels.stacked(spark.createDataFrame(rows, "scene int, item int, ord int, y int, x int")).collect()
     assert {(r["item"], r["full"], r["visible"]) for r in got} == {(7, 2, 1), (8, 2, 1)}
+
+
+def test_a_document_is_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from loomframe.functions import checks
+
+    spec = {"a": {"type": "integer", "minimum": 1, "maximum": 2}, "b": {"type": "array", "enum": ["x"], "maxItems": 1}, "c": {"type": "string", "required": False}}
+    docs = spark.createDataFrame([('{"a": 3, "b": ["x", "y"], "d": 1}',), ('{"b": "x", "c": 5}',), ("[1]",), (None,), ('{"a": 2, "b": []}',)], "t string")
+    found = docs.select(checks.json_violations(F.col("t"), spec).alias("v"))
+    assert found._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
+    assert [r["v"] for r in found.collect()] == [["a: range", "b: size", "b: members", "d: unknown"], ["a: missing", "b: no array", "c: no string"], ["no object"], ["no object"], []]
