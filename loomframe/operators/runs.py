@@ -339,21 +339,26 @@ def filled(polygons: DataFrame, size: DataFrame, keys: Sequence[str] = KEYS, poi
     pixels are those nearest to it along its longer side.
     """
     xy = F.transform(F.sequence(F.lit(0), F.expr(f"size({points}) div 2 - 1")), lambda i: F.struct(F.bround(F.get(points, 2 * i)).cast("int").alias("x"), F.bround(F.get(points, 2 * i + 1)).cast("int").alias("y")))
-    rows = polygons.where(F.size(points) >= 6).select(*keys, "ring", xy.alias("_p")).select(*keys, "ring", "_p", F.posexplode("_p").alias("_i", "_from"))
+    frame = ("lines", "length")  # met before there are edges: what follows stays where its mask is
+    rows = polygons.where(F.size(points) >= 6).join(size, list(keys)).select(*keys, *frame, "ring", xy.alias("_p")).select(*keys, *frame, "ring", "_p", F.posexplode("_p").alias("_i", "_from"))
     to = F.get("_p", (F.col("_i") + 1) % F.size("_p"))
-    edges = rows.select(*keys, "ring", "_i", F.col("_from.x").alias("x0"), F.col("_from.y").alias("y0"), to["x"].alias("x1"), to["y"].alias("y1"))
+    edges = rows.select(*keys, *frame, "ring", "_i", F.col("_from.x").alias("x0"), F.col("_from.y").alias("y0"), to["x"].alias("x1"), to["y"].alias("y1"))
     rise = F.col("y1") - F.col("y0")
     slope = (F.col("x1") - F.col("x0")) / rise.cast("double")
     low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    crossing = edges.where("y0 <> y1").select(*keys, F.explode(F.sequence(low, high - 1)).alias("line"), "ring", "_i", "x0", "y0", slope.alias("_m"))
+    crossing = edges.where("y0 <> y1").select(*keys, *frame, F.explode(F.sequence(low, high - 1)).alias("line"), "ring", "_i", "x0", "y0", slope.alias("_m"))
     crossing = crossing.withColumn("_x", F.col("x0") + (F.col("line") - F.col("y0")) * F.col("_m"))
     w = Window.partitionBy(*keys, "line").orderBy("_x", "ring", "_i")
     paired = crossing.withColumn("_k", F.row_number().over(w)).withColumn("_to", F.lead("_x").over(w)).where("_k % 2 = 1")
-    inside = paired.select(*keys, "line", F.ceil("_x").cast("int").alias("a"), (F.floor("_to") + 1).cast("int").alias("b")).where("a < b")
+    inside = paired.select(*keys, *frame, "line", F.ceil("_x").cast("int").alias("a"), (F.floor("_to") + 1).cast("int").alias("b")).where("a < b")
     run = F.col("x1") - F.col("x0")
-    steps = F.greatest(F.abs(run), F.abs(rise))
-    drawn = edges.select(*keys, F.explode(F.sequence(F.lit(0), steps)).alias("_k"), "x0", "y0", run.alias("_dx"), rise.alias("_dy"), steps.alias("_n"))
-    part = lambda d: F.floor(F.coalesce(F.try_divide(F.col("_k") * F.col(d), F.col("_n")), F.lit(0.0)) + 0.5).cast("int")
-    drawn = drawn.select(*keys, (F.col("y0") + part("_dy")).alias("line"), (F.col("x0") + part("_dx")).alias("a")).withColumn("b", F.col("a") + 1)
-    clipped = inside.unionByName(drawn).join(size, list(keys)).where("line >= 0 AND line < lines")
+    # an edge has a run on each of its lines: where it is steep of one pixel, else of the steps whose height is nearest to the line (halves to the line above)
+    drawn = edges.select(*keys, *frame, F.explode(F.sequence(F.lit(0), F.abs(rise))).alias("_j"), "x0", "y0", run.alias("_dx"), rise.alias("_dy"), F.abs(run).alias("_n"), F.abs(rise).alias("_d"))
+    until = lambda d: F.when(F.col("_d") == 0, F.lit(-1) if d < 0 else F.col("_n")).when(F.col("_dy") < 0, F.expr(f"cast(floor((2 * _j + {d}) * _n / (2.0D * _d)) as int)")).otherwise(F.expr(f"cast(ceil((2 * _j + {d}) * _n / (2.0D * _d)) as int)") - 1)
+    first, last = F.greatest(F.lit(0), until(-1) + 1), F.least(F.col("_n"), until(1))
+    steep = F.col("x0") + F.floor(F.coalesce(F.try_divide(F.col("_j") * F.col("_dx"), F.col("_d")), F.lit(0.0)) + 0.5).cast("int")
+    drawn = drawn.select(*keys, *frame, (F.col("y0") + F.col("_j") * F.signum("_dy").cast("int")).alias("line"), (F.col("_d") >= F.col("_n")).alias("_steep"), steep.alias("_x"), "x0", F.signum("_dx").cast("int").alias("_s"), first.alias("_first"), last.alias("_last"))
+    ends = [F.col("x0") + F.col("_s") * F.col(c) for c in ("_first", "_last")]
+    drawn = drawn.select(*keys, *frame, "line", F.when(F.col("_steep"), F.col("_x")).otherwise(F.least(*ends)).alias("a"), (F.when(F.col("_steep"), F.col("_x")).otherwise(F.greatest(*ends)) + 1).alias("b"))
+    clipped = inside.unionByName(drawn).where("line >= 0 AND line < lines")
     return united(clipped.select(*keys, "line", F.greatest("a", F.lit(0)).alias("a"), F.least("b", "length").alias("b")).where("a < b"), keys)

@@ -94,3 +94,23 @@ def test_a_document_is_parsed_once(spark):
     found = docs.select(checks.json_violations(F.col("t"), spec).alias("v"))
     assert found._jdf.queryExecution().analyzed().toString().count("parse_json(") == 1
     assert [r["v"] for r in found.collect()] == [["a: range", "b: size", "b: members", "d: unknown"], ["a: missing", "b: no array", "c: no string"], ["no object"], ["no object"], []]
+
+
+def test_edges_are_runs_of_their_nearest_pixels(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from loomframe.operators import runs
+
+    draw = random.Random(5)
+    edges = [(i, *(draw.randrange(12) for _ in range(4))) for i in range(150)]
+    want = set()
+    for i, *ends in edges:
+        for x0, y0, x1, y1 in (ends, ends[2:] + ends[:2]):
+            n = max(abs(x1 - x0), abs(y1 - y0))
+            want |= {(i, y0 + int((2 * k * (y1 - y0) + n) // (2 * n)) if n else y0, x0 + int((2 * k * (x1 - x0) + n) // (2 * n)) if n else x0) for k in range(n + 1)}
+    shapes = spark.createDataFrame([(i, 0, [float(v) for v in (x0, y0, x1, y1, x1, y1)]) for i, x0, y0, x1, y1 in edges], "image int, ring int, points array<double>")
+    size = shapes.select("image", F.lit(12).alias("lines"), F.lit(12).alias("length"))
+    got = {(r["image"], r["line"], x) for r in runs.filled(shapes, size).collect() for x in range(r["a"], r["b"])}
+    assert got == want
