@@ -86,6 +86,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns to ``spark.sql.shuffle.partitions``, which adaptive execution leaves as they are.
+
+    For steps that make much of few bytes: partitions are put together by their compressed size, whatever a task holds of them later.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: dict[str, Column]) -> DataFrame:
     """df with, for each weight, its sum over the rows before in the order of the group (name_before) and over the whole group (name_all).
 

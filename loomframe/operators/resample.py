@@ -2,7 +2,7 @@
 
 Everything is done along rows and then along columns. A pixel knows by arithmetic which pixels of the new
 size it has a part in, so resizing joins nothing but an image's sizes; a weighted sum over neighbours is a window
-along a row. Values may be of any number type and come back as doubles; what an image library would round is for the caller to round.
+along a row, and places between pixels meet tiles of them. Values may be of any number type and come back as doubles; what an image library would round is for the caller to round.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from pyspark.sql.window import Window
 from ..functions import color
 from . import runs
 from .pixels import RGB, boxes
-from .relational import cut
+from .relational import cut, dealt
 
 KEYS = ("image",)
 #: Side and filled share of a product photo, side and step of a model's input, limits of what counts as changed.
 SIDE, FILL, MODEL_SIDE, MODEL_STEP = 1024, 0.86, 1024, 16
 CHANGED_DELTA, CHANGED_SHARE, CHANGED_SIGMA, CHANGED_DISC = 14.0, 0.002, 1.5, 3
 LANCZOS = 4
+TILE = 24  # pixels along a side that are gathered from one array
 
 
 def sizes(pixels: DataFrame) -> DataFrame:
@@ -220,19 +221,49 @@ def changed(pixels: DataFrame, other: Sequence[str] = ("r2", "g2", "b2"), thresh
 # --- gathering -----------------------------------------------------------------------------------------
 
 
+def tile_of(place: Column) -> Column:
+    """The tile, along one side, of a place: its lower neighbour and the next one are both there."""
+    return F.floor((F.floor(place) + 1) / TILE).cast("int")
+
+
+def tiled(pixels: DataFrame, columns: dict[str, float], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, _ty, _tx, _y0, _x0, _h, _w, _at, _v_<column>): the pixels in tiles that share a line with the next ones, their values in arrays by y and x.
+
+    _at is null where no pixel is missing in the tile's frame, else it says which pixels are there. Nulls become what ``columns`` gives; a pixel that is
+    there twice counts as the sum.
+    """
+    tiles = {c: F.explode(F.array_distinct(F.array(tile_of(F.col(c) - 1), tile_of(F.col(c))))) for c in "yx"}
+    rows = pixels.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *(F.coalesce(F.col(c).cast("double"), F.lit(float(out))).alias(f"_v_{c}") for c, out in columns.items()))
+    spot = [*keys, "_ty", "_tx"]
+    rows = dealt(rows.withColumn("_ty", tiles["y"]).withColumn("_tx", tiles["x"]), *spot)
+    once = rows.groupBy(*spot, "y", "x").agg(*(F.sum(f"_v_{c}").alias(f"_v_{c}") for c in columns))
+    frame = [f(c).alias(f"_{c}{k}") for c in "yx" for k, f in ((0, F.min), (1, F.max))]
+    packed = once.groupBy(*spot).agg(*frame, F.sort_array(F.collect_list(F.struct(_code(F.col("y"), F.col("x")).alias("at"), *(f"_v_{c}" for c in columns)))).alias("_p"))
+    packed = packed.select(*spot, "_y0", "_x0", (F.col("_y1") - F.col("_y0") + 1).alias("_h"), (F.col("_x1") - F.col("_x0") + 1).alias("_w"), "_p")
+    there = F.when(F.size("_p") < F.col("_h") * F.col("_w"), F.col("_p.at"))
+    return packed.select(*spot, "_y0", "_x0", "_h", "_w", there.alias("_at"), *(F.col(f"_p._v_{c}").alias(f"_v_{c}") for c in columns))
+
+
+def _code(y: Column, x: Column) -> Column:
+    return y.cast("long") * F.lit(1 << 32) + x
+
+
 def gathered(pixels: DataFrame, wanted: DataFrame, columns: dict[str, float], keys: Sequence[str] = KEYS) -> DataFrame:
     """wanted (keys, ..., sx, sy) with the columns' values at places between pixels, bilinearly; ``columns`` says what lies outside.
 
-    Other columns of wanted must tell its rows apart. A place asks for the pixels that have a part in it only, four at most.
+    Other columns of wanted must tell its rows apart. A place goes to the one tile that has the pixels around it, and is summed up there.
     """
     rest = [c for c in wanted.columns if c not in ("sx", "sy")]
-    corner = lambda c: F.floor(c).cast("int")
+    asked = wanted.where("sx IS NOT NULL AND sy IS NOT NULL").withColumns({f"_t{c}": tile_of(F.col(f"s{c}")) for c in "xy"})
+    met = asked.join(tiled(pixels, columns, keys), [*keys, "_ty", "_tx"], "left").withColumns({f"_{c}": F.floor(f"s{c}").cast("int") for c in "xy"})
     part = {c: F.col(f"s{c}") - F.floor(f"s{c}") for c in "xy"}
-    taps = F.array(*(F.struct((corner("sx") + i).alias("x"), (corner("sy") + j).alias("y"), ((part["x"] if i else 1 - part["x"]) * (part["y"] if j else 1 - part["y"])).alias("w")) for i in (0, 1) for j in (0, 1)))
-    asked = wanted.select(*rest, F.explode(F.filter(taps, lambda p: p["w"] > 0)).alias("_p")).select(*rest, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"), F.col("_p.w").alias("_w"))
-    there = pixels.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("y").alias("_ky"), F.col("x").alias("_kx"), *(F.col(c).alias(f"_v_{c}") for c in columns))
-    on = (F.col("_y") == F.col("_ky")) & (F.col("_x") == F.col("_kx"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
-    value = lambda c, out: F.sum(F.col("_w") * F.coalesce(F.col(f"_v_{c}").cast("double"), F.lit(float(out)))).alias(c)
-    return asked.join(there, on, "left").groupBy(*rest).agg(*(value(c, out) for c, out in columns.items()))
+    places, weights, taps = [], [], [(i, j) for i in (0, 1) for j in (0, 1)]
+    for i, j in taps:
+        x, y = F.col("_x") + i, F.col("_y") + j
+        inside = (y >= F.col("_y0")) & (y < F.col("_y0") + F.col("_h")) & (x >= F.col("_x0")) & (x < F.col("_x0") + F.col("_w"))
+        at = F.when(F.col("_at").isNull(), (y - F.col("_y0")) * F.col("_w") + x - F.col("_x0")).otherwise(F.array_position("_at", _code(y, x)).cast("int") - 1)
+        places.append(F.when(inside, at).alias(f"_i{i}{j}"))
+        weights.append(((part["x"] if i else 1 - part["x"]) * (part["y"] if j else 1 - part["y"])).alias(f"_w{i}{j}"))
+    found = met.select(*rest, *(F.col(f"_v_{c}") for c in columns), *places, *weights)
+    value = lambda c, out, k: F.when(F.col(f"_w{k}") > 0, F.col(f"_w{k}") * F.coalesce(F.get(f"_v_{c}", F.col(f"_i{k}")), F.lit(float(out)))).otherwise(0.0)
+    return found.select(*rest, *(sum((value(c, out, f"{i}{j}") for i, j in taps), F.lit(0.0)).alias(c) for c, out in columns.items()))

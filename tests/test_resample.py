@@ -278,3 +278,44 @@ def test_scenes_are_drawn_alike_in_every_run_and_no_item_twice(spark):
     assert scene.count() == 3 * 32 * 32 and scene.exceptAll(again).count() == 0
     top = {(r["scene"], r["label"] - 1): r["n"] for r in scene.where("label > 0").groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert top == {(r["scene"], r["ord"]): r["visible"] for r in items.where("visible > 0").collect()}
+
+
+def test_gather_over_tiles_with_holes_and_pixels_that_are_there_twice(spark, capsys):
+    rng = np.random.default_rng(5)
+    img = rng.integers(0, 256, (30, 60)).astype(float)
+    gone = rng.random(img.shape) < 0.1
+    gone[:, 30:] = False  # some tiles are whole, others lack pixels
+    rows = [("a", y, x, float(img[y, x])) for y in range(30) for x in range(60) if not gone[y, x] and (y, x) != (3, 5)]
+    gone[3, 5] = False
+    rows += [("a", 3, 5, float(img[3, 5])), ("a", 3, 5, 1.5)]
+    img[3, 5] += 1.5  # it is there twice
+    pixels = spark.createDataFrame(rows, "image string, y int, x int, v double")
+    at = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(-2, 62, 500), rng.uniform(-2, 32, 500), strict=True))] + [(900, 4.5, 3.0), (901, 23.0, 22.5), (902, 46.5, 23.0)]
+    wanted = spark.createDataFrame([("a", *r) for r in at], "image string, k int, sx double, sy double")
+    made = resample.gathered(pixels, wanted, {"v": 7.0})
+    got = {r["k"]: r["v"] for r in made.collect()}
+    value = lambda y, x: img[y, x] if 0 <= y < 30 and 0 <= x < 60 and not gone[y, x] else 7.0
+    for k, x, y in at:
+        i, j = math.floor(x), math.floor(y)
+        u, v = x - i, y - j
+        assert got[k] == pytest.approx((1 - v) * ((1 - u) * value(j, i) + u * value(j, i + 1)) + v * ((1 - u) * value(j + 1, i) + u * value(j + 1, i + 1))), (x, y)
+    made.explain()  # a place is one row on its way, not one for each of its four pixels that are summed up again
+    assert not any("Aggregate" in line and "k#" in line for line in capsys.readouterr().out.splitlines())
+    products = pixels.withColumns({"alpha": F.lit(1.0), **dict.fromkeys("rgb", F.col("v"))})
+    where = spark.createDataFrame([(0, 0, "a", 59.0, 20.0, 30.0, 20.0)], "scene int, ord int, item string, extent double, turn double, tx double, ty double")
+    layer = {(r["y"], r["x"]): (r["r"], r["alpha"]) for r in flatlay.placed(products, where, 64).collect()}
+    a, b = math.cos(math.radians(20)), math.sin(math.radians(20))
+    seen = 0
+    for y in range(64):
+        for x in range(64):
+            sx, sy = a * (x - 30) - b * (y - 20) + 29.5, b * (x - 30) + a * (y - 20) + 14.5
+            if not (-1 < sx < 60 and -1 < sy < 30):
+                assert (y, x) not in layer
+                continue
+            i, j = math.floor(sx), math.floor(sy)
+            want, seen = 0.0, seen + 1
+            for q, w in ((i, 1 - sx + i), (i + 1, sx - i)):
+                for p, z in ((j, 1 - sy + j), (j + 1, sy - j)):
+                    want += w * z * (img[p, q] if 0 <= p < 30 and 0 <= q < 60 and not gone[p, q] else 255.0)
+            assert layer[y, x][0] == pytest.approx(want), (y, x)
+    assert seen == len(layer) > 1000
