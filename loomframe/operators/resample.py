@@ -76,8 +76,9 @@ def resized(pixels: DataFrame, size: DataFrame, columns: Sequence[str] = RGB, ho
     area: each new pixel is the mean of what it covers. linear, lanczos (a window of eight): values between the old pixels'
     centres. nearest: the value of the pixel that it begins in (flags as numbers, too).
     """
-    rows = pixels.join(size, "image").select("image", "y", "x", *columns, "lines", "length", "new_lines", "new_length")
-    wide = _along(rows, "x", "length", "new_length", ["image", "y", "lines", "new_lines"], columns, how)
+    # dealt out by lines each time: a pixel becomes several rows, and an image is not one task's
+    rows = dealt(pixels.join(size, "image").select("image", "y", "x", *columns, "lines", "length", "new_lines", "new_length"), "image", "y")
+    wide = dealt(_along(rows, "x", "length", "new_length", ["image", "y", "lines", "new_lines"], columns, how), "image", "x")
     return _along(wide, "y", "lines", "new_lines", ["image", "x"], columns, how).select("image", "y", "x", *columns)
 
 

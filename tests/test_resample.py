@@ -319,3 +319,13 @@ def test_gather_over_tiles_with_holes_and_pixels_that_are_there_twice(spark, cap
                     want += w * z * (img[p, q] if 0 <= p < 30 and 0 <= q < 60 and not gone[p, q] else 255.0)
             assert layer[y, x][0] == pytest.approx(want), (y, x)
     assert seen == len(layer) > 1000
+
+
+def test_resizing_is_dealt_out_by_lines_and_columns(spark, capsys):
+    """Not by whole images, and not in partitions that are put together by what they weigh before a pixel becomes many rows."""
+    size = spark.createDataFrame([("a", 2, 2, 5, 5)], "image string, lines int, length int, new_lines int, new_length int")
+    made = resample.resized(frame(spark, {"a": np.arange(4.0).reshape(2, 2, 1)}, ["r"]), size, ["r"], "linear")
+    assert made.count() == 25
+    made.explain()
+    dealt = [line for line in capsys.readouterr().out.splitlines() if "REPARTITION_BY_NUM" in line and "hashpartitioning" in line]
+    assert len(dealt) == 2 and "x#" in dealt[0] and "y#" in dealt[1]
