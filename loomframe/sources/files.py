@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.relational import latest
+from ..operators.relational import dealt, latest
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "webp", "heic")
 PROVENANCE = ("file", "title", "page_url", "license", "license_url", "artist", "credit", "restrictions", "date", "width", "height", "sha1", "seed")
@@ -98,9 +98,11 @@ def filter_coco(tables: dict[str, DataFrame], license_ids: Sequence[int], catego
     """Images of allowed licences, wanted categories, annotations of both; drop_empty: only images that keep an annotation."""
     found = tables["images"].where(F.col("license").isin(*license_ids))
     kinds = tables["categories"].where(F.col("id").isin(*category_ids))
-    notes = tables["annotations"].where(F.col("category_id").isin(*category_ids)).join(found.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    # wanted annotations are dealt out by image before they meet images; a join and not a semi-join, which would go below whatever the annotations are made of
+    wanted = dealt(tables["annotations"].where(F.col("category_id").isin(*category_ids)), "image_id")
+    notes = wanted.join(found.select(F.col("id").alias("image_id")).distinct(), "image_id").select(*tables["annotations"].columns)
     if drop_empty:
-        found = found.join(notes.select(F.col("image_id").alias("id")).distinct(), "id", "left_semi")
+        found = found.join(notes.select(F.col("image_id").alias("id")), "id", "left_semi")
     if "coco_url" in found.columns:
         found = found.withColumn("file_name", F.coalesce(F.nullif(url_base_name(F.col("coco_url")), F.lit("")), F.col("file_name") if "file_name" in found.columns else F.lit(None)))
     for ids in ("neg_category_ids", "not_exhaustive_category_ids"):

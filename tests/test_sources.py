@@ -233,3 +233,16 @@ def test_fetching(spark):
     got = web.fetch_blobs(rows, "url", lambda q: answers[q["url"]], max_bytes=50, existing=spark.createDataFrame([("u4",)], "url string"))
     assert {r["url"]: r["status"] for r in got.collect()} == {"u1": "ok", "u2": "http_404", "u3": "too_large", "u4": "exists"}
     assert {r["status"]: r["n"] for r in web.status_counts(got).collect()} == {"ok": 1, "http_404": 1, "too_large": 1, "exists": 1}
+
+
+def test_filtered_annotations_meet_images_dealt_out_by_image(spark, capsys):
+    """Partitions are not put together by their compressed size, a filter does not go below it, and an image that is listed twice takes its annotations once."""
+    images = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (3, 1)], "id int, license int")
+    kinds = spark.createDataFrame([(1, "coat"), (2, "hat")], "id int, name string")
+    notes = spark.createDataFrame([(10, 1, 1), (11, 1, 2), (12, 3, 1), (13, None, 1)], "id int, image_id int, category_id int")
+    kept = files.filter_coco({"images": images, "categories": kinds, "annotations": notes}, [0], [1], drop_empty=True)
+    assert kept["annotations"].columns == notes.columns and [tuple(r) for r in kept["annotations"].collect()] == [(10, 1, 1)]
+    assert [r["id"] for r in kept["images"].collect()] == [1, 1]
+    capsys.readouterr()
+    kept["annotations"].explain()
+    assert any("REPARTITION_BY_NUM" in line and "image_id#" in line for line in capsys.readouterr().out.splitlines())
