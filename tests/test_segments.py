@@ -112,3 +112,21 @@ def test_intervals_meet_as_sets_do():
         assert segments.shared(*spans) == len(sets[0] & sets[1])
         both = segments.union(*spans)
         assert segments.length(both) == len(sets[0] | sets[1]) and (both[0][1:] > both[1][:-1]).all()
+
+
+def test_photos_over_several_batches_and_null_scores(spark, photos):
+    """A photo goes on in the next batch, in step with others; a candidate without a score takes part and leaves the others' score."""
+    cands, masks, size = frames(spark, photos)
+    some = cands.withColumn("score", F.when(F.col("cand") % 2 == 0, F.col("score")))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old, found = spark.conf.get(key), {}
+    try:
+        for n in (old, "3"):
+            spark.conf.set(key, n)
+            found[n] = {(r["photo"], r["item"]): (r["category"], r["score"], r["parts"], r["area"], r["members"], r["merged"], r["starts"], r["ends"]) for r in segments.merged(some, masks, size, F.substring("photo", -1, 1) == "3").collect()}
+    finally:
+        spark.conf.set(key, old)
+    assert found[old] == found["3"]
+    first = {p: {c["cand"]: c["score"] if c["cand"] % 2 == 0 else None for c in cs} for p, cs in photos.items()}
+    plain = [(p, v) for (p, _), v in found[old].items() if v[0] not in segments.PAIRED]  # a pair keeps the score of its first piece
+    assert all(v[1] == max((first[p][m] for m in v[4] if first[p][m] is not None), default=None) for p, v in plain) and any(v[1] is None for _, v in plain)
