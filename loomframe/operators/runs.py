@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .relational import cut
@@ -21,6 +22,7 @@ KEYS = ("image",)
 RUN = ("line", "a", "b")
 _STEP = 1 << 32  # of a line, in the number of a run
 BAND = 256  # lines that are joined in one task
+CELLS = 1 << 18  # rows of edges and lines that are in arrays at once
 
 
 def runs_of(pixels: DataFrame, flag: Column, keys: Sequence[str] = KEYS, line: str = "y", at: str = "x") -> DataFrame:
@@ -331,34 +333,147 @@ def boundary_scores(pred: DataFrame, truth: DataFrame, size: DataFrame, toleranc
 # --- polygons ------------------------------------------------------------------------------------------
 
 
-def filled(polygons: DataFrame, size: DataFrame, keys: Sequence[str] = KEYS, points: str = "points") -> DataFrame:
+def _on_lines(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge, line): a row for each line of an edge, from low to high, high exclusive."""
+    n = np.maximum(high - low, 0)
+    edge = np.repeat(np.arange(len(n)), n)
+    return edge, np.arange(len(edge)) - np.repeat(np.cumsum(n) - n, n) + low[edge]
+
+
+def _enclosed(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, mask: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(mask, line, a, b): from the odd to the even crossings of a mask's edges with a line. Lines count from low, which is their zero."""
+    edge, line = _on_lines(np.maximum(np.minimum(y0, y1), low), np.minimum(np.maximum(y0, y1), high))
+    slope = (x1 - x0) / np.where(y0 == y1, 1, y1 - y0)
+    span = int((high - low).max())
+    crossing = np.empty(len(edge), complex)  # sorts by its real part, then by its imaginary one
+    crossing.real = mask[edge] * span + line - low[edge]
+    crossing.imag = x0[edge] + (line - y0[edge]) * slope[edge]
+    crossing.sort()
+    at, x = crossing.real.astype(np.int64), crossing.imag
+    k = np.arange(len(at))
+    k -= np.maximum.accumulate(np.where(np.append(True, at[1:] != at[:-1])[: len(at)], k, 0))
+    odd = np.flatnonzero((k[:-1] % 2 == 0) & (at[1:] == at[:-1]))
+    yield *divmod(at[odd], span), np.ceil(x[odd]).astype(np.int64), np.floor(x[odd + 1]).astype(np.int64) + 1
+
+
+def _drawn(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, mask: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(mask, line, a, b) of the edges' own pixels, a run on each of an edge's lines.
+
+    Where the edge is steep it is of one pixel, else of the steps whose height is nearest to the line (halves to the line above).
+    """
+    n, d = np.abs(x1 - x0), np.abs(y1 - y0)
+    for steep in (True, False):
+        of = np.flatnonzero((d >= n) == steep)
+        edge, line = _on_lines(np.maximum(np.minimum(y0[of], y1[of]), low[of]), np.minimum(np.maximum(y0[of], y1[of]) + 1, high[of]))
+        e = of[edge]
+        j = np.abs(line - y0[e])
+        if steep:
+            a = x0[e] + np.floor(j * (x1 - x0)[e] / np.maximum(d, 1)[e] + 0.5).astype(np.int64)
+            b = a
+        else:
+            up, twice = (y1 < y0)[e], 2.0 * np.maximum(d, 1)[e]
+            before, until = (2 * j - 1) * n[e] / twice, (2 * j + 1) * n[e] / twice
+            first = np.where(up, np.floor(before) + 1, np.ceil(before))
+            last = np.where(up, np.floor(until), np.ceil(until) - 1)
+            flat = (d == 0)[e]
+            first, last = np.where(flat, 0, np.maximum(first, 0)).astype(np.int64), np.where(flat, n[e], np.minimum(last, n[e])).astype(np.int64)
+            way = np.sign(x1 - x0)[e]
+            a, b = x0[e] + way * first, x0[e] + way * last
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        yield mask[e], line - low[e], a, b + 1
+
+
+def _scanned(edges: np.ndarray, mask: np.ndarray, start: np.ndarray, lines: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(mask, line, a, b): the united runs of masks, in parts of about CELLS edges' lines.
+
+    edges: x0, y0, x1, y1, ordered by mask; start, lines, length: for each mask its first line, the number of its lines, and their length. Parts are some of
+    the masks, and some of the lines where one mask is more than a part.
+    """
+    bits = int(length.max(initial=1)).bit_length()
+    todo = [(0, len(start), 0, int(lines.max(initial=0)))]
+    while todo:
+        m0, m1, l0, l1 = todo.pop()
+        if m0 == m1 or l0 >= l1:
+            continue
+        e0, e1 = np.searchsorted(mask, [m0, m1])
+        x0, y0, x1, y1 = edges[:, e0:e1]
+        of = mask[e0:e1]
+        low = start[of] + l0
+        high = np.minimum(low - l0 + lines[of], low + (l1 - l0))
+        rows = np.maximum(np.minimum(np.maximum(y0, y1) + 1, high) - np.maximum(np.minimum(y0, y1), low), 0).sum()
+        span = l1 - l0
+        if rows > CELLS or ((m1 - m0) * span).bit_length() + 2 * bits > 62:  # more than a part, or than a number holds
+            if m1 - m0 > 1:
+                half = (m0 + m1) // 2
+                todo += [(half, m1, l0, l1), (m0, half, l0, l1)]
+                continue
+            if span > 1:
+                half = (l0 + l1) // 2
+                todo += [(m0, m1, half, l1), (m0, m1, l0, half)]
+                continue
+        if not rows:
+            continue
+        given = x0, y0, x1, y1, of - m0, low, np.maximum(high, low)
+        width = int((given[-1] - low).max())
+        parts = [*_enclosed(*given), *_drawn(*given)]
+        m, line, a, b = map(np.concatenate, zip(*parts, strict=True))
+        a, b = np.maximum(a, 0), np.minimum(b, length[m + m0])
+        there = a < b
+        found = (((m[there] * width + line[there]) << bits | a[there]) << bits) | b[there]  # sorts by mask, line, a and b
+        found.sort()
+        if not len(found):
+            continue
+        at, a = found >> 2 * bits, (found >> bits) & ((1 << bits) - 1)
+        upto = np.maximum.accumulate(at << bits | found & ((1 << bits) - 1))  # the line's largest end so far
+        b = upto & ((1 << bits) - 1)
+        first = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (a[1:] > b[:-1])))
+        m, line = divmod(at[first], width)
+        yield m + m0, line + l0 + start[m + m0], a[first], b[np.append(first[1:], len(at)) - 1]
+
+
+def filled(polygons: DataFrame, size: DataFrame | None = None, keys: Sequence[str] = KEYS, points: str = "points") -> DataFrame:
     """The runs of polygons: what an odd number of their edges encloses, and the edges themselves.
 
-    polygons: keys, ring (which of the mask's polygons) and points (x0, y0, x1, y1, ...), rounded to whole pixels; those of fewer than three points are left out.
-    Each edge is a row, and becomes one for each scanline that it crosses; crossings in order enclose from the odd to the even ones. An edge's own
-    pixels are those nearest to it along its longer side.
+    polygons: keys and points (x0, y0, x1, y1, ...), rounded to whole pixels; those of fewer than three points are left out, and edges of which an end is null.
+    size: keys, lines, length; without it these are columns of the polygons, alike in all of a mask.
+    A mask's polygons meet as one row for each band of lines, and a task scans many of these rows in arrays: crossings in order enclose from the odd
+    to the even ones. An edge's own pixels are those nearest to it along its longer side. Only united runs leave the task.
     """
-    xy = F.transform(F.sequence(F.lit(0), F.expr(f"size({points}) div 2 - 1")), lambda i: F.struct(F.bround(F.get(points, 2 * i)).cast("int").alias("x"), F.bround(F.get(points, 2 * i + 1)).cast("int").alias("y")))
-    frame = ("lines", "length")  # met before there are edges: what follows stays where its mask is
-    rows = polygons.where(F.size(points) >= 6).join(size, list(keys)).select(*keys, *frame, "ring", xy.alias("_p")).select(*keys, *frame, "ring", "_p", F.posexplode("_p").alias("_i", "_from"))
-    to = F.get("_p", (F.col("_i") + 1) % F.size("_p"))
-    edges = rows.select(*keys, *frame, "ring", "_i", F.col("_from.x").alias("x0"), F.col("_from.y").alias("y0"), to["x"].alias("x1"), to["y"].alias("y1"))
-    rise = F.col("y1") - F.col("y0")
-    slope = (F.col("x1") - F.col("x0")) / rise.cast("double")
-    low, high = F.least("y0", "y1"), F.greatest("y0", "y1")
-    crossing = edges.where("y0 <> y1").select(*keys, *frame, F.explode(F.sequence(low, high - 1)).alias("line"), "ring", "_i", "x0", "y0", slope.alias("_m"))
-    crossing = crossing.withColumn("_x", F.col("x0") + (F.col("line") - F.col("y0")) * F.col("_m"))
-    w = Window.partitionBy(*keys, "line").orderBy("_x", "ring", "_i")
-    paired = crossing.withColumn("_k", F.row_number().over(w)).withColumn("_to", F.lead("_x").over(w)).where("_k % 2 = 1")
-    inside = paired.select(*keys, *frame, "line", F.ceil("_x").cast("int").alias("a"), (F.floor("_to") + 1).cast("int").alias("b")).where("a < b")
-    run = F.col("x1") - F.col("x0")
-    # an edge has a run on each of its lines: where it is steep of one pixel, else of the steps whose height is nearest to the line (halves to the line above)
-    drawn = edges.select(*keys, *frame, F.explode(F.sequence(F.lit(0), F.abs(rise))).alias("_j"), "x0", "y0", run.alias("_dx"), rise.alias("_dy"), F.abs(run).alias("_n"), F.abs(rise).alias("_d"))
-    until = lambda d: F.when(F.col("_d") == 0, F.lit(-1) if d < 0 else F.col("_n")).when(F.col("_dy") < 0, F.expr(f"cast(floor((2 * _j + {d}) * _n / (2.0D * _d)) as int)")).otherwise(F.expr(f"cast(ceil((2 * _j + {d}) * _n / (2.0D * _d)) as int)") - 1)
-    first, last = F.greatest(F.lit(0), until(-1) + 1), F.least(F.col("_n"), until(1))
-    steep = F.col("x0") + F.floor(F.coalesce(F.try_divide(F.col("_j") * F.col("_dx"), F.col("_d")), F.lit(0.0)) + 0.5).cast("int")
-    drawn = drawn.select(*keys, *frame, (F.col("y0") + F.col("_j") * F.signum("_dy").cast("int")).alias("line"), (F.col("_d") >= F.col("_n")).alias("_steep"), steep.alias("_x"), "x0", F.signum("_dx").cast("int").alias("_s"), first.alias("_first"), last.alias("_last"))
-    ends = [F.col("x0") + F.col("_s") * F.col(c) for c in ("_first", "_last")]
-    drawn = drawn.select(*keys, *frame, "line", F.when(F.col("_steep"), F.col("_x")).otherwise(F.least(*ends)).alias("a"), (F.when(F.col("_steep"), F.col("_x")).otherwise(F.greatest(*ends)) + 1).alias("b"))
-    clipped = inside.unionByName(drawn).where("line >= 0 AND line < lines")
-    return united(clipped.select(*keys, "line", F.greatest("a", F.lit(0)).alias("a"), F.least("b", "length").alias("b")).where("a < b"), keys)
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = polygons.where(F.size(points) >= 6)
+    rows = (rows if size is None else rows.drop("lines", "length").join(size, list(keys))).select(*keys, "lines", "length", F.transform(points, lambda p: F.bround(p).cast("int")).alias("_p"))
+    ys = F.filter("_p", lambda p, i: (i % 2 == 1) & p.isNotNull())
+    top, bottom = F.greatest(F.array_min(ys), F.lit(0)), F.least(F.array_max(ys), F.col("lines") - 1)
+    bands = F.when(F.col("lines") <= BAND, F.array(F.lit(0))).when(top <= bottom, F.sequence(F.floor(top / BAND).cast("int"), F.floor(bottom / BAND).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.select(*keys, "lines", "length", "_p", F.explode(bands).alias("_band"))
+    masks = rows.groupBy(*keys, "lines", "length", "_band").agg(F.collect_list("_p").alias("_p"))
+    masks = masks.select(*keys, F.col("lines").cast("long"), F.col("length").cast("long"), "_band", "_p")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines, length, band = (batch.column(c).to_numpy() for c in ("lines", "length", "_band"))
+            rings = batch.column("_p")
+            of_ring = np.repeat(np.arange(len(rings)), rings.value_lengths().to_numpy())
+            rings = rings.flatten()
+            size_of = rings.value_lengths().to_numpy()
+            begin, n = np.cumsum(size_of) - size_of, size_of // 2
+            ring = np.repeat(np.arange(len(n)), n)
+            last = np.cumsum(n) - 1
+            point = np.arange(len(ring))
+            at = begin[ring] + 2 * (point - (last - n + 1)[ring])
+            after = point + 1
+            after[last] = last - n + 1
+            flat = rings.flatten()
+            xy, known = pc.fill_null(flat, 0).to_numpy().astype(np.int64), pc.is_valid(flat).to_numpy(zero_copy_only=False)
+            x, y, there = xy[at], xy[at + 1], known[at] & known[at + 1]
+            whole = there & there[after]
+            edges = np.stack([x, y, x[after], y[after]])[:, whole]
+            start = band.astype(np.int64) * BAND
+            for mask, line, a, b in _scanned(edges, of_ring[ring][whole], start, np.clip(lines - start, 0, BAND), np.maximum(length, 0)):
+                kept = batch.select(list(keys)).take(pa.array(mask))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, pa.int32()) for c in (line, a, b))], names=[*keys, *RUN])
+
+    fields = T.StructType([*(masks.schema[k] for k in keys), *(T.StructField(c, T.IntegerType()) for c in RUN)])
+    return masks.mapInArrow(scan, fields)

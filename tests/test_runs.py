@@ -186,3 +186,49 @@ def test_components_within_and_across_bands(spark):
         for band in (256, 4, 1):
             got = {(r["image"], r["line"], x): r["part"] for r in runs.labelled(table, connect=connect, band=band).collect() for x in range(r["a"], r["b"])}
             assert got == {p: (y << 32) + x for p, (_, y, x) in first.items()}
+
+
+def test_polygons_over_many_bands_and_parts(spark, monkeypatch):
+    """A mask of many lines is cut into bands, a task's edges into parts: the runs are those of all its edges together, and only they leave a task."""
+    rng = np.random.default_rng(4)
+    height, width = 700, 40
+    rings = {k: [rng.integers(-30, 760, 2 * rng.integers(3, 7)).astype(float) for _ in range(3)] for k in (1, 2)}
+    for ps in rings.values():
+        for p in ps:
+            p[::2] = p[::2] % 50 - 5
+    rings[2].append(np.array([1.0, 2.0, 3.0, 4.0]))
+    want = {}
+    for k, ps in rings.items():
+        m = np.zeros((height, width), bool)
+        edges = [(a, b) for p in ps if len(p) > 4 for xy in [p.reshape(-1, 2).astype(int).tolist()] for a, b in zip(xy, xy[1:] + xy[:1], strict=True)]
+        for y in range(height):
+            cuts = sorted(x0 + (y - y0) * ((x1 - x0) / (y1 - y0)) for (x0, y0), (x1, y1) in edges if y0 != y1 and min(y0, y1) <= y < max(y0, y1))
+            for a, b in zip(cuts[::2], cuts[1::2], strict=True):
+                m[y, max(0, int(np.ceil(a))) : max(0, int(np.floor(b)) + 1)] = True
+        for (x0, y0), (x1, y1) in edges:
+            n = max(abs(x1 - x0), abs(y1 - y0))
+            for i in range(n + 1):
+                x, y = x0 + int(np.floor(i * (x1 - x0) / n + 0.5)) if n else x0, y0 + int(np.floor(i * (y1 - y0) / n + 0.5)) if n else y0
+                if 0 <= x < width and 0 <= y < height:
+                    m[y, x] = True
+        want[k] = m
+    rows = [(k, p.tolist(), height, width) for k, ps in rings.items() for p in ps] + [(3, [0.0, 0.0, None, 5.0, 4.0, 4.0], height, width)]
+    found = runs.filled(spark.createDataFrame(rows, "image int, points array<double>, lines int, length int"))
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.collect()
+    for k, m in want.items():
+        here = np.zeros_like(m)
+        for r in got:
+            if r["image"] == k:
+                assert not here[r["line"], max(0, r["a"] - 1) : r["b"] + 1].any()  # united
+                here[r["line"], r["a"] : r["b"]] = True
+        assert np.array_equal(here, m)
+    assert {(r["line"], x) for r in got if r["image"] == 3 for x in range(r["a"], r["b"])} >= {(i, i) for i in range(5)}  # the edge that has both ends
+    monkeypatch.setattr(runs, "CELLS", 40)
+    pairs = [(k, a, b) for k, ps in rings.items() for p in ps if len(p) > 4 for xy in [p.reshape(-1, 2).astype(int).tolist()] for a, b in zip(xy, xy[1:] + xy[:1], strict=True)]
+    edges, of = np.array([[*a, *b] for _, a, b in pairs]).T, np.array([k - 1 for k, _, _ in pairs])
+    here = {1: np.zeros((height, width), bool), 2: np.zeros((height, width), bool)}
+    for mask, line, a, b in runs._scanned(edges, of, np.zeros(2, int), np.full(2, height), np.full(2, width)):
+        for k, y, x0, x1 in zip(mask, line, a, b, strict=True):
+            here[k + 1][y, x0:x1] = True
+    assert all(np.array_equal(here[k], want[k]) for k in want)
